@@ -92,12 +92,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def map_scored(score: Callable[[pa.Array], dict[str, pa.Array]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: keeps all columns but ``text`` and adds what ``score`` makes of that."""
+    """For mapInArrow: keeps all columns but the last, a text, and adds what ``score`` makes of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            columns = {batch.schema.names[i]: batch.column(i) for i in range(batch.num_columns) if i != at}
-            yield pa.RecordBatch.from_pydict(columns | score(batch.column(at)))
+            columns = {batch.schema.names[i]: batch.column(i) for i in range(batch.num_columns - 1)}
+            yield pa.RecordBatch.from_pydict(columns | score(batch.column(batch.num_columns - 1)))
 
     return run

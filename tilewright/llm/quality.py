@@ -88,8 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), bits: int = FTRL.bits) -> DataFrame:
     """The columns ``keep`` and ``score``, for each row."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    plain = docs.select(*keep, F.col("text"))
-    schema = plain.drop("text").schema.add("score", "double")
+    plain = docs.select(*keep, F.col("text").alias("_text"))
+    schema = plain.drop("_text").schema.add("score", "double")
     return plain.mapInArrow(map_scored(lambda t: {"score": pa.array(score_texts(t, held.value, bits))}), schema)
 
 

@@ -114,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), bits: int = FTRL.bits) -> DataFrame:
     """``keep``, the document's score, and its offending sentences as byte spans with their scores."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    plain = docs.select(*keep, F.col("text"))
-    schema = plain.drop("text").schema.add("score", "double").add("n_offending", "long")
+    plain = docs.select(*keep, F.col("text").alias("_text"))
+    schema = plain.drop("_text").schema.add("score", "double").add("n_offending", "long")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", offending array<struct<start: bigint, end: bigint, score: double>>"
     return plain.mapInArrow(map_scored(lambda t: _score(t, held.value, bits)), fields)
 
