@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, media, mixing, quality, toxicity
+from tilewright.llm import bpe, media, mixing, pii, quality, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def pii_digests(docs: DataFrame) -> DataFrame:
+    found = pii.find(docs)
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.joined({k: F.col(k) for k in pii.KINDS})
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined({k: F.col(f"{k}_all") for k in pii.KINDS}).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     both = bpe.decode(bpe.encode(docs, path), path)
@@ -55,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op4_media, op6_byte_bpe, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op4_media, op5_pii, op6_byte_bpe, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.storage import discard, materialize
+
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -44,6 +46,7 @@ def fit(sample: DataFrame, ftrl: Ftrl, learn: Learn, bias: float, rounds: int =
     """Weights from ``sample`` (doc_id, shard, y, text); the last entry is the intercept, ``bias`` at the start.
 
     An empty sample gives zero weights and that intercept."""
+    sample = kept = materialize(sample)
     size = (1 << ftrl.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     n[-1] = 1.0
@@ -65,6 +68,7 @@ def fit(sample: DataFrame, ftrl: Ftrl, learn: Learn, bias: float, rounds: int =
         z, n = np.zeros(size), np.zeros(size)
         z[mean["i"]], n[mean["i"]] = mean["z"], mean["n"]
         start.unpersist()
+    discard(kept)
     return ftrl.weights(z, n)
 
 
