@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, media, mixing, pii, quality, toxicity
+from tilewright.llm import bpe, media, mixing, neardup, pii, quality, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"))
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     stored = media.store(docs)
     read = media.features(stored, ("doc_id", "n_bytes"))
@@ -66,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op4_media, op5_pii, op6_byte_bpe, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
