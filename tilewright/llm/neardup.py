@@ -17,9 +17,11 @@ TAU = 28/64 lets a pair through that is linked exactly at 3/4 with all but a 1e-
 shingles are compared by their exact bound.
 
 Pairs are not formed all at once. First each list is dealt into small groups whose members are compared with the
-group's leader, and leaders with the list's leader; the components found so far then say which members still differ.
-Next, members of a group that are in different components are compared, and last the members of long lists that
-still are. A group of near copies of any size so takes about as many comparisons as it has members.
+group's leader, and leaders with the list's leader; the components found so far then say which lists still have
+members that differ. Those members are listed anew, by their full sets and the exact bound: under the rarest quarter
+of their shingles, which leaves out texts that differ in more than a quarter. Members of such a list that are in
+different components are compared. A group of near copies of any size so takes about as many comparisons as it has
+members.
 
 Edge cases: null, empty and wordless texts have no shingles and are linked with nothing; a text of one to four words
 is one shingle; rows with the same doc_id are documents of their own that name the same id; a null id never names a
@@ -105,7 +107,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
@@ -113,23 +115,23 @@ def _alike(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int) -> Data
     """The pairs (a, b) that are linked, from distinct candidates."""
     one = sketch.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketch.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(one, "a").join(two, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").where(_estimate(F.col("sa"), F.col("sb"), k) >= TAU)
+    near = pairs.join(one, "a").join(two, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").where(F.size(F.array_intersect("sa", "sb")) >= TAU * F.greatest(F.size("sa"), F.size("sb"))).where(_estimate(F.col("sa"), F.col("sb"), k) >= TAU)
     near = near.select("a", "b", "na", "nb").join(sets.withColumnsRenamed({"c": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"c": "b", "full": "fb"}), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
     return near.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _lists(sketch: DataFrame, k: int) -> DataFrame:
-    """v, c, n, size: the classes listed under each value, for lists of two or more."""
-    postings = sketch.select("c", F.explode("sketch").alias("v"))
+def _listed(held: DataFrame, part: Column) -> DataFrame:
+    """c, v, df: classes listed under the rarest of their values, for (c, held) with arrays of distinct values.
+
+    Two classes that share at least ``part`` of the values of either meet in a list: that of their rarest common one."""
+    postings = held.select("c", F.explode("held").alias("v"))
     sizes = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(sizes, "v").groupBy("c").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # k at most
-    own = sketch.select("c", "copies", F.size("sketch").alias("s"))
-    part = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
+    shared = postings.join(sizes, "v").groupBy("c").agg(F.collect_list(F.struct("df", "v")).alias("vs"))
+    sized = shared.join(held.select("c", F.size("held").alias("s")), "c")
     room = F.col("s") - F.ceil(part * F.col("s")) + 1 - (F.col("s") - F.size("vs"))  # unshared values come first
-    rarest = F.slice(F.array_sort("vs"), 1, F.greatest(F.lit(0), room).cast("int"))
-    listed = shared.join(own, "c").select("c", "copies", F.explode(rarest).alias("x")).select("c", "copies", F.col("x.v").alias("v"), F.col("x.df").alias("df"))
-    return listed
+    rarest = F.slice(F.sort_array("vs"), 1, F.greatest(F.lit(0), room).cast("int"))
+    return sized.select("c", F.explode(rarest).alias("x")).select("c", "x.v", "x.df")
 
 
 def _within(lists: DataFrame) -> DataFrame:
@@ -138,11 +140,10 @@ def _within(lists: DataFrame) -> DataFrame:
     return lists.join(open_, "v")
 
 
-def _cross(lists: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct pairs that share ``by`` and are in different components."""
+def _cross(lists: DataFrame) -> DataFrame:
+    """Distinct pairs that share a list and are in different components."""
     a, b = lists.alias("x"), lists.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in by]
-    return a.join(b, [*on, F.col("x.c") < F.col("y.c"), F.col("x.label") != F.col("y.label")]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    return a.join(b, [F.col("x.v") == F.col("y.v"), F.col("x.c") < F.col("y.c"), F.col("x.label") != F.col("y.label")]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def _label(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,28 +158,26 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "cls", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), "copies", "n", "sketch"))
-    lists = materialize(_lists(classes, k))
+    bound = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
+    lists = materialize(_listed(classes.select("c", F.col("sketch").alias("held")), bound).join(classes.select("c", "copies"), "c"))
     sets = materialize(_sets(docs, classes.join(lists.select("c").distinct(), "c", "left_semi")))
 
-    group = F.pmod(F.xxhash64("c", "v"), F.ceil(F.col("df") / GROUP)).alias("g")
-    dealt = lists.select("v", "c", "copies", "df", group)
-    best = F.max_by("c", F.struct("copies", -F.col("c")))
-    led = dealt.groupBy("v", "g").agg(best.alias("lead"), F.max("copies").alias("copies"), F.count("*").alias("size"))
+    deals = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("df") / GROUP)))).cast("long")  # the same groups for lists of like length
+    dealt = lists.select("v", "c", "copies", F.pmod(F.xxhash64("c"), deals).alias("g"))
+    led = dealt.groupBy("v", "g").agg(F.max_by("c", F.struct("copies", -F.col("c"))).alias("lead"), F.max("copies").alias("copies"))
     stars = dealt.join(led.select("v", "g", "lead"), ["v", "g"]).select(F.col("lead").alias("a"), F.col("c").alias("b"))
     heads = led.join(led.groupBy("v").agg(F.max_by("lead", F.struct("copies", -F.col("lead"))).alias("top")), "v").select(F.col("top").alias("a"), F.col("lead").alias("b"))
     ordered = stars.unionAll(heads).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(_alike(ordered, classes, sets, k))
     labels = connected_components(edges)
 
-    lists2 = materialize(_within(_label(dealt, labels)))
-    edges2 = materialize(_alike(_cross(lists2, ["v", "g"]), classes, sets, k))
-    labels2 = connected_components(edges.unionAll(edges2))
-    lists3 = materialize(_within(_label(lists2.where(F.col("df") > GROUP), labels2)))
-    edges3 = materialize(_alike(_cross(lists3, ["v"]), classes, sets, k))
-    labels3 = connected_components(edges.unionAll(edges2).unionAll(edges3))
-    discard(lists, sets, lists2, lists3)
+    left = _within(_label(lists, labels)).select("c").distinct()
+    again = materialize(_within(_label(_listed(sets.join(left, "c", "left_semi").select("c", F.col("full").alias("held")), F.lit(0.75)), labels)))
+    more = materialize(_alike(_cross(again), classes, sets, k))
+    labels = connected_components(edges.unionAll(more))
+    discard(lists, sets, again)
 
-    named = classes.join(labels3.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(names, "component").select("cls", "component_id")
     out = rows.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
