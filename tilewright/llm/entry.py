@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, media, mixing, neardup, pii, quality, substrings, toxicity
+from tilewright.llm import bpe, embedding_dedup, media, mixing, neardup, pii, quality, substrings, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = bpe.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -74,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op8_embedding_dedup, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

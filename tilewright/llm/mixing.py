@@ -60,9 +60,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"), "tilt")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of each document, sorted by position."""
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and position of each document, sorted by position.
+
+    ``payload`` is carried along as ``payload``."""
+    extra = [] if payload is None else ["payload"]
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([] if payload is None else [payload.alias("payload")]))
     buckets = max(1, math.isqrt(docs.count()))
     key = F.xxhash64(F.col("doc_id"), F.lit(2))
     sized = sized.withColumns({"key": key, "bucket": F.pmod(key, F.lit(buckets)).cast("int")})
@@ -75,7 +78,7 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = sized.withColumn("row_before", F.coalesce(F.sum("size").over(rows), F.lit(0)))
     left, right = placed.alias("a"), starts.alias("b")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
-    placed = left.join(right, on).select("a.doc_id", "a.size", "a.key", "b.source_size", "b.target", "b.tilt", (F.col("b.bucket_before") + F.col("a.row_before")).alias("done"))
+    placed = left.join(right, on).select(*[f"a.{c}" for c in extra], "a.doc_id", "a.size", "a.key", "b.source_size", "b.target", "b.tilt", (F.col("b.bucket_before") + F.col("a.row_before")).alias("done"))
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = goal - passes * F.col("source_size")
@@ -83,10 +86,20 @@ def mix(docs: DataFrame) -> DataFrame:
     part = F.when(F.col("source_size") > 0, (F.col("done") + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.5))
     lean = F.lit(1.0) - F.col("tilt")
     inverse = F.when(F.col("tilt") == 0, part).otherwise((F.sqrt(lean * lean + 4 * F.col("tilt") * part) - lean) / (2 * F.col("tilt")))
-    out = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), inverse)).alias("position"))
+    out = placed.select(*extra, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), inverse)).alias("position"))
     return out.orderBy("position", "doc_id", "size")
 
 
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in the order of their positions, each as often as the mix takes it, with all columns.
+
+    Documents stay whole: the one of each source that is taken in part is repeated once more from one half on."""
+    mixed = mix(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    repeated = mixed.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select("payload.*")
+
+
 def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
     """Equi-join on ``source`` that keeps nulls."""
     a, b = left.alias("l"), right.alias("r")

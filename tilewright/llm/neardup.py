@@ -182,3 +182,14 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     by_class = named.join(names, "component").select("cls", "component_id")
     out = rows.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all columns: the one with the smallest doc_id.
+
+    Rows with equal doc_id and text are one document. Texts without words all stay."""
+    found = components(docs.select("doc_id", "text"), k).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+    columns = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    chosen = keyed.join(found, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return chosen.dropDuplicates(["_id", "_th"]).select("_row.*")

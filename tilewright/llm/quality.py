@@ -97,3 +97,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from 0.5 on) of each row."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return score(packed, train(docs, labels), ("_row",)).where("score >= 0.5").select("_row.*")
