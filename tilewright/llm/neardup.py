@@ -17,11 +17,12 @@ TAU = 28/64 lets a pair through that is linked exactly at 3/4 with all but a 1e-
 shingles are compared by their exact bound.
 
 Pairs are not formed all at once. First each list is dealt into small groups whose members are compared with the
-group's leader, and leaders with the list's leader; the components found so far then say which lists still have
-members that differ. Those members are listed anew, by their full sets and the exact bound: under the rarest quarter
-of their shingles, which leaves out texts that differ in more than a quarter. Members of such a list that are in
-different components are compared. A group of near copies of any size so takes about as many comparisons as it has
-members.
+group's leader and with the list's: the class whose values are the most common, which among near copies is the least
+edited. The components found so far then say which lists still have members that differ. Those members are listed
+anew, by their full sets and the exact bound: under the rarest quarter of their shingles, which leaves out texts that
+differ in more than a quarter. They are compared with a few leaders of these lists, and last with the members that are
+still in other components. A group of near copies of any size so takes about as many comparisons as it has members.
+Lists with the same members count once.
 
 Edge cases: null, empty and wordless texts have no shingles and are linked with nothing; a text of one to four words
 is one shingle; rows with the same doc_id are documents of their own that name the same id; a null id never names a
@@ -42,8 +43,9 @@ from tilewright.llm import words as W
 from tilewright.operators.components import connected_components
 from tilewright.plans.storage import discard, materialize
 
-#: Words in a shingle, size of a sketch, least shared part of a union sketch, and members of a group in a long list.
-SHINGLE, K, TAU, GROUP = 5, 64, 28 / 64, 64
+#: Words in a shingle, size of a sketch, least shared part of a union sketch, members of a group in a long list, and
+#: leaders of a list that is looked at again.
+SHINGLE, K, TAU, GROUP, LEADERS = 5, 64, 28 / 64, 64, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
@@ -122,16 +124,33 @@ def _alike(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int) -> Data
 
 
 def _listed(held: DataFrame, part: Column) -> DataFrame:
-    """c, v, df: classes listed under the rarest of their values, for (c, held) with arrays of distinct values.
+    """c, v, df, s, after, central: classes listed under the rarest of their values, for (c, held) with arrays of
+    distinct values. ``s`` is the array's size and ``after`` how many of its values are not rarer than v.
 
-    Two classes that share at least ``part`` of the values of either meet in a list: that of their rarest common one."""
+    Two classes that share at least ``part`` of the values of either meet in a list: that of their rarest common one.
+    ``central`` says how common a class's values are; among near copies, the least edited one has the most."""
     postings = held.select("c", F.explode("held").alias("v"))
     sizes = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(sizes, "v").groupBy("c").agg(F.collect_list(F.struct("df", "v")).alias("vs"))
     sized = shared.join(held.select("c", F.size("held").alias("s")), "c")
     room = F.col("s") - F.ceil(part * F.col("s")) + 1 - (F.col("s") - F.size("vs"))  # unshared values come first
     rarest = F.slice(F.sort_array("vs"), 1, F.greatest(F.lit(0), room).cast("int"))
-    return sized.select("c", F.explode(rarest).alias("x")).select("c", "x.v", "x.df")
+    central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+    after = F.size("vs").alias("after")
+    return _distinct_lists(sized.select("c", "s", after, central.alias("central"), F.posexplode(rarest).alias("i", "x")).select("c", "s", "central", (F.col("after") - F.col("i")).alias("after"), "x.v", "x.df"))
+
+
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """One of the lists with the same members; lists of one go."""
+    same = [F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.bit_xor(F.xxhash64("c", F.lit(s))).alias(f"x{s}") for s in (1, 2)]]
+    signed = lists.groupBy("v").agg(*same).where("size > 1")
+    one = signed.groupBy("size", "c0", "c1", "x1", "x2").agg(F.min("v").alias("v")).select("v")
+    return lists.join(one, "v", "left_semi")
+
+
+def _leaders(lists: DataFrame, by: list) -> DataFrame:
+    """``by`` and the most central class (``lead``) there."""
+    return lists.groupBy(*by).agg(F.max_by("c", F.struct("central", -F.col("c"))).alias("lead"), F.max("central").alias("central"))
 
 
 def _within(lists: DataFrame) -> DataFrame:
@@ -140,10 +159,20 @@ def _within(lists: DataFrame) -> DataFrame:
     return lists.join(open_, "v")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of different classes, smaller one first."""
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _cross(lists: DataFrame) -> DataFrame:
-    """Distinct pairs that share a list and are in different components."""
+    """Distinct pairs that share a list of full sets, are in different components, and may be linked.
+
+    In the list of their rarest common value, all that they share comes after; linked sets share 3/7 of their sizes'
+    sum or more, so both must have that many values left there."""
     a, b = lists.alias("x"), lists.alias("y")
-    return a.join(b, [F.col("x.v") == F.col("y.v"), F.col("x.c") < F.col("y.c"), F.col("x.label") != F.col("y.label")]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    need = 3 * (F.col("x.s") + F.col("y.s"))
+    on = [F.col("x.v") == F.col("y.v"), F.col("x.c") < F.col("y.c"), F.col("x.label") != F.col("y.label"), 7 * F.col("x.after") >= need, 7 * F.col("y.after") >= need]
+    return a.join(b, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def _label(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,23 +188,31 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "cls", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), "copies", "n", "sketch"))
     bound = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
-    lists = materialize(_listed(classes.select("c", F.col("sketch").alias("held")), bound).join(classes.select("c", "copies"), "c"))
+    bound = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
+    lists = materialize(_listed(classes.select("c", F.col("sketch").alias("held")), bound))
     sets = materialize(_sets(docs, classes.join(lists.select("c").distinct(), "c", "left_semi")))
 
     deals = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("df") / GROUP)))).cast("long")  # the same groups for lists of like length
-    dealt = lists.select("v", "c", "copies", F.pmod(F.xxhash64("c"), deals).alias("g"))
-    led = dealt.groupBy("v", "g").agg(F.max_by("c", F.struct("copies", -F.col("c"))).alias("lead"), F.max("copies").alias("copies"))
+    dealt = lists.withColumn("g", F.pmod(F.xxhash64("c"), deals))
+    led = _leaders(dealt, ["v", "g"])
     stars = dealt.join(led.select("v", "g", "lead"), ["v", "g"]).select(F.col("lead").alias("a"), F.col("c").alias("b"))
-    heads = led.join(led.groupBy("v").agg(F.max_by("lead", F.struct("copies", -F.col("lead"))).alias("top")), "v").select(F.col("top").alias("a"), F.col("lead").alias("b"))
-    ordered = stars.unionAll(heads).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(_alike(ordered, classes, sets, k))
+    top = led.groupBy("v").agg(F.max_by("lead", F.struct("central", -F.col("lead"))).alias("top"))
+    heads = lists.join(top, "v").select(F.col("top").alias("a"), F.col("c").alias("b"))
+    edges = materialize(_alike(_ordered(stars.unionAll(heads)), classes, sets, k))
     labels = connected_components(edges)
 
     left = _within(_label(lists, labels)).select("c").distinct()
-    again = materialize(_within(_label(_listed(sets.join(left, "c", "left_semi").select("c", F.col("full").alias("held")), F.lit(0.75)), labels)))
-    more = materialize(_alike(_cross(again), classes, sets, k))
-    labels = connected_components(edges.unionAll(more))
-    discard(lists, sets, again)
+    again = _listed(sets.join(left, "c", "left_semi").select("c", F.col("full").alias("held")), F.lit(0.75))
+    again = materialize(_within(_label(again, labels)))
+    best = _leaders(again.withColumn("g", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(LEADERS))), ["v", "g"]).join(again.select(F.col("c").alias("lead"), F.col("label").alias("lead_label")).distinct(), "lead")
+    tried = again.join(best, "v").where("label <> lead_label").select(F.col("lead").alias("a"), F.col("c").alias("b"))
+    second = materialize(_alike(_ordered(tried), classes, sets, k))
+    labels = connected_components(edges.unionAll(second))
+
+    rest = materialize(_distinct_lists(_within(_label(again, labels))))
+    third = materialize(_alike(_cross(rest), classes, sets, k))
+    labels = connected_components(edges.unionAll(second).unionAll(third))
+    discard(lists, sets, again, rest)
 
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
