@@ -153,28 +153,22 @@ def _windows(texts: DataFrame) -> DataFrame:
     """r, weight, at and the two hashes of each candidate window, from r, weight, froms, tos and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (("r", np.int64), ("weight", np.int32), ("at", np.int32), ("h1", np.int64), ("h2", np.int64))
         for batch in batches:
-            parts: list[tuple] = []
-            size = 0
-
-            def table() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({k: np.concatenate([p[i] for p in parts]).astype(t) for i, (k, t) in enumerate(kinds)})
-
-            for k in range(batch.num_rows):
-                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8)
-                starts, ends, counts = W.words(data, np.array([0, len(data)]))
-                froms, tos = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
-                sizes = tos - froms + 1
-                at = np.repeat(froms - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                h1, h2 = (W.ngrams(W.span_hashes(data, starts, ends, seed), counts, WINDOW)[0][at].view(np.int64) for seed in (0, 5))
-                parts.append((np.full(len(at), batch.column(0)[k].as_py()), np.full(len(at), batch.column(1)[k].as_py()), at, h1, h2))
-                size += len(at)
-                if size > BATCH:
-                    yield table()
-                    parts, size = [], 0
-            if parts:
-                yield table()
+            r, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j, data, offsets in W.slices(batch.column(4)):
+                starts, ends, counts = W.words(data, offsets)
+                froms, tos = batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)
+                ranges = froms.value_lengths().to_numpy()
+                base = np.repeat(np.cumsum(counts) - counts, ranges)  # a row's first word
+                first, last = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (froms, tos))
+                sizes = last - first + 1
+                at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                place = at + np.repeat(base, sizes)
+                row = np.repeat(np.repeat(np.arange(i, j), ranges), sizes)
+                hashes = [W.window_hashes(W.span_hashes(data, starts, ends, seed), WINDOW)[place].view(np.int64) for seed in (0, 5)]
+                for s in range(0, len(at), BATCH):
+                    e = slice(s, s + BATCH)
+                    yield pa.RecordBatch.from_pydict({"r": r[row[e]], "weight": weight[row[e]], "at": at[e].astype(np.int32), "h1": hashes[0][e], "h2": hashes[1][e]})
 
     return texts.select("r", "weight", "froms", "tos", "text").mapInArrow(run, "r long, weight int, at int, h1 long, h2 long")
 
@@ -219,6 +213,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # symbols may be missing altogether, as in a long run, so documents without hits are looked at too
     marked = long.select("r", "n_words", "lows", "highs").join(hits, "r", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
     ranges = materialize(_ranges(marked).join(classes.select("r", "doc_id", "th", "weight"), "r"))
+    whole_rows = materialize(rows.select("doc_id", "n_words", "cls", "whole"))
+    discard(rows)
     windows = materialize(_windows(_with_text(docs, ranges)))
     twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
     starts = windows.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("r").agg(F.collect_list("at").alias("starts"))
@@ -228,5 +224,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     whole = classes.where("weight > 1").select("cls", F.col("n_words").alias("n_removed"), F.lit(None).cast("binary").alias("kept"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     cut = part.unionByName(whole)
-    out = rows.select("doc_id", "n_words", "cls", "whole").join(cut, "cls", "left")
+    out = whole_rows.join(cut, "cls", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", F.lower(F.hex("whole"))).alias("kept_sha256"))

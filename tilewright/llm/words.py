@@ -132,3 +132,12 @@ def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         starts = np.cumsum(counts) - counts
         out[some] = np.add.reduceat(values.astype(np.float64), starts[some])
     return out
+
+
+def window_hashes(names: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive names, wherever they lie; a polynomial from one prefix sum, so n may be large."""
+    up, down = _power_tables(len(names) + 1)
+    prefix = np.zeros(len(names) + 1, np.uint64)
+    np.cumsum(names * up[: len(names)], out=prefix[1:])
+    total = max(0, len(names) - n + 1)
+    return mix((prefix[n : n + total] - prefix[:total]) * down[:total])
