@@ -25,9 +25,18 @@ BLUR = tuple(tuple(a * b for b in SMOOTH) for a in SMOOTH)
 LAPLACE_5 = tuple(tuple(a * d + b * c for b, d in zip(SMOOTH, SECOND, strict=True)) for a, c in zip(SMOOTH, SECOND, strict=True))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def convolve(px, kernel, width: int, height: int) -> Column:
     """Sums of the kernel's taps around each pixel."""
-    pixels, reach = col(px), len(kernel) // 2
+    return _let(col(px), lambda pixels: _taps(pixels, kernel, width, height))
+
+
+def _taps(pixels: Column, kernel, width: int, height: int) -> Column:
+    reach = len(kernel) // 2
     mirror = lambda i, n: F.lit(n - 1) - F.abs(F.lit(n - 1) - F.abs(i))
 
     def at(i: Column) -> Column:
@@ -49,8 +58,7 @@ def _mean(values: Column) -> Column:
 
 
 def variance_of_laplacian(px, width: int, height: int) -> Column:
-    v = convolve(px, LAPLACE, width, height)
-    return _mean(F.transform(v, lambda x: x * x)) - _mean(v) * _mean(v)
+    return _let(convolve(px, LAPLACE, width, height), lambda v: _mean(F.transform(v, lambda x: x * x)) - _mean(v) * _mean(v))
 
 
 def gradient_energy(px, width: int, height: int) -> Column:
@@ -64,10 +72,14 @@ def tenengrad(px, width: int, height: int) -> Column:
 
 def percentile(values: Column, part: float) -> Column:
     """Linear interpolation between order statistics."""
-    s, at = F.sort_array(values), (F.size(values) - 1) * F.lit(part)
-    low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
-    return a + (b - a) * (at - low)
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(part)
+        low = F.floor(at).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return a + (b - a) * (at - low)
+
+    return _let(F.sort_array(values), of)
 
 
 def laplacian_percentile(px, width: int, height: int, part: float = 0.75) -> Column:
@@ -119,8 +131,8 @@ def focus_stack(planes: DataFrame, width: int, height: int, by: list[str], z: st
     each = F.arrays_zip(F.col("_r").alias("r"), F.col("px").alias("v"))
     lists = response.select(*by, z, each.alias("cells")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(z, "cells"))).alias("all"))
     planes_only = F.transform("all", lambda x: x["cells"])
-    fold = F.aggregate(F.slice(planes_only, 2, F.size(planes_only)), F.get(planes_only, F.lit(0)), lambda acc, p: F.zip_with(acc, p, lambda a, b: F.when(b["_r"] > a["_r"], b).otherwise(a)))
-    return lists.select(*by, F.transform(fold, lambda c: c["px"]).alias("px"))
+    fold = F.aggregate(F.slice(planes_only, 2, F.size(planes_only)), F.get(planes_only, F.lit(0)), lambda acc, p: F.zip_with(acc, p, lambda a, b: F.when(b["r"] > a["r"], b).otherwise(a)))
+    return lists.select(*by, F.transform(fold, lambda c: c["v"]).alias("px"))
 
 
 # numpy kernels for tiles of production size

@@ -81,19 +81,19 @@ def _regions(spark, d) -> DataFrame:
     return table(spark, d, "customer").selectExpr("c_custkey as region", "c_custkey div 10 as slide", "(c_custkey * 37) % 500 - 20 as x", "(c_custkey * 53) % 500 - 20 as y", "60 + (c_custkey * 7) % 900 as w", "60 + (c_custkey * 11) % 700 as h", "1000 as width", "800 as height")
 
 
-META = "0.2272D as mpp_x, 40D as objective_power, 123456 as x_offset_nm, -65432 as y_offset_nm, 90000 as full_width, 60000 as full_height"
+META = ("0.2272D as mpp_x", "40D as objective_power", "123456 as x_offset_nm", "-65432 as y_offset_nm", "90000 as full_width", "60000 as full_height")
 _STEP, _OX, _OY = "(0.2272::DOUBLE * 1000 * 40 / 20)", "(123456 - 90000 / 2 * (0.2272::DOUBLE * 1000))", "(-65432 - 60000 / 2 * (0.2272::DOUBLE * 1000))"
 
 
 @query(f"WITH {OBJECTS} SELECT o_orderkey, " + ", ".join(f"CAST(round_even({e} / {_STEP}, 0) AS INT) AS {n}" for e, n in ((f"(x * 997 - {_OX})", "px"), (f"(y * 991 - {_OY})", "py"), ("(w * 500)", "pw"), ("(h * 500)", "ph"))) + " FROM objects")
 def bounds_to_pixels(spark, d):
-    o = views.objects(spark, d).selectExpr("o_orderkey", "x * 997 as x", "y * 991 as y", "w * 500 as w", "h * 500 as h", META)
+    o = views.objects(spark, d).selectExpr("o_orderkey", "x * 997 as x", "y * 991 as y", "w * 500 as w", "h * 500 as h", *META)
     return o.select("o_orderkey", *[c.alias(n) for c, n in zip(G.bounds_to_pixels("x", "y", "w", "h", 20.0), ("px", "py", "pw", "ph"), strict=True)])
 
 
 @query(f"WITH {OBJECTS} SELECT o_orderkey, round({_OX} + x * {_STEP}, 6) AS x_nm, round({_OY} + y * {_STEP}, 6) AS y_nm, round(greatest(0, (w - 30) * {_STEP}), 6) AS width_nm, round(h * {_STEP}, 6) AS height_nm FROM objects")
 def pixels_to_nm(spark, d):
-    o = views.objects(spark, d).selectExpr("o_orderkey", "x as x1", "y as y1", "x + w - 30 as x2", "y + h as y2", META)
+    o = views.objects(spark, d).selectExpr("o_orderkey", "x as x1", "y as y1", "x + w - 30 as x2", "y + h as y2", *META)
     return o.select("o_orderkey", *[F.round(c, 6).alias(n) for c, n in zip(G.pixels_to_nm("x1", "y1", "x2", "y2", 20.0), ("x_nm", "y_nm", "width_nm", "height_nm"), strict=True)])
 
 
