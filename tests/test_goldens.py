@@ -1,0 +1,164 @@
+"""Small hand-made cases with known results."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright.functions import detectors
+from tilewright.functions import geometry as G
+from tilewright.operators import focus, grid, labels, matching, spatial
+from tilewright.operators.components import connected_components
+from tilewright.sources import readers, writers
+from tilewright.streaming import checkpoint
+
+DET = "slide int, tile int, det_id long, x1 double, y1 double, x2 double, y2 double, score double"
+
+
+def test_dedup_across_a_seam(spark):
+    rows = [(0, 0, 0, 70, 30, 95, 60, 0.6), (0, 0, 1, 10, 10, 20, 20, 0.7), (0, 1, 2, 72, 32, 97, 62, 0.9), (0, 2, 3, 10, 130, 20, 140, 0.8)]
+    df = spark.createDataFrame([(r[0], r[1], r[2], *map(float, r[3:])) for r in rows], DET)
+    assert sorted(r.score for r in spatial.deduplicate(df).collect()) == [0.7, 0.8, 0.9]
+    assert spatial.deduplicate(df.limit(0)).count() == 0
+    same = [(0, 0, i, 0.0, 0.0, 9.0, 9.0, 0.5) for i in range(2)]
+    assert spatial.deduplicate(spark.createDataFrame(same, DET)).count() == 2  # one tile: never compared
+    joined = spatial.deduplicate(spark.createDataFrame([*same, (0, 1, 2, 0.0, 0.0, 9.0, 9.0, 0.5)], DET)).collect()
+    assert [r.det_id for r in joined] == [0]  # transitive; the earlier one on ties
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_matchers_differ_on_a_lost_box(spark):
+    pred = spark.createDataFrame([("s", 1, 0.0, 0.0, 10.0, 9.5, 0.9), ("s", 2, 0.0, 1.0, 10.0, 12.0, 0.8)], "slide string, pred_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    gt = spark.createDataFrame([("s", 1, 0.0, 0.0, 10.0, 10.0), ("s", 2, 0.0, 4.0, 10.0, 15.0)], "slide string, gt_id long, x1 double, y1 double, x2 double, y2 double")
+    first = matching.best_of_match(pred, gt, 0.5, ["slide"])
+    assert [(r.pred_id, r.gt_id) for r in first.collect()] == [(1, 1)]
+    assert matching.false_positives(pred, first, ["slide"]).first().pred_id == 2 and matching.false_negatives(gt, first, ["slide"]).first().gt_id == 2
+    greedy = matching.greedy_match(pred, gt, 0.5)
+    assert {r.pred_id: r.gt_id for r in greedy.collect()} == {1: 1, 2: 2}
+
+
+def test_average_precision_is_a_right_sum(spark):
+    matched = spark.createDataFrame([("s", 1, 10, 0.9), ("s", 2, None, 0.8), ("s", 3, 11, 0.7)], "slide string, rank int, gt_id long, score double")
+    gt = spark.createDataFrame([("s", 10), ("s", 11), ("t", 1)], "slide string, gt_id long")
+    got = {r.slide: r for r in matching.summary(matched, gt).collect()}
+    assert got["s"].ap == pytest.approx(0.5 + 0.5 * 2 / 3) and (got["s"].tp, got["s"].fp, got["s"].fn) == (2, 1, 0)
+    assert (got["t"].tp, got["t"].fn, got["t"].ap) == (0, 1, 0.0)
+    best = matching.max_f1(matching.curve(matched, gt)).first()
+    assert best["rank"] == 3 and best.f1 == pytest.approx(0.8)
+
+
+def test_greedy_against_a_loop(spark):
+    rng = np.random.default_rng(2)
+    box = lambda n: [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in zip(*rng.integers(0, 60, (2, n)), *rng.integers(8, 30, (2, n)), strict=True)]
+    preds, gts = [("s", i, *b, float(s)) for i, (b, s) in enumerate(zip(box(60), rng.random(60).round(1), strict=True))], [("s", i, *b) for i, b in enumerate(box(40))]
+
+    def iou(a, b):
+        inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter) if inter else 0.0
+
+    free, want = dict(enumerate(g[2:] for g in gts)), {}
+    for p in sorted(preds, key=lambda p: (-p[6], p[1])):
+        best = max(free, key=lambda k: (iou(p[2:6], free[k]), -k), default=None)
+        want[p[1]] = best if best is not None and iou(p[2:6], free[best]) >= 0.3 else None
+        free.pop(want[p[1]], None)
+    cols = "x1 double, y1 double, x2 double, y2 double"
+    got = matching.greedy_match(spark.createDataFrame(preds, f"slide string, pred_id long, {cols}, score double"), spark.createDataFrame(gts, f"slide string, gt_id long, {cols}"), 0.3)
+    assert {r.pred_id: r.gt_id for r in got.collect()} == want
+
+
+def test_grids(spark):
+    one = spark.createDataFrame([(0, 0, 100, 100)], "x long, y long, w long, h long")
+    rows = grid.dataset_tiles(one, 60, 0.5, []).collect()
+    assert len(rows) == 16 and sorted({r.x for r in rows}) == [0, 30, 40] and len(set(rows)) == 9
+    lengths = spark.createDataFrame([(100,), (50,), (120,)], "n long")
+    assert [r.p for r in lengths.select(grid.axis_positions("n", 60, 30).alias("p")).collect()] == [[0, 30, 40], [0], [0, 30, 60]]
+
+
+def test_boxes(spark):
+    one = spark.range(1)
+    pick = lambda *c: [r for r in one.select(*c).first()]
+    lit = lambda *v: [F.lit(x) for x in v]
+    assert pick(*[G.is_valid_box(*lit(*v)) for v in ((4, 4, 4, 4), (3, 5, 3, 5), (4, 4, 8, 8), (4, 5, 8, 8))]) == [True, False, False, True]
+    cropped, full = G.crop(lit(100, 100, 50, 50), lit(90, 120, 30, 10))
+    assert pick(*cropped) == [0, 20, 20, 10] and pick(*full) == [-10, 20, 30, 10]
+    assert pick(*G.clip_to(*lit(-5, 2, 4, 8, 10, 10))) == [0, 2, 4, 8]
+    assert pick(*G.circle_to_box(*lit(100, -50, 10))) == [90, -60, 20, 20]
+    assert pick(*G.box_to_circle(*lit(0, 0, 10, 4))) == [5, 2, 2] and pick(*G.box_to_circle(*lit(0, 0, 1, 1)))[2] == 1
+    assert pick(G.intersects(lit(0, 0, 1, 1), lit(1, 0, 2, 1))) == [False]
+    assert pick(*[F.bround(F.lit(v)) for v in (0.5, 1.5, 2.5, -2.5)]) == [0, 2, 2, -2]
+
+
+def test_names_and_confidence(spark):
+    df = spark.createDataFrame([("AB-12 (x).ndpi.ndpa", "source=yolo; confidence=0.912"), ("a", "confidence=abc"), ("b", "confidence=abc; confidence=0.5"), ("c", None)], "n string, d string")
+    rows = df.select(labels.normalize_name("n").alias("n"), labels.parse_confidence("d").alias("c")).collect()
+    assert rows[0].n == "ab_12_x" and [r.c for r in rows] == [0.912, 0.0, 0.5, 0.0]
+    for n, want in ((10, (8, 1, 1)), (20, (14, 3, 3)), (6, (6, 0, 0))):
+        got = {r.split: r["count"] for r in labels.assign_splits(spark.range(n), "id").groupBy("split").count().collect()}
+        assert tuple(got.get(k, 0) for k in ("train", "val", "test")) == want
+
+
+def test_ties_between_planes(spark):
+    df = spark.createDataFrame([(0, z, float(s)) for z, s in enumerate((2, 5, 5, 1))], "tile int, z int, s double")
+    assert [r.z for r in focus.rank_planes(df, "s", ["tile"]).orderBy("rank").collect()] == [2, 1, 0, 3]
+    assert focus.best_plane(df, "s", ["tile"]).first().best_z == 1
+
+
+def test_numpy_kernels_equal_the_expressions(spark):
+    images = np.random.default_rng(3).integers(0, 256, (4, 6, 7)).astype(np.uint8)
+    planes = spark.createDataFrame([(0, z, 6, 7, 1, bytearray(i.tobytes()), i.ravel().astype(int).tolist()) for z, i in enumerate(images)], "tile int, z int, height int, width int, channels int, data binary, px array<int>")
+    a = focus.score_planes(planes.select("tile", "z", "px"), 7, 6).orderBy("z").collect()
+    b = focus.score_binary_planes(planes, ["tile", "z"]).orderBy("z").collect()
+    for x, y in zip(a, b, strict=True):
+        assert [x[m] for m in ("vol", "tenengrad", "pvol", "ptenengrad", "log")] == pytest.approx([y[m] for m in ("vol", "tenengrad", "pvol", "ptenengrad", "log")])
+    both = focus.stack_binary_planes(planes, ["tile"]).first()
+    assert focus.focus_stack(planes, 7, 6, ["tile"]).first().px == list(both.stacked) and focus.max_projection(planes, ["tile"]).first().px == list(both.mip)
+
+
+def test_xml_round_trip(spark, tmp_path):
+    boxes = spark.createDataFrame([(0, 0, 10, 4, "a", "k"), (5, 5, 8, 8, "b", None)], "x long, y long, w long, h long, label string, details string")
+    writers.annotation_xml(boxes, f"{tmp_path}/c", True, 7)
+    rows = readers.annotation_xml(spark, f"{tmp_path}/c").orderBy("ann_id").collect()
+    assert [(r.kind, r.ann_id, r.label, r.x, r.y, r.w, r.h) for r in rows] == [("annotation", 7, "a", 3, 0, 4, 4), ("annotation", 8, "b", 5, 5, 8, 8)]
+    writers.annotation_xml(boxes, f"{tmp_path}/r", False)
+    assert [(r.kind, r.x, r.y, r.w, r.h) for r in readers.annotation_xml(spark, f"{tmp_path}/r").orderBy("ann_id").collect()] == [("roi", 0, 0, 10, 4), ("roi", 5, 5, 8, 8)]
+
+
+def test_dataset_document_and_labels(spark, tmp_path):
+    images = writers.coco_images(spark.createDataFrame([("b", 100, 200), ("a", 100, 200)], "file_name string, width int, height int"))
+    boxes = spark.createDataFrame([("a", 0, 10.0, 20.0, 30.0, 40.0, 3)], "file_name string, ann_idx int, x double, y double, w double, h double, label int")
+    anns = writers.coco_annotations(images, writers.select_boxes(boxes, False))
+    assert {r.file_name: r.text for r in writers.label_lines(images, anns).collect()} == {"a": "0 0.250000 0.200000 0.300000 0.200000", "b": ""}
+    writers.coco_document(images, anns, spark.createDataFrame([(2, "x", "")], "id long, name string, supercategory string"), f"{tmp_path}/d")
+    i, a, c = readers.coco(spark, f"{tmp_path}/d")
+    assert (i.count(), a.count(), c.count()) == (2, 1, 1)
+    assert {r.file_name: len(r.boxes) for r in readers.coco_ground_truth(i, a).collect()} == {"a": 1, "b": 0}
+
+
+def test_logs_and_tables(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"train": ["a", "b"], "val": ["c"]}')
+    assert {(r.stem, r.split) for r in readers.split_map(spark, str(tmp_path / "s.json")).collect()} == {("a", "train"), ("b", "train"), ("c", "val")}
+    (tmp_path / "l.jsonl").write_text('{"epoch": 0, "ema_test_coco_eval_bbox": [0.1, 0.5]}\n{"epoch": 1, "ema_test_coco_eval_bbox": [0.2, 0.5]}\n')
+    assert readers.best_epoch(readers.training_jsonl(spark, str(tmp_path / "l.jsonl")), "ap50").first().epoch == 0
+    (tmp_path / "m.csv").write_text("c,s1,s2\npol,1,x\nzzz,1,1\n")
+    assert sorted((r.slide, r["count"]) for r in readers.category_matrix(spark, str(tmp_path / "m.csv"), ["pol"]).collect() if r["count"] is not None) == [("s1", 1.0)]
+    (tmp_path / "t.json").write_text('{"map": 0.25}')
+    assert readers.trial_scores(spark, str(tmp_path / "t.json")).first().score == 0.25
+
+
+def test_detect_and_stream(spark, tmp_path):
+    image = np.zeros((16, 16, 3), np.uint8)
+    image[8:, :8] = 255
+    tiles = spark.createDataFrame([(0, 0, 16, 16, 3, bytearray(image.tobytes()))], "slide int, tile int, height int, width int, channels int, data binary")
+    found = detectors.detect(tiles, "bright_blocks", ["slide", "tile"])
+    assert [(r.x1, r.y1, r.x2, r.y2, r.score) for r in found.collect()] == [(0.0, 8.0, 8.0, 16.0, 1.0)]
+    tiles.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(tiles.schema).parquet(f"{tmp_path}/in")
+    query = checkpoint.append_detections(stream, lambda b: detectors.detect(b, "bright_blocks", ["slide", "tile"]).withColumn("det_id", F.monotonically_increasing_id()), f"{tmp_path}/raw", f"{tmp_path}/cp")
+    query.awaitTermination(60)
+    checkpoint.finish(spark.read.parquet(f"{tmp_path}/raw"), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1

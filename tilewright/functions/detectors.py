@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: image (h, w, c) -> boxes (n, 4) and scores (n)
 Detector = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -61,7 +62,7 @@ def detect(tiles: DataFrame, name: str, keep: list[str], threshold: float = 0.5,
             types = [pa.int32()] + [pa.float64()] * 5
             yield pa.RecordBatch.from_pydict({k: batch.column(k).take(pa.array(at, pa.int64())) for k in keep} | {n: pa.array(c, t) for n, c, t in zip(("nth", "x1", "y1", "x2", "y2", "score"), columns, types, strict=True)})
 
-    schema = tiles.select(*keep).schema.add("nth", "int")
+    schema = tiles.select(*keep).schema.add("nth", T.IntegerType())
     for n in ("x1", "y1", "x2", "y2", "score"):
-        schema = schema.add(n, "double")
+        schema = schema.add(n, T.DoubleType())
     return tiles.select(*keep, "height", "width", "channels", "data").mapInArrow(run, schema)
