@@ -49,9 +49,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.
     """Groups of (feature numbers, how many each row has)."""
     starts, ends, counts = W.words(data, offsets)
     word, shape = W.span_hashes(data, starts, ends), _shapes(data, starts, ends)
-    same = np.zeros(len(word), np.uint64)
+    same, row = np.zeros(len(word), np.uint64), np.repeat(np.arange(len(counts)), counts)
     for k in (1, 2):
-        same[k:] += (word[k:] == word[:-k]).astype(np.uint64) * np.uint64(k)
+        same[k:] += ((word[k:] == word[:-k]) & (row[k:] == row[:-k])).astype(np.uint64) * np.uint64(k)
     groups = [W.ngrams(word, counts, n) for n in (1, 2)] + [W.ngrams(shape, counts, n) for n in (1, 2, 3)] + [(same, counts)]
     return [((W.mix(h + np.uint64(1 + 977 * g)) >> np.uint64(64 - bits)).astype(np.int64), c) for g, (h, c) in enumerate(groups)]
 
