@@ -8,7 +8,7 @@ looked at: within an equal passage that holds this range, the same symbol stands
 
 1. After ``ROUNDS`` rounds, symbols are counted over all documents. A window of ``WINDOW`` words that holds the range
    of a symbol which occurs once cannot repeat. All other windows are candidates; names that collide only add some.
-2. Candidates are verified by 128-bit hashes of their words, counted over all documents.
+2. Candidates are verified by 96-bit hashes of their words, counted over all documents.
 3. Words covered by a repeated window go.
 
 Documents with equal word sequences form one class, known by the digest of the sequence (the symbol at the top); all
@@ -168,9 +168,9 @@ def _windows(texts: DataFrame) -> DataFrame:
                 hashes = [W.window_hashes(W.span_hashes(data, starts, ends, seed), WINDOW)[place].view(np.int64) for seed in (0, 5)]
                 for s in range(0, len(at), BATCH):
                     e = slice(s, s + BATCH)
-                    yield pa.RecordBatch.from_pydict({"r": r[row[e]], "weight": weight[row[e]], "at": at[e].astype(np.int32), "h1": hashes[0][e], "h2": hashes[1][e]})
+                    yield pa.RecordBatch.from_pydict({"r": r[row[e]], "weight": weight[row[e]], "at": at[e].astype(np.int32), "h1": hashes[0][e], "h2": (hashes[1][e] >> 32).astype(np.int32)})
 
-    return texts.select("r", "weight", "froms", "tos", "text").mapInArrow(run, "r long, weight int, at int, h1 long, h2 long")
+    return texts.select("r", "weight", "froms", "tos", "text").mapInArrow(run, "r long, weight int, at int, h1 long, h2 int")
 
 
 def _kept(texts: DataFrame) -> DataFrame:

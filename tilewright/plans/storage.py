@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,13 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark removes them once the JVM has collected their plans."""
+    """Let go of the shuffle files of finished steps: Spark removes them once the JVM has collected their plans.
+
+    The second collection takes the last step's plan, which listeners may still hold during the first."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(*frames: DataFrame) -> None:
