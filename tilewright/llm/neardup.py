@@ -188,7 +188,6 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "cls", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), "copies", "n", "sketch"))
     bound = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
-    bound = F.when(F.col("s") <= int(k * 0.75), F.lit(0.75)).otherwise(F.lit(TAU))
     lists = materialize(_listed(classes.select("c", F.col("sketch").alias("held")), bound))
     sets = materialize(_sets(docs, classes.join(lists.select("c").distinct(), "c", "left_semi")))
 
