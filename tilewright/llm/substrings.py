@@ -208,19 +208,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     classes = materialize(classes.select("cls", "m.*", F.least(F.col("copies"), F.lit(2)).cast("int").alias("weight")))
 
     placed = long.select("r", F.posexplode("names").alias("k", "name"))
-    repeated = placed.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # written, so that the count's shuffle files go before the join, and so that AQE may split the join at common names
+    repeated = materialize(placed.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     hits = placed.join(repeated, "name", "left_semi").groupBy("r").agg(F.collect_list("k").alias("hits"))
     # symbols may be missing altogether, as in a long run, so documents without hits are looked at too
     marked = long.select("r", "n_words", "lows", "highs").join(hits, "r", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
     ranges = materialize(_ranges(marked).join(classes.select("r", "doc_id", "th", "weight"), "r"))
     whole_rows = materialize(rows.select("doc_id", "n_words", "cls", "whole"))
-    discard(rows)
+    discard(rows, repeated)
     windows = materialize(_windows(_with_text(docs, ranges)))
-    twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
+    twice = materialize(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2"))
     starts = windows.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("r").agg(F.collect_list("at").alias("starts"))
     part = _kept(_with_text(docs, starts.join(classes.select("r", "cls", "doc_id", "th"), "r"))).dropDuplicates(["cls"])
     part = materialize(part.select("cls", "n_removed", "kept", F.sha2("kept", 256).alias("kept_sha256")))
-    discard(ranges, windows)
+    discard(ranges, windows, twice)
 
     whole = classes.where("weight > 1").select("cls", F.col("n_words").alias("n_removed"), F.lit(None).cast("binary").alias("kept"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     cut = part.unionByName(whole)
