@@ -63,3 +63,14 @@ def test_redaction(spark):
     assert out[2].text is None and out[3].text == "clean" and out[3].n_chars == 5
     assert out[4].text == "+1 (843) 555-7672 [IP] x"  # 23 digits are no phone number
     assert pii.redact(docs).columns == docs.columns
+
+
+def test_octets_of_zeros(spark):
+    pool = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "00.1.2.3", "000.00.0.0", "0255.0.010.099", "256.0.0.1", "1.0.0.256", "0.0300.0.1", "0" * 4000 + ".0.0.1", "0" * 4000 + "256.0.0.1"]
+    made = [*pool, *[f"é {a} and {b}, x" for a in pool for b in pool[:8]]]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in pii.find(docs, ("doc_id", "text")).collect():
+        assert [tuple(s) for s in r.ip] == brute(r.text)["ip"], r.text[:80]
+    assert [brute(t)["ip"] != [] for t in pool] == [True] * 7 + [False] * 3 + [True, False]
+    text = spark.createDataFrame([(1, "host 10.0.0.1 up", 16)], "doc_id long, text string, n_chars long")
+    assert pii.redact(text).first().text == "host [IP] up"

@@ -45,7 +45,7 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]?[0-9]){9,15}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,14}+",
 }
-OCTET = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
 CUES = r"(?i)(?:mail|tel|phone|call|fax|card|visa|ip|addr|host|contact|nombre|kontakt)[^A-Za-z0-9]{0,4}$"
 #: Least share of base spans among the candidates above the threshold, the boosting rounds and their step.
 PRECISION, ROUNDS, STEP = 0.98, 12, 0.5
