@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tilewright.llm import neardup
 
 
@@ -63,3 +65,18 @@ def test_edges(spark):
     assert neardup.components(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "p q r s t u"), (3, "p q r s t u"), (None, "lone text")], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in neardup.components(nulls).collect()) == [("3", "3"), ("None", "3"), ("None", "None")]
+
+
+def test_lists_of_equal_members_with_values_of_different_df(spark):
+    """Classes 0 and 1 are alike only to each other; 2 to 31 list the same values. Quotes (from 32 on, with too much of
+    their own to be listed) make the passage's values differ in df, so that rarer ones have larger hashes."""
+    own = lambda c, n: [10_000 * (c + 1) + i for i in range(n)]
+    passage = list(range(80))
+    held = [(c, passage + own(c, 12)) for c in range(2)] + [(c, passage + own(99, 20)) for c in range(2, 32)]
+    held += [(32 + i, passage[: 80 - i % 24] + own(32 + i, 70)) for i in range(60)]
+    held += [(100 + i, own(99, 20) + own(100 + i, 40)) for i in range(80)]
+    lists = neardup._listed(spark.createDataFrame(held, "c long, held array<long>"), F.lit(0.75)).withColumn("label", F.col("c"))
+    kept = lists.where("c = 0").select("v").collect()
+    assert [r.v for r in kept] == [79]  # the rarest value of all lists with these members
+    assert neardup._cross(lists).where("a = 0 and b = 1").count() == 1
+    assert neardup._cross(neardup._distinct_lists(lists)).where("a = 0 and b = 1").count() == 1

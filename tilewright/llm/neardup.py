@@ -141,10 +141,12 @@ def _listed(held: DataFrame, part: Column) -> DataFrame:
 
 
 def _distinct_lists(lists: DataFrame) -> DataFrame:
-    """One of the lists with the same members; lists of one go."""
-    same = [F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.bit_xor(F.xxhash64("c", F.lit(s))).alias(f"x{s}") for s in (1, 2)]]
+    """One of the lists with the same members, that of their rarest value; lists of one go.
+
+    ``_cross`` relies on the order: the rarest common value of a pair must not give way to a later one."""
+    same = [F.min("df").alias("df"), F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.bit_xor(F.xxhash64("c", F.lit(s))).alias(f"x{s}") for s in (1, 2)]]
     signed = lists.groupBy("v").agg(*same).where("size > 1")
-    one = signed.groupBy("size", "c0", "c1", "x1", "x2").agg(F.min("v").alias("v")).select("v")
+    one = signed.groupBy("size", "c0", "c1", "x1", "x2").agg(F.min(F.struct("df", "v")).alias("m")).select("m.v")
     return lists.join(one, "v", "left_semi")
 
 
