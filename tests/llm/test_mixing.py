@@ -61,3 +61,10 @@ def test_sources_lean_as_scheduled(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
     mean = [mixing.mix(docs).join(docs, "doc_id").where(F.col("source") == f"s{k}").agg(F.avg("position")).first()[0] for k in range(3)]
     assert mean[0] < 0.45 < mean[1] < 0.55 < mean[2]
+
+
+def test_wordless_texts_stay_once(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n", None), (4, "", "only"), (4, "", "only"), (5, "a b c", "a")]
+    mixed = mixing.apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.doc_id for r in mixed if r.doc_id < 5) == [1, 2, 3, 4, 4]
+    assert {r.doc_id for r in mixed} == {1, 2, 3, 4, 5}

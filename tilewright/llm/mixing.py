@@ -93,9 +93,10 @@ def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in the order of their positions, each as often as the mix takes it, with all columns.
 
-    Documents stay whole: the one of each source that is taken in part is repeated once more from one half on."""
+    Documents stay whole: the one of each source that is taken in part is repeated once more from one half on. Null and
+    wordless texts take no words of the mix and stay once each."""
     mixed = mix(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     repeated = mixed.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return repeated.select("payload.*")
 
