@@ -13,7 +13,13 @@ from tokenizers import Tokenizer
 from tilewright.llm import bpe
 from tilewright.llm import words as W
 
-AWKWARD = ["", " ", "   ", "a", "'s", "''s", " 's", "x's y'll 'S don't we'RE it'd'd", "\n\n a", "a \n b  \t", "<|endoftext|>a<|startoftext|>", "İΣας ΟΔΟΣ", "é   x", "123 4five ½²", "日本語テキスト 한국어", "😀😀👍🏽 ok", "a" * 3000, "\x00\x01\x1c\x1f \x85z", "Å", "''''s 'd'", "'lll 'vex 'r", "<|endoftext", "ﬁ ǅ ſ K"]
+def balanced(n: int) -> tuple[str, str]:
+    """Two words of n letters, alike under many polynomial hashes: the Thue-Morse word and its opposite."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+AWKWARD = ["", " ", "   ", "a", "'s", "''s", " 's", "x's y'll 'S don't we'RE it'd'd", "\n\n a", "a \n b  \t", "<|endoftext|>a<|startoftext|>", "İΣας ΟΔΟΣ", "é   x", "123 4five ½²", "日本語テキスト 한국어", "😀😀👍🏽 ok", "a" * 3000, "\x00\x01\x1c\x1f \x85z", "Å", "''''s 'd'", "'lll 'vex 'r", "<|endoftext", "ﬁ ǅ ſ K", *balanced(1024), *balanced(4096), "y" * 70_000]
 
 
 def texts() -> list[str]:
@@ -34,7 +40,18 @@ def test_ids_equal_the_library_and_round_trip(library):
     ids, cut = encoder.encode(data, offsets)
     for k, text in enumerate(rows):
         assert ids[cut[k] : cut[k + 1]].tolist() == library.encode_ordinary(text), text
-    assert encoder.decode(ids)[0].tobytes() == data.tobytes()
+    assert bpe.RankDecoder(P.path("byte_bpe_50k.tiktoken")).decode(ids)[0].tobytes() == data.tobytes()
+
+
+def test_equal_hashes_do_not_make_equal_pieces(library, monkeypatch):
+    monkeypatch.setattr(W, "span_hashes", lambda data, starts, ends, seed=0: np.asarray(ends - starts, np.uint64))
+    words = ["ab", "cd", "ab", "xyz", "cd", "xyy"]
+    data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w) for w in words])
+    begins = ends - np.array([len(w) for w in words])
+    first, which, _ = bpe.distinct(data, begins, ends)
+    assert [words[first[k]] for k in which] == words
+    monkeypatch.setattr(W, "CHUNK", 3)
+    assert [words[bpe.distinct(data, begins, ends)[0][k]] for k in bpe.distinct(data, begins, ends)[1]] == words
 
 
 def test_every_code_point(library):

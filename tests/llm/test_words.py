@@ -43,3 +43,23 @@ def test_window_hashes_and_sums():
     assert len(h) == 36 and len(set(h.tolist())) == 7 and (h[:29] == h[7:]).all()
     assert W.window_hashes(names[:3], 5).tolist() == []
     assert W.row_sums(np.array([1.0, 2.0, 4.0]), np.array([0, 2, 0, 1])).tolist() == [0.0, 3.0, 0.0, 4.0]
+
+
+def test_span_hashes_tell_balanced_words_apart():
+    for n in (7, 8, 9, 16, 64, 65, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        both = [bytes(b"ab"[b] for b in bits), bytes(b"ba"[b] for b in bits)]
+        data = np.frombuffer(both[0] + both[1] + both[0] + b"\0", np.uint8)
+        for seed in (0, 1):
+            h = W.span_hashes(data, np.array([0, n, 2 * n, 2 * n]), np.array([n, 2 * n, 3 * n, 3 * n + 1]), seed)
+            assert h[0] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_span_hashes_depend_on_bytes_alone():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 100))) for _ in range(500)] * 2
+    rng.shuffle(words)
+    ends = np.cumsum([len(w) for w in words])
+    h = W.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - np.array([len(w) for w in words]), ends)
+    names: dict = {}
+    assert all(names.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(names.values())) == len(names)

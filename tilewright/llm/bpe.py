@@ -115,15 +115,33 @@ def pretokens(points: np.ndarray, rows: np.ndarray, joined: bool) -> tuple[np.nd
     return begins, ends
 
 
-def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the first of each distinct byte span, the number of each span's distinct one, and their two hashes."""
-    h1, h2 = W.span_hashes(data, begins, ends), W.span_hashes(data, begins, ends, 1)
-    _, first, which = np.unique(h1, return_index=True, return_inverse=True)
-    if not np.array_equal(h2[first][which], h2):  # two spans share a 64-bit hash
+def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first of each distinct byte span, the number of each span's distinct one, and the first ones' hashes.
+
+    Spans with equal hashes are compared byte by byte with the first of them."""
+    h = W.span_hashes(data, begins, ends)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if not _same_bytes(data, begins, ends, first[which]):
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(begins, ends, strict=True)], np.int64)
         first = np.unique(which, return_index=True)[1]
-    return first, which, h1[first], h2[first]
+    return first, which, h[first]
+
+
+def _same_bytes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span numbered ``other``; a slice of spans at a time."""
+    size = ends - begins
+    if not np.array_equal(size, size[other]):
+        return False
+    total = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + W.CHUNK, "right")))
+        step = np.arange(total[b - 1] - total[a] + size[a]) - np.repeat(total[a:b] - size[a:b] - total[a] + size[a], size[a:b])
+        if not np.array_equal(data[np.repeat(begins[a:b], size[a:b]) + step], data[np.repeat(begins[other[a:b]], size[a:b]) + step]):
+            return False
+        a = b
+    return True
 
 
 class PerfectHash:
@@ -229,17 +247,21 @@ def merged_length(symbols: list[str], merges: dict[tuple[str, str], int]) -> int
     return left
 
 
+def read_ranks(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Tokens and ids of a rank file: lines of a base64 token and its rank."""
+    with open(path, "rb") as f:
+        pairs = [line.split() for line in f.read().splitlines() if line.strip()]
+    return [base64.b64decode(t) for t, _ in pairs], np.array([int(r) for _, r in pairs], np.uint32)
+
+
 class RankEncoder:
-    """A rank file: lines of a base64 token and its rank."""
+    """Texts to ids by the ranks of a file."""
 
     def __init__(self, path: str):
-        pairs = [line.split() for line in open(path, "rb").read().splitlines() if line.strip()]
-        self.ids = np.array([int(r) for _, r in pairs], np.uint32)
-        tokens = [base64.b64decode(t) for t, _ in pairs]
+        tokens, self.ids = read_ranks(path)
         self.hash = PerfectHash(tokens)
+        self.vocabulary = self.hash.flat.tobytes()
         self.ranks = dict(zip(tokens, self.ids.tolist(), strict=True))
-        self.by_id = np.full(int(self.ids.max()) + 1, -1, np.int64)
-        self.by_id[self.ids] = np.arange(len(tokens))
         self.known: dict[bytes, list[int]] = {}
 
     def __getstate__(self):
@@ -252,16 +274,16 @@ class RankEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         begins, ends = pretokens(points, rows, joined=True)
         bytes_from, bytes_to = at[begins], at[ends]
-        first, which, h1, h2 = distinct(data, bytes_from, bytes_to)
+        first, which, h1 = distinct(data, bytes_from, bytes_to)
+        h2 = W.span_hashes(data, bytes_from[first], bytes_to[first], 1)
         raw = data.tobytes()
         pieces: list[list[int]] = []
         table = self.hash
         if len(self.known) > CACHE:
             self.known.clear()
-        vocabulary = table.flat.tobytes()
         for a, b, k in zip(bytes_from[first].tolist(), bytes_to[first].tolist(), table.find(h1, h2).tolist(), strict=True):
             piece = raw[a:b]
-            if k >= 0 and vocabulary[table.begins[k] : table.ends[k]] == piece:
+            if k >= 0 and self.vocabulary[table.begins[k] : table.ends[k]] == piece:
                 pieces.append([int(self.ids[k])])
             elif (found := self.known.get(piece)) is not None:
                 pieces.append(found)
@@ -276,11 +298,20 @@ class RankEncoder:
         total = np.concatenate([[0], np.cumsum(sizes[which])])
         return ids, total[np.searchsorted(begins, rows)]
 
+
+class RankDecoder:
+    """Ids to bytes: the tokens one after another, and where each id's token lies."""
+
+    def __init__(self, path: str):
+        tokens, ids = read_ranks(path)
+        own = np.array([len(t) for t in tokens], np.int64)
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.begins, self.sizes = np.zeros(int(ids.max()) + 1, np.int64), np.zeros(int(ids.max()) + 1, np.int64)
+        self.begins[ids], self.sizes[ids] = np.cumsum(own) - own, own
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids one after another, and how many each has."""
-        key = self.by_id[ids]
-        sizes = self.hash.ends - self.hash.begins
-        return _gather(self.hash.flat, self.hash.begins, sizes, key), sizes[key]
+        return _gather(self.flat, self.begins, self.sizes, ids), self.sizes[ids]
 
 
 def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -313,13 +344,13 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The same columns and ``decoded``: the bytes that ``ids`` stand for (null: none)."""
-    encoder = encoded.sparkSession.sparkContext.broadcast(RankEncoder(path))
+    decoder = encoded.sparkSession.sparkContext.broadcast(RankDecoder(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
             for _, _, data, offsets in W.slices(batch.column(batch.schema.get_field_index("ids"))):
-                raw, sizes = encoder.value.decode(np.frombuffer(data.tobytes(), "<u4"))
+                raw, sizes = decoder.value.decode(np.frombuffer(data.tobytes(), "<u4"))
                 total = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4].tolist()
                 raw = raw.tobytes()
                 out += [raw[a:b] for a, b in zip(total[:-1], total[1:], strict=True)]
@@ -379,7 +410,7 @@ class MergeCounter:
             return out
         if len(self.known) > CACHE:
             self.known.clear()
-        first, which, _, _ = distinct(data, at[begins], at[ends])
+        first, which, _ = distinct(data, at[begins], at[ends])
         raw = data.tobytes()
         sizes = np.array([self.piece(raw[a:b]) for a, b in zip(at[begins[first]].tolist(), at[ends[first]].tolist(), strict=True)], np.int64)
         total = np.concatenate([[0], np.cumsum(sizes[which])])[np.searchsorted(begins, rows)]

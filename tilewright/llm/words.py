@@ -2,12 +2,13 @@
 
 A worker sees a batch as one flat UTF-8 byte array plus row offsets and works on it in slices of about
 ``CHUNK`` bytes, so memory stays bounded whatever the batch holds; a row longer than that is a slice by itself.
-Words are ``[^\\x20\\x09-\\x0D]+`` unless said otherwise. Hashes are 64-bit: a polynomial over the word's bytes,
-taken from one prefix sum, then mixed.
+Words are ``[^\\x20\\x09-\\x0D]+`` unless said otherwise. Hashes are 64-bit: a word's bytes are mixed in eight at a time,
+and those of long words come from BLAKE2b. Where a collision would give a wrong result, callers compare the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: A fixed odd-looking value for each byte, so that byte 0 counts too.
-_BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642F)
+#: Words of more bytes than this are hashed one by one with BLAKE2b.
+LONG = 64
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -54,12 +55,28 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of ``data[starts[i]:ends[i]]`` for each i; equal bytes, equal hash."""
-    up, down = _power_tables(len(data) + 1)
-    values = _BYTE if not seed else mix(_BYTE + np.uint64(seed & _MASK))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of ``data[starts[i]:ends[i]]`` for each i; equal bytes, equal hash.
+
+    Eight bytes at a time are mixed into the state, for all spans at once; hashes of other seeds are independent. Long
+    spans go through BLAKE2b, keyed with the seed, so work stays in proportion to the bytes."""
+    size = ends - starts
+    padded = np.concatenate([np.ascontiguousarray(data), np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(np.uint64) + mix(np.array([(seed * _BASE + 1) & _MASK], np.uint64)))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        lane = lanes[starts[live] + at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] * np.uint64(_BASE) ^ lane)
+        at += 8
+        live = live[left > 8]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
