@@ -1,6 +1,7 @@
 """Held-out accuracy on made-up labelled texts, scores against plain sums, and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from tilewright.llm import quality, toxicity
 from tilewright.llm import words as W
-from tilewright.llm.ftrl import Ftrl
+from tilewright.llm.ftrl import Ftrl, fit, start_state
 
 
 def made(seed: int = 1, n: int = 500):
@@ -91,3 +92,47 @@ def test_ftrl_matches_the_formula():
     n3 = n2 + 0.16
     z3 = z2 + 0.4 - (n3**0.5 - n2**0.5) / 0.5 * w2
     assert w[3] == pytest.approx(-(z3 - 0.1) / ((1 + n3**0.5) / 0.5 + 0.2)) and w[:3].tolist() == [0, 0, 0]
+
+
+def test_score_is_the_noisy_or_of_sentences():
+    """Against plain sums over a regular expression's words; a feature counts once in a sentence."""
+    rng = np.random.default_rng(2)
+    weights = np.where(rng.random((1 << 10) + 1) < 0.6, 0, rng.normal(size=(1 << 10) + 1))
+    weights[-1] = -2.0
+    texts = ["", " .!", "One.", "one two One! Three-four, élan? word\nNext words.. x", "a" * 40 + " " + "bbbbbbbbb " * 3, None]
+    got = toxicity._score(pa.array(texts), weights, 0.75, 10)
+    for k, text in enumerate(texts):
+        none, spans = 1.0, []
+        for m in re.finditer(rb"[^.!?\n]+", (text or "").encode()):
+            words = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", m.group()))
+            at = set()
+            for w in words:
+                low = w.group().lower()
+                for n in (0, *toxicity.PREFIXES):
+                    if len(low) > n:
+                        data = np.frombuffer(low[:n] if n else low, np.uint8)
+                        at.add(int(W.span_hashes(data, np.array([0]), np.array([len(data)]), n)[0] >> np.uint64(54)))
+            if words:
+                logit = weights[-1] + sum(weights[i] for i in at)
+                none *= 1 - 1 / (1 + np.exp(-logit))
+                if logit >= 0.75:
+                    spans.append((m.start() + words[0].start(), m.start() + words[-1].end()))
+        assert got["score"][k].as_py() == pytest.approx((1 - none) / (1 - none + none * np.exp(0.75)), abs=1e-8)
+        assert [(s["start"], s["end"]) for s in got["offending"][k].as_py()] == spans and got["n_offending"][k].as_py() == len(spans)
+
+
+def test_cut_is_in_the_middle_of_the_best():
+    counts = np.zeros((2 * toxicity.REACH * toxicity.STEP, 2))
+    assert toxicity.best_cut(counts) == 0.0
+    counts[100, 0], counts[140, 1] = 5, 3
+    assert toxicity.best_cut(counts) == pytest.approx((101 + 140) / 2 / toxicity.STEP - toxicity.REACH, abs=0.5 / toxicity.STEP + 1e-9)
+
+
+def test_blocks_of_states_average(spark):
+    rows = spark.createDataFrame([(i, s, 1, "x") for s in range(3) for i in range(2)], "doc_id long, shard int, y int, text string")
+    def learn(z, n, t):
+        z[5], n[5] = t.column("shard")[0].as_py(), 4.0
+    f = Ftrl(bits=14, l1=0.0)
+    z, n = start_state(f, -1.0)
+    z[5], n[5] = 1.0, 4.0
+    assert np.allclose(fit(rows, f, learn, -1.0, rounds=1), f.weights(z.astype(float), n.astype(float)), atol=1e-6)

@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.plans.storage import discard, materialize
-
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -38,6 +36,10 @@ class Ftrl:
         n[at] = new
 
 
+#: Entries of the state that travel together.
+BLOCK = 1 << 12
+_STATE = "block int, z array<float>, n array<float>"
+
 #: learn(z, n, table) runs over one shard in place; the table has the columns ``y`` and ``text`` in a fixed order.
 Learn = Callable[[np.ndarray, np.ndarray, pa.Table], None]
 
@@ -45,42 +47,59 @@ Learn = Callable[[np.ndarray, np.ndarray, pa.Table], None]
 def fit(sample: DataFrame, ftrl: Ftrl, learn: Learn, bias: float, rounds: int = 3) -> np.ndarray:
     """Weights from ``sample`` (doc_id, shard, y, text); the last entry is the intercept, ``bias`` at the start.
 
-    An empty sample gives zero weights and that intercept."""
-    sample = kept = materialize(sample)
+    States travel as arrays of ``BLOCK`` entries, and Spark averages the shards' blocks. An empty sample gives zero
+    weights and that intercept. ``sample`` is read once a round, so it should be a written table."""
     size = (1 << ftrl.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    n[-1] = 1.0
-    z[-1] = -bias * ((ftrl.beta + 1.0) / ftrl.alpha + ftrl.l2) - np.sign(bias) * ftrl.l1
+    z, n = start_state(ftrl, bias)
     for _ in range(rounds):
-        start = sample.sparkSession.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
+        start = sample.sparkSession.sparkContext.broadcast((z, n))
 
         def one(table: pa.Table) -> pa.Table:
             own_z, own_n = (x.astype(np.float64) for x in start.value)
             learn(own_z, own_n, table.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
-            used = np.flatnonzero((own_n > 0) | (own_z != 0)).astype(np.int32)
-            return pa.table({"i": used, "z": own_z[used], "n": own_n[used]})
+            return _blocks(own_z, own_n)
 
-        states = sample.groupBy("shard").applyInArrow(one, "i int, z double, n double")
-        shards = sample.select("shard").distinct().count()
-        if not shards:
-            break
-        mean = states.groupBy("i").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
-        z, n = np.zeros(size), np.zeros(size)
-        z[mean["i"]], n[mean["i"]] = mean["z"], mean["n"]
+        states = sample.groupBy("shard").applyInArrow(one, _STATE)
+        mean = states.groupBy("block").applyInArrow(_mean, _STATE).toArrow().sort_by("block")
         start.unpersist()
-    discard(kept)
-    return ftrl.weights(z, n)
+        if not mean.num_rows:
+            break
+        z, n = (mean.column(c).combine_chunks().flatten().to_numpy()[:size] for c in ("z", "n"))
+    return ftrl.weights(z.astype(np.float64), n.astype(np.float64))
+
+
+def start_state(ftrl: Ftrl, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    z, n = (np.zeros((1 << ftrl.bits) + 1, np.float32) for _ in range(2))
+    n[-1] = 1.0
+    z[-1] = -bias * ((ftrl.beta + 1.0) / ftrl.alpha + ftrl.l2) - np.sign(bias) * ftrl.l1
+    return z, n
+
+
+def _blocks(z: np.ndarray, n: np.ndarray) -> pa.Table:
+    count = -(-len(z) // BLOCK)
+    padded = [np.zeros(count * BLOCK, np.float32) for _ in range(2)]
+    for out, x in zip(padded, (z, n), strict=True):
+        out[: len(x)] = x
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BLOCK), pa.array(x)) for x in padded]
+    return pa.table({"block": pa.array(np.arange(count, dtype=np.int32)), "z": lists[0], "n": lists[1]})
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One block of the mean of the shards' states."""
+    table = table.combine_chunks()
+    means = [table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, BLOCK).mean(0, dtype=np.float64).astype(np.float32) for c in ("z", "n")]
+    return pa.table({"block": table.column("block").slice(0, 1), "z": pa.array([means[0]], pa.list_(pa.float32())), "n": pa.array([means[1]], pa.list_(pa.float32()))})
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, y: str, folds: int, held_out: int, bound: int, shards: int, id_col: str = "doc_id") -> DataFrame:
     """About ``bound`` labelled rows at most, outside the held-out fold, chosen by a hash of the id.
 
     The ids are counted, and the share that is kept is bound / count; they are few enough to broadcast. Rows with
-    null label, id or text teach nothing. A small sample is dealt to fewer shards."""
+    null label, id or text teach nothing."""
     ids = labels.where(F.col(y).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % folds != held_out))
     ids = ids.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(y)).alias("y"))
     found = ids.count()
-    share, shards = min(1.0, bound / max(1, found)), min(shards, 1 + min(bound, found) // 1000)
+    share = min(1.0, bound / max(1, found))
     ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col("text")).where(F.col("text").isNotNull())
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int").alias("shard"), F.col("y").cast("int").alias("y"), "text")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
 from tilewright.llm.ftrl import Ftrl, bounded_sample, fit, held_out_fold, map_scored, sigmoid
+from tilewright.plans.storage import discard, materialize
 
 #: Labelled rows used for fitting at most (in expectation), and the number of shards they are learnt in.
 SAMPLE_BOUND, SHARDS = 12_000, 8
@@ -81,8 +82,10 @@ def score_texts(column: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, bound: int = SAMPLE_BOUND, ftrl: Ftrl = FTRL) -> np.ndarray:
     """Weights learnt from labelled rows outside the held-out fold."""
-    sample = bounded_sample(docs, labels, label, folds, held_out, bound, SHARDS)
-    return fit(sample, ftrl, lambda z, n, t: learn(z, n, t, ftrl), bias=0.0)
+    sample = materialize(bounded_sample(docs, labels, label, folds, held_out, bound, SHARDS))
+    weights = fit(sample, ftrl, lambda z, n, t: learn(z, n, t, ftrl), bias=0.0)
+    discard(sample)
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), bits: int = FTRL.bits) -> DataFrame:
