@@ -33,11 +33,13 @@ def check(rows, docs):
     for r in rows:
         s = source[r.doc_id]
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s], abs=1e-6)
-        assert 0 <= r.taken <= 2 * r.size and 0 <= r.position <= 1
+        assert 0 <= r.taken <= 2 * r.size and r.taken == sum(p.words for p in r.passes)
+        assert (r.position is None) == (r.size > 0 == r.taken) and all(0 <= p.position <= 1 for p in r.passes)
         taken[s] = taken.get(s, 0) + r.taken
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
-    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    found = [r.position for r in rows if r.position is not None]
+    assert found == sorted(found) and all(r.position is None for r in rows[len(found) :])
 
 
 def test_table(spark, sf_dir):
@@ -57,10 +59,36 @@ def test_edges(spark):
     assert {r.taken for r in mixing.mix(docs.where("text is null")).collect()} == {0}
 
 
-def test_sources_lean_as_scheduled(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
-    mean = [mixing.mix(docs).join(docs, "doc_id").where(F.col("source") == f"s{k}").agg(F.avg("position")).first()[0] for k in range(3)]
-    assert mean[0] < 0.45 < mean[1] < 0.55 < mean[2]
+@pytest.mark.parametrize("sizes", [(3000, 3000, 3000), (6000, 6000, 300)])
+def test_words_taken_follow_the_schedule(spark, sizes):
+    """Words taken in each tenth of training against the integral of the schedule, for targets below and above the size."""
+    rows = [(i, "a b c d e", f"s{k}") for k, n in enumerate(sizes) for i in range(k * 10_000, k * 10_000 + n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "source_size", "target", F.explode("passes").alias("p")).select("source", "source_size", "target", "p.*").toPandas()
+    integral = lambda u, tilt: u + tilt * (u * u - u)
+    below = set()
+    for k, tilt in enumerate(mixing.TILTS):
+        own = mixed[mixed["source"] == f"s{k}"]
+        target = own["target"].iloc[0]
+        below.add(bool(target < own["source_size"].iloc[0]))
+        for tenth in range(10):
+            got = own[(own["position"] >= tenth / 10) & ((own["position"] < (tenth + 1) / 10) | (tenth == 9))]["words"].sum()
+            assert got == pytest.approx(target * (integral((tenth + 1) / 10, tilt) - integral(tenth / 10, tilt)), abs=10)
+    assert below == {True, False}
+
+
+def test_passes_stand_apart(spark):
+    docs = spark.createDataFrame([(i, "a b c", "x") for i in range(200)], "doc_id long, text string, source string")
+    twice = [r for r in mixing.mix(docs).collect() if len(r.passes) == 2]
+    assert len(twice) == 100 and all(r.passes[1].position - r.passes[0].position > 0.3 for r in twice)
+    order = [r.doc_id for r in mixing.apply_mix(docs).collect()]
+    assert len(order) == 300 and order[:100] == order[200:]
+
+
+def test_rows_with_one_id_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(None, f"w{i} w", "s", 1) for i in range(400)], "doc_id long, text string, source string, size int")
+    rows = mixing.mix(docs).collect()
+    assert len({r.position for r in rows}) == 400 and sum(r.taken for r in rows) == 1200
 
 
 def test_wordless_texts_stay_once(spark):

@@ -3,18 +3,22 @@
 Sources in code-point order (null last) weigh 5, 2, 1, 5, 2, 1, ...; together they share ``SHARE`` of all words, none
 more than ``CAP`` times its own size, and what the cap cuts off is shared again by weight. A source's share over
 training time u in [0, 1] follows the linear schedule w(u) = 1 + tilt * (2u - 1), whose integral D(u) = u + tilt *
-(u^2 - u) is the part of the source's demand that has been met by u. Documents stand in a hashed order within their source; one
-whose words are the k-th to the (k+m)-th of the demand gets the position where D reaches their middle, found by
-inverting the quadratic. Documents are then sorted by position over ranges.
+(u^2 - u) is the part of the source's demand, its target, that has been met by u. Documents stand in a hashed order
+within their source, and that order is gone through again and again until the demand is met: each pass through a
+document takes its words as the next ones of the demand, and gets the position where D reaches the middle of them, found
+by inverting the quadratic. Documents are then sorted by position over ranges. So over any stretch of training a source
+gives the words that its schedule asks for there, to within a document, whether its target is below its size or above.
 
 A source that wants ``target`` words takes every document floor(target / size) times over and the next documents in
 order once more, the last of them in part, so the words taken meet the target to within one word.
 
 Cumulative sums never bring a whole source to one task: a source's documents are dealt into about sqrt(rows) buckets
-by the leading bits of their hash; bucket sums are accumulated per source, and rows within a bucket.
+by the leading bits of their hash, which covers id and text; bucket sums are accumulated per source, and rows within a
+bucket.
 
-Edge cases: null or empty texts have size 0, take 0 words and stand where their neighbours stand; a null source is a
-source of its own; rows with the same doc_id are documents of their own, tied rows in an arbitrary but equal-valued
+Edge cases: null or empty texts have size 0, take 0 words and stand where their neighbours of the first pass stand (at
+the end, if the demand ends before); other documents that the mix leaves out have no position and come last; a null
+source is a source of its own; rows with the same doc_id are documents of their own, tied rows in an arbitrary but equal-valued
 order; null ids are kept; an empty table gives no rows. Other columns are dropped.
 """
 
@@ -56,19 +60,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumns({"wanted": F.sum("source_size").over(whole) * F.lit(SHARE), "weights": F.sum("weight").over(whole)})
     level = (F.col("wanted") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
     s = s.withColumn("level", F.max(level).over(whole))
-    target = F.least("cap", F.col("level") * F.col("weight"))
+    target = F.round(F.least("cap", F.col("level") * F.col("weight")), 6)
     return s.select("source", "source_size", target.alias("target"), "tilt")
 
 
 def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of each document, sorted by position.
+    """doc_id, size, source_size, target, taken, position (of the first pass) and passes (position and words of each)
+    of each document, sorted by position.
 
     ``payload`` is carried along as ``payload``."""
     extra = [] if payload is None else ["payload"]
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([] if payload is None else [payload.alias("payload")]))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), *([] if payload is None else [payload.alias("payload")]))
     buckets = max(1, math.isqrt(docs.count()))
-    key = F.xxhash64(F.col("doc_id"), F.lit(2))
-    sized = sized.withColumns({"key": key, "bucket": F.pmod(key, F.lit(buckets)).cast("int")})
+    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Wd.partitionBy("source").orderBy("bucket").rowsBetween(Wd.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -78,27 +83,38 @@ def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
     placed = sized.withColumn("row_before", F.coalesce(F.sum("size").over(rows), F.lit(0)))
     left, right = placed.alias("a"), starts.alias("b")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
-    placed = left.join(right, on).select(*[f"a.{c}" for c in extra], "a.doc_id", "a.size", "a.key", "b.source_size", "b.target", "b.tilt", (F.col("b.bucket_before") + F.col("a.row_before")).alias("done"))
-    goal = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = goal - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("done")))
-    part = F.when(F.col("source_size") > 0, (F.col("done") + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.5))
+    placed = left.join(right, on).select(*[f"a.{c}" for c in extra], "a.doc_id", "a.size", "b.source_size", "b.target", "b.tilt", (F.col("b.bucket_before") + F.col("a.row_before")).alias("done"))
+    placed = placed.withColumn("goal", F.round("target").cast("long"))
+    placed = placed.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("whole") * F.col("source_size") - F.col("done"))).cast("long")
+    placed = placed.withColumn("last", last)
+    words = lambda nth: F.when(nth < F.col("whole"), F.col("size")).otherwise(F.col("last"))
+    middle = lambda nth: nth * F.col("source_size") + F.col("done") + words(nth) / 2
+    one = lambda nth: F.struct(_position(middle(nth)).alias("position"), words(nth).alias("words"))
+    every = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda nth: words(nth) > 0), one)
+    still = F.array(F.struct(_position(F.col("done")).alias("position"), F.lit(0).cast("long").alias("words")))
+    out = placed.withColumn("passes", F.when(F.col("size") > 0, every).otherwise(still))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+    first = F.get("passes", F.lit(0))["position"]
+    return out.select(*extra, "doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("position"), "passes").orderBy(F.asc_nulls_last("position"), "doc_id", "size")
+
+
+def _position(words: Column) -> Column:
+    """The training time at which ``words`` of the demand have been met."""
+    part = F.when(F.col("goal") > 0, F.least(F.lit(1.0), words / F.col("goal"))).otherwise(F.lit(0.5))
     lean = F.lit(1.0) - F.col("tilt")
     inverse = F.when(F.col("tilt") == 0, part).otherwise((F.sqrt(lean * lean + 4 * F.col("tilt") * part) - lean) / (2 * F.col("tilt")))
-    out = placed.select(*extra, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), inverse)).alias("position"))
-    return out.orderBy("position", "doc_id", "size")
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inverse)), 9)
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in the order of their positions, each as often as the mix takes it, with all columns.
+    """The rows of ``docs`` as often as the mix takes them, with all columns, each pass at its own position in the order.
 
-    Documents stay whole: the one of each source that is taken in part is repeated once more from one half on. Null and
-    wordless texts take no words of the mix and stay once each."""
+    Documents stay whole: the one of each source that is taken in part stands there from one half on. Null and wordless
+    texts take no words of the mix and stay once each. No rows: no rows."""
     mixed = mix(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    repeated = mixed.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select("payload.*")
+    kept = mixed.select("payload", "size", F.explode("passes").alias("pass")).where("2 * pass.words >= size")
+    return kept.orderBy("pass.position").select("payload.*")
 
 
 def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
