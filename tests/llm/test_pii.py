@@ -74,3 +74,24 @@ def test_octets_of_zeros(spark):
     assert [brute(t)["ip"] != [] for t in pool] == [True] * 7 + [False] * 3 + [True, False]
     text = spark.createDataFrame([(1, "host 10.0.0.1 up", 16)], "doc_id long, text string, n_chars long")
     assert pii.redact(text).first().text == "host [IP] up"
+
+
+def test_trees_learn_from_sure_ones_and_find_others(spark):
+    """Tokens after a cue teach what a secret looks like; ones of the same form are found, words and numbers are not."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(18)) + "a1"
+    made = [f"say token={key()} now" for _ in range(300)] + [f"mail me a{i} (at) host (dot) org today" for i in range(100)] + [f"plain words number {i} and some-long-word-x{i % 3} there" for i in range(300)]
+    docs = spark.createDataFrame([(i, t, len(t), "v") for i, t in enumerate(made)], "doc_id long, text string, n_chars long, `a.b` string")
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert all(made[i][r.secret_all[0].start : r.secret_all[0].end] == made[i][10:30] and len(r.secret_all) == 1 for i, r in rows.items() if i < 300)
+    assert all(made[i][r.email_all[0].start : r.email_all[0].end].startswith("a") for i, r in rows.items() if 300 <= i < 400)
+    assert not any(r[f"{k}_all"] for i, r in rows.items() if i >= 400 for k in pii.ALL_KINDS)
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert out[0].text == "say token=[SECRET] now" and out[0]["a.b"] == "v" and out[300].text == "mail me [EMAIL] today" and out[450].text == made[450]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x 1.2.3.4 " * 700 + "a@b.c, " * 600
+    docs = spark.createDataFrame([(1, text), (2, "1.2.3.4 " * 255 + "5.6.7.8"), (3, "1.2.3.4 " * 256)], "doc_id long, text string")
+    for r in pii.find(docs, ("text",)).collect():
+        assert {k: [tuple(s) for s in r[k]] for k in pii.KINDS} == brute(r.text)

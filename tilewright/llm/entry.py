@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("passes")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ def pii_digests(docs: DataFrame) -> DataFrame:
     found = pii.find(docs)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = pii.joined({k: F.col(k) for k in pii.KINDS})
-    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined({k: F.col(f"{k}_all") for k in pii.KINDS}).alias("spans"))
+    every = {k: F.col(f"{k}_all") for k in pii.ALL_KINDS}
+    n_spans = sum((F.size(c) for c in every.values()), F.lit(0)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined(every).alias("spans"), n_spans)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

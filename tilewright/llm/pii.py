@@ -5,13 +5,19 @@ the marks and folding over the parts' lengths; offsets count code points. Patter
 possessive and a match starts where its run starts, so long runs take linear time.
 
 *Base* spans are the matches of four patterns that pass their checks. *Candidates* are the matches of the wide
-generators, which overlap one another and the base spans: anything around an @, dotted or coloned groups, and long
-digit groups with separators. A candidate has format features (digits, separators, groups, brackets) and context
-features (the characters beside it, a cue word before it). Cells of equal features are counted over all documents
-with how often they hold a base span; the number of cells is bounded by the features' ranges, so the boosted trees are
-fitted to those counts, on the driver. Half of the cells' documents fit the trees and the other half calibrate the
-threshold: the lowest score from which on at least ``PRECISION`` of the candidates hold base spans. The trees are then written as CASE
-expressions. A candidate that scores above the threshold and touches no base span of its kind is added.
+generators, which overlap one another and the base spans: anything around an @ or a written-out "(at)", dotted or coloned
+groups, long digit groups with separators, and long tokens of letters and digits (the kind ``secret``, which has no base
+pattern). A candidate has format features (digits, separators, groups, brackets, alphabet) and context features (the
+characters beside it, a cue word before it).
+
+There are no labels for personal data, so weak ones teach: a candidate is *sure* if it holds a base span or passes a
+check of its own kind that base patterns do not make, as a written-out address, eight hexadecimal groups, a valid card
+number with unusual separators, a phone number after a cue, a token after ``password=`` or of a known key format. Cells
+of equal features are counted over all documents with how many are sure; the number of cells is bounded by the
+features' ranges, so the boosted trees are fitted to those counts, on the driver. Half of the cells' documents fit the
+trees and the other half calibrate the threshold: the lowest score from which on at least ``PRECISION`` of the
+candidates are sure. The trees are then written as CASE expressions, and find what looks the same without passing a
+check. A candidate that scores above the threshold and touches no base span of its kind is added.
 
 Edge cases: nulls count as empty and have no spans; rows that repeat get equal results; null ids are kept; an empty
 table gives no rows; without candidates nothing is added. U+0001 in a text stands for itself (it is swapped for
@@ -29,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: With the kind that only the trees find.
+ALL_KINDS = (*KINDS, "secret")
 MARK, OTHER_MARK = "\x01", "\x02"
 
 #: Each kind's pattern, written so that Java's engine takes linear time.
@@ -40,16 +48,20 @@ BASE = {
 }
 #: Wide generators, with the kind that a span of theirs is given.
 GENERATORS = {
-    "email": r"[^\s@\x01]++@[^\s@\x01]++",
+    "email": r"(?<![^\s@\x01])[^\s@\x01]++@[^\s@\x01]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+[\[(]at[\])]\x20?+[A-Za-z0-9-]++(?:\x20?+(?:\.|[\[(]dot[\])])\x20?+[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f.:])[0-9A-Fa-f]++(?:[.:][0-9A-Fa-f]++){3,7}+",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]?[0-9]){9,15}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,14}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{12,}+",
 }
 OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
+SECRET_CUES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|key|credentials?)[\x22'\x20]{0,2}[:=][\x22'\x20]{0,2}$"
 CUES = r"(?i)(?:mail|tel|phone|call|fax|card|visa|ip|addr|host|contact|nombre|kontakt)[^A-Za-z0-9]{0,4}$"
 #: Least share of base spans among the candidates above the threshold, the boosting rounds and their step.
 PRECISION, ROUNDS, STEP = 0.98, 12, 0.5
 
+#: Parts that are folded at a time; even, so that each chunk starts outside a match.
+PARTS = 512
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -66,17 +78,35 @@ def _valid(kind: str, match: Column) -> Column:
 
 def _matches(text: Column, pattern: str, keep, value) -> Column:
     """Fold over the parts of the marked text: odd parts are matches. ``keep`` says which count, ``value`` makes of
-    (match, start, end, part before, part after) an element."""
+    (match, start, end) an element. Many parts are folded in chunks, as each append copies what there is."""
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    kind = value(F.lit(""), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.slice(F.array(kind), 1, 0).alias("found"))
+    none = F.slice(F.array(value(F.lit(""), F.lit(0).cast("long"), F.lit(0).cast("long"))), 1, 0)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         hit = acc["odd"] & keep(part)
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(hit, F.concat(acc["found"], F.array(value(part, acc["at"], end)))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, zero, step)["found"]
+    def fold(chunk: Column, start: Column) -> Column:
+        return F.aggregate(chunk, F.struct(start.alias("at"), F.lit(False).alias("odd"), none.alias("found")), step)["found"]
+
+    def folded(chunks: Column) -> Column:
+        size = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda n, part: n + F.length(part))
+        before = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, chunk: F.concat(acc, F.array(F.element_at(acc, -1) + size(chunk))))
+        starts = F.slice(before, 1, F.size(chunks))
+        return F.flatten(F.zip_with(chunks, starts, fold))
+
+    def dealt(all_parts: Column) -> Column:
+        last = F.floor((F.size(all_parts) - 1) / PARTS).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_parts, k * PARTS + 1, F.lit(PARTS)))
+        return F.when(F.size(all_parts) <= PARTS, fold(all_parts, F.lit(0).cast("long"))).otherwise(_let(chunks, folded))
+
+    return _let(parts, dealt)
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _span(_: Column, start: Column, end: Column) -> Column:
@@ -89,7 +119,7 @@ def _clean(text: Column) -> Column:
 
 def _if_any(kind: str, text: Column, then: Column, otherwise: Column) -> Column:
     """Skip texts that lack the one character which the kind's patterns cannot do without."""
-    need = text.contains("@") if kind == "email" else text.rlike("[0-9]")
+    need = text.contains("@") | text.contains("at)") | text.contains("at]") if kind == "email" else text.rlike("[0-9]")
     return F.when(need, then).otherwise(otherwise)
 
 
@@ -122,19 +152,38 @@ def _feature_list(kind: str, match: Column, before: Column, after: Column, digit
         (before.rlike(r"[+]$") | match.startswith("+"), 2),
         (after.rlike("[A-Za-z0-9]"), 2),
         (before.rlike(CUES), 2),
+        (before.rlike(SECRET_CUES), 2),
+        (match.rlike("^[A-Z0-9]+$"), 2),
+        (match.rlike("^[0-9a-f]+$"), 2),
     ]
 
 
-RADIX = (7, 5, 2, 2, 2, 2, 2, 2, 2, 2)
+RADIX = (7, 5, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2)
+
+
+def _sure(kind: str, text: Column, c: Column) -> Column:
+    """The weak label of a candidate beyond base spans: a check that only what is personal is likely to pass."""
+    match = c["match"]
+    before = F.substr(text, F.greatest(F.lit(1), c["start"] - 23), F.least(c["start"], F.lit(24)))
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    if kind == "email":
+        return match.rlike(r"[\[(]at[\])]")
+    if kind == "ip":
+        return match.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+    if kind == "card":
+        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+    if kind == "phone":
+        return before.rlike(CUES)
+    return before.rlike(SECRET_CUES) | match.rlike("^A[KS]IA[A-Z0-9]{16}$")
 
 
 def _candidates(text: Column, base: dict[str, Column], kind: str) -> Column:
-    """Array of (start, end, cell, holds a base span)."""
+    """Array of (start, end, cell, whether it touches a base span, whether it is sure)."""
     take = lambda m, a, b: F.struct(m.alias("match"), a.alias("start"), b.alias("end"))
     found = _matches(text, GENERATORS[kind], lambda _: F.lit(True), take)
-    held = lambda c: F.exists(base[kind], lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    made = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _features(text, kind, c).alias("cell"), held(c).alias("base")))
-    return _if_any(kind, text, made, F.array().cast("array<struct<start:bigint,end:bigint,cell:int,base:boolean>>"))
+    held = lambda c: F.exists(base[kind], lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])) if kind in base else F.lit(False)
+    made = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _features(text, kind, c).alias("cell"), held(c).alias("base"), _sure(kind, text, c).alias("sure")))
+    return _if_any(kind, text, made, F.array().cast("array<struct<start:bigint,end:bigint,cell:int,base:boolean,sure:boolean>>"))
 
 
 @dataclass(frozen=True)
@@ -156,10 +205,10 @@ def fit(docs: DataFrame) -> dict[str, Trees]:
     """Trees for each kind, from the counts of all candidates' cells in all documents."""
     df = _prepared(docs, ()).withColumn("_half", F.pmod(F.xxhash64("_t"), F.lit(2)))
     base = {k: F.col(f"_{k}") for k in KINDS}
-    cell_of = lambda i: lambda c: F.struct(F.lit(i).alias("kind"), c["cell"].alias("cell"), c["base"].alias("base"))
-    rows = F.flatten(F.array(*[F.transform(_candidates(F.col("_t"), base, k), cell_of(i)) for i, k in enumerate(KINDS)]))
-    cells = df.select("_half", F.explode(rows).alias("c")).groupBy("c.kind", "c.cell", F.col("_half").alias("half")).agg(F.count("*").alias("n"), F.count_if("c.base").alias("pos")).toPandas()
-    return {k: _boost(cells[cells["kind"] == i]) for i, k in enumerate(KINDS)}
+    cell_of = lambda i: lambda c: F.struct(F.lit(i).alias("kind"), c["cell"].alias("cell"), (c["base"] | c["sure"]).alias("sure"))
+    rows = F.flatten(F.array(*[F.transform(_candidates(F.col("_t"), base, k), cell_of(i)) for i, k in enumerate(ALL_KINDS)]))
+    cells = df.select("_half", F.explode(rows).alias("c")).groupBy("c.kind", "c.cell", F.col("_half").alias("half")).agg(F.count("*").alias("n"), F.count_if("c.sure").alias("pos")).toPandas()
+    return {k: _boost(cells[cells["kind"] == i]) for i, k in enumerate(ALL_KINDS)}
 
 
 def _digits_of(cell: np.ndarray) -> np.ndarray:
@@ -222,18 +271,19 @@ def _score(trees: Trees, cell: Column) -> Column:
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), models: dict[str, Trees] | None = None) -> DataFrame:
-    """``keep``, and for each kind its base spans (``email``, ...) and all its spans (``email_all``, ...), by start."""
+    """``keep``, and for each kind its base spans (``email``, ...) and all its spans (``email_all``, ...), by start; of
+    the kind ``secret`` there are only ``secret_all``."""
     models = models or fit(docs)
     df = _prepared(docs, keep)
     base = {k: F.col(f"_{k}") for k in KINDS}
     likely = lambda m: lambda c: ~c["base"] & (_score(m, c["cell"]) >= m.threshold - 1e-9)
     out = []
-    for k in KINDS:
-        every = base[k]
+    for k in ALL_KINDS:
+        every = base.get(k, F.array().cast(_SPANS))
         if models[k].threshold is not None:
             chosen = F.filter(_candidates(F.col("_t"), base, k), likely(models[k]))
             every = F.array_sort(F.concat(every, F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))))
-        out += [base[k].alias(k), every.alias(f"{k}_all")]
+        out += [*([base[k].alias(k)] if k in base else []), every.alias(f"{k}_all")]
     return df.select(*keep, *out)
 
 
@@ -249,11 +299,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced together, under the kind of the one that starts first. Texts without spans, nulls
     among them, stay as they are."""
     columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text"))
     found = find(packed, ("_row",), fit(docs))
     text = F.col("_row.text")
     named = lambda k: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), F.lit(k.upper()).alias("kind"))
-    every = F.array_sort(F.concat(*[F.transform(F.col(f"{k}_all"), named(k)) for k in KINDS]))
+    every = F.array_sort(F.concat(*[F.transform(F.col(f"{k}_all"), named(k)) for k in ALL_KINDS]))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
