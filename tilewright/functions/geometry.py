@@ -99,6 +99,26 @@ def to_normalised(x, y, w, h, width, height) -> list[Column]:
     return [(col(x) + col(w) / 2) / col(width), (col(y) + col(h) / 2) / col(height), col(w) / col(width), col(h) / col(height)]
 
 
+def corners(x, y, w, h) -> list[Column]:
+    """xywh to x1, y1, x2, y2."""
+    return [col(x), col(y), col(x) + col(w), col(y) + col(h)]
+
+
+def sides(x1, y1, x2, y2) -> list[Column]:
+    """x1, y1, x2, y2 to xywh."""
+    return [col(x1), col(y1), col(x2) - col(x1), col(y2) - col(y1)]
+
+
+def is_empty_crop(w, h) -> Column:
+    """Whether a cut has no pixels."""
+    return (col(w) <= 0) | (col(h) <= 0)
+
+
+def in_range(value, low: float | None, high: float | None) -> Column:
+    """Within both bounds; true for all unless both are given."""
+    return F.lit(True) if low is None or high is None else col(value).between(low, high)
+
+
 def diameter_px(w_nm, h_nm, mpp_x, mpp_y) -> Column:
     """Mean of the two axes, each with its own resolution; null where a resolution is not positive."""
     return F.when((col(mpp_x) > 0) & (col(mpp_y) > 0), (col(w_nm) / 1000 / col(mpp_x) + col(h_nm) / 1000 / col(mpp_y)) / 2)

@@ -7,6 +7,7 @@ mirrored without repeating the edge pixel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,47 @@ from pyspark.sql import functions as F
 from tilewright.functions.geometry import col
 
 LAPLACE = ((0, 1, 0), (1, -4, 1), (0, 1, 0))
-SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
-SOBEL_Y = ((-1, -2, -1), (0, 0, 0), (1, 2, 1))
-SMOOTH, SECOND = (1, 4, 6, 4, 1), (1, 0, -2, 0, 1)
-BLUR = tuple(tuple(a * b for b in SMOOTH) for a in SMOOTH)
-LAPLACE_5 = tuple(tuple(a * d + b * c for b, d in zip(SMOOTH, SECOND, strict=True)) for a, c in zip(SMOOTH, SECOND, strict=True))
+#: Whole-number Gaussian weights by aperture.
+GAUSS = {3: (1, 2, 1), 5: (1, 4, 6, 4, 1), 7: (2, 7, 14, 18, 14, 7, 2)}
+
+
+def _binomial(n: int) -> list[int]:
+    return [math.comb(n, k) for k in range(n + 1)]
+
+
+def _spread(a, b) -> tuple[int, ...]:
+    """The product of two polynomials."""
+    return tuple(int(v) for v in np.convolve(a, b))
+
+
+def _outer(column, row) -> tuple[tuple[int, ...], ...]:
+    return tuple(tuple(a * b for b in row) for a in column)
+
+
+def sobel(k: int) -> tuple[tuple, tuple]:
+    """Kernels of the x and y gradient for the apertures 1, 3, 5 and 7: binomial smoothing across the difference."""
+    if k not in (1, 3, 5, 7):
+        raise ValueError("the aperture is 1, 3, 5 or 7")
+    smooth, slope = ((0, 1, 0), (-1, 0, 1)) if k == 1 else (_binomial(k - 1), _spread(_binomial(k - 2), (-1, 1)))
+    return _outer(smooth, slope), _outer(slope, smooth)
+
+
+def laplace(k: int) -> tuple[tuple[int, ...], ...]:
+    """Second differences of both axes, each smoothed across, for the apertures 1 (unsmoothed), 3, 5 and 7."""
+    if k == 1:
+        return LAPLACE
+    smooth, second = _binomial(k - 1), _spread(_binomial(k - 3), (1, -2, 1))
+    return tuple(tuple(p + q for p, q in zip(x, y, strict=True)) for x, y in zip(_outer(smooth, second), _outer(second, smooth), strict=True))
+
+
+def blur(k: int) -> tuple[tuple[int, ...], ...]:
+    if k not in GAUSS:
+        raise ValueError("the aperture is 3, 5 or 7")
+    return _outer(GAUSS[k], GAUSS[k])
+
+
+SOBEL_X, SOBEL_Y = sobel(3)
+BLUR, LAPLACE_5 = blur(5), laplace(5)
 
 
 def _let(value: Column, body) -> Column:
@@ -61,13 +98,14 @@ def variance_of_laplacian(px, width: int, height: int) -> Column:
     return _let(convolve(px, LAPLACE, width, height), lambda v: _mean(F.transform(v, lambda x: x * x)) - _mean(v) * _mean(v))
 
 
-def gradient_energy(px, width: int, height: int) -> Column:
+def gradient_energy(px, width: int, height: int, k: int = 3) -> Column:
     """Squared Sobel gradient of each pixel."""
-    return F.zip_with(convolve(px, SOBEL_X, width, height), convolve(px, SOBEL_Y, width, height), lambda a, b: a * a + b * b)
+    x, y = sobel(k)
+    return F.zip_with(convolve(px, x, width, height), convolve(px, y, width, height), lambda a, b: a * a + b * b)
 
 
-def tenengrad(px, width: int, height: int) -> Column:
-    return _mean(gradient_energy(px, width, height))
+def tenengrad(px, width: int, height: int, k: int = 3) -> Column:
+    return _mean(gradient_energy(px, width, height, k))
 
 
 def percentile(values: Column, part: float) -> Column:
@@ -90,10 +128,16 @@ def gradient_percentile(px, width: int, height: int, part: float = 0.75) -> Colu
     return percentile(gradient_energy(px, width, height), part)
 
 
-def laplacian_of_gaussian(px, width: int, height: int) -> Column:
-    """5 x 5 blur to whole numbers, then the 5 x 5 Laplacian."""
-    blurred = F.transform(convolve(px, BLUR, width, height), lambda v: F.floor((v + 128) / 256).cast("int"))
-    return convolve(blurred, LAPLACE_5, width, height)
+def laplacian_of_gaussian(px, width: int, height: int, k: int = 5) -> Column:
+    """Blur to whole numbers, then the Laplacian, both of aperture k."""
+    half, whole = sum(GAUSS[k]) ** 2 // 2, sum(GAUSS[k]) ** 2
+    blurred = F.transform(convolve(px, blur(k), width, height), lambda v: F.floor((v + half) / whole).cast("int"))
+    return convolve(blurred, laplace(k), width, height)
+
+
+def mean_log(px, width: int, height: int, k: int = 5) -> Column:
+    """Mean absolute response."""
+    return _mean(F.transform(laplacian_of_gaussian(px, width, height, k), F.abs))
 
 
 def score_planes(planes: DataFrame, width: int, height: int) -> DataFrame:
@@ -157,8 +201,9 @@ def to_gray(image: np.ndarray) -> np.ndarray:
     return ((image.astype(np.int64) @ np.array([4899, 9617, 1868]) + (1 << 13)) >> 14).astype(np.uint8)
 
 
-def numpy_log(gray: np.ndarray) -> np.ndarray:
-    return _filter((_filter(gray, BLUR) + 128) >> 8, LAPLACE_5)
+def numpy_log(gray: np.ndarray, k: int = 5) -> np.ndarray:
+    whole = sum(GAUSS[k]) ** 2
+    return _filter((_filter(gray, blur(k)) + whole // 2) // whole, laplace(k))
 
 
 def numpy_scores(gray: np.ndarray) -> dict[str, float]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import col
+from tilewright.operators.ordered import numbered
 
 
 def normalize_name(name) -> Column:
@@ -34,11 +35,79 @@ def score_match(a, b) -> Column:
 def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_overlap: int = 2) -> DataFrame:
     """name and its best candidate, null if none is good enough; the first in order on equal scores.
 
-    Any two names may match, so every name meets every candidate: a comparison of short lists of names."""
-    scored = names.select(name).crossJoin(candidates.select(candidate)).withColumn("s", score_match(name, candidate))
-    ranked = scored.withColumn("n", F.row_number().over(Wd.partitionBy(name).orderBy(F.desc("s"), candidate))).where("n = 1")
-    good = (F.col("s.tier") >= 2) | (F.col("s.overlap") >= min_overlap)
-    return ranked.select(name, F.when(good, F.col(candidate)).alias("match"), "s.tier", "s.overlap")
+    Only pairs that share a token or lie in one another can be good. Names and candidates that share a token or one of
+    whose texts starts with the other meet by token or by prefix; a name holds another in its middle only if it holds a
+    run of ``GRAM`` characters of it. Names that meet nothing are compared with the one candidate that suits best among
+    the unlike ones: that of the nearest number of tokens, the first in order."""
+    key = lambda df, c, n: df.select(F.col(c).alias(n)).distinct().withColumn(f"{n}_norm", normalize_name(F.col(n)))
+    a, b = key(names, name, "a"), key(candidates, candidate, "b")
+    block = lambda df, n, *kinds: df.select(n, F.explode(_blocks(F.col(f"{n}_norm"), *kinds)).alias("block"))
+    met = block(a, "a", "x", "y").join(block(b, "b", "y", "x"), "block").select("a", "b").distinct()
+    met = met.withColumn("s", score_match("a", "b")).where("s.tier > 1 or s.overlap > 0")
+    top = met.groupBy("a").agg(F.min_by(F.struct("b", "s"), F.struct((-F.col("s.tier")).alias("t"), (-F.col("s.overlap")).alias("o"), (-F.col("s.less")).alias("l"), "b")).alias("m"))
+    found = top.select("a", "m.b", "m.s.tier", "m.s.overlap")
+    tokens = lambda c: F.size(F.array_distinct(F.split(c, "_")))
+    firsts = b.groupBy(tokens(F.col("b_norm")).alias("tb")).agg(F.min("b").alias("b"))  # a row for each number of tokens
+    alone = a.join(found, "a", "left_anti").withColumn("ta", tokens(F.col("a_norm")))
+    counts = alone.select("ta").distinct().join(firsts, F.lit(True)).groupBy("ta").agg(F.min_by("b", F.struct(F.abs(F.col("ta") - F.col("tb")), "b")).alias("b"))
+    rest = alone.join(counts, "ta").select("a", "b", F.lit(1).alias("tier"), F.lit(0).alias("overlap"))
+    good = (F.col("tier") >= 2) | (F.col("overlap") >= min_overlap)
+    return found.unionByName(rest).select(F.col("a").alias(name), F.when(good, F.col("b")).alias("match"), "tier", "overlap")
+
+
+#: Characters of the pieces by which names meet that lie in one another.
+GRAM = 4
+
+
+def _blocks(norm: Column, own: str, held: str) -> Column:
+    """Tokens, the pieces of GRAM characters and, since a name shorter than that may lie in any other, the name itself
+    under ``own`` and all short pieces under ``held``; the other side has the two the other way round."""
+    tokens = F.transform(F.split(norm, "_"), lambda t: F.concat(F.lit("t"), t))
+    pieces = lambda n, kind: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(norm) - n + 1)), lambda i: F.concat(F.lit(kind), F.substr(norm, i, F.lit(n))))
+    short = F.flatten(F.array(*[pieces(n, held) for n in range(1, GRAM)]))
+    whole = F.when(F.length(norm) < GRAM, F.array(F.concat(F.lit(own), norm))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(tokens, pieces(GRAM, "g"), short, whole))
+
+
+def match_in_order(names: DataFrame, candidates: DataFrame, name: str, candidate: str, order: str, min_overlap: int = 2) -> DataFrame:
+    """As ``best_match``, but names take turns by ``order`` and a candidate that is taken is gone, until all are; from
+    then on every name sees all of them again.
+
+    Turns depend on one another, so this is one fold over an array of scored names, for tables of tens of names."""
+    a = names.select(F.col(order).alias("o"), F.col(name).alias("a"))
+    b = candidates.select(F.col(candidate).alias("b")).distinct()
+    pool = b.agg(F.array_sort(F.collect_set("b")).alias("pool"))
+    rows = a.agg(F.array_sort(F.collect_list(F.struct("o", "a"))).alias("rows")).crossJoin(pool)  # one row each
+    zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<o:bigint,a:string,b:string>>").alias("out"))
+
+    def best(x: Column, free: Column) -> Column:
+        scored = F.transform(free, lambda c: F.struct(score_match(x, c).alias("s"), c.alias("c")))
+        key = lambda v: F.struct((-v["s"]["tier"]).alias("t"), (-v["s"]["overlap"]).alias("o"), (-v["s"]["less"]).alias("l"), v["c"].alias("c"))
+        top = F.array_min(F.transform(scored, key))
+        return F.when((top["t"] <= -2) | (top["o"] <= -min_overlap), top["c"])
+
+    def step(acc: Column, r: Column) -> Column:
+        left = F.array_except(F.col("pool"), acc["used"])
+        pick = best(r["a"], F.when(F.size(left) > 0, left).otherwise(F.col("pool")))
+        made = F.struct(r["o"].cast("long").alias("o"), r["a"].alias("a"), pick.alias("b"))
+        return F.struct(F.when(pick.isNull(), acc["used"]).otherwise(F.array_union(acc["used"], F.array(pick))).alias("used"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    return rows.select(F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(F.col("r.o").alias(order), F.col("r.a").alias(name), F.col("r.b").alias("match"))
+
+
+def attach_metadata(samples: DataFrame, name: str, sources: dict[str, tuple[DataFrame, str]], min_overlap: int = 2) -> DataFrame:
+    """``samples`` with a struct for each source: the row whose key suits the name best, null if none is good enough.
+
+    Samples that suit the same key take its rows in turn, in the order of their names; those past the last row get null."""
+    out = samples.withColumn("_name", F.col(name))
+    for label, (rows, key) in sources.items():
+        found = best_match(samples, rows, name, key, min_overlap).select(F.col(name).alias("_name"), F.col("match").alias("_match"))
+        turns = F.row_number().over(Wd.partitionBy("_match").orderBy("_name"))
+        asked = out.join(found, "_name", "left").withColumn("_turn", turns)
+        whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        held = rows.select(F.col(key).alias("_match"), F.row_number().over(Wd.partitionBy(key).orderBy(*rows.columns)).alias("_turn"), whole.alias(label))
+        out = asked.join(held, ["_match", "_turn"], "left").drop("_match", "_turn")
+    return out.drop("_name")
 
 
 def parse_confidence(details) -> Column:
@@ -53,7 +122,7 @@ def label_map(rows: DataFrame, name: str, category: str, order: str) -> DataFram
     """name (lower case), category and its index from 0; a repeated name takes its last row."""
     last = rows.groupBy(F.lower(name).alias("name")).agg(F.max_by(category, order).alias("category"))
     indexes = rows.select(F.col(category).alias("category")).distinct().withColumn("label", F.dense_rank().over(Wd.orderBy("category")) - 1)
-    return last.join(F.broadcast(indexes), "category").select("name", "category", "label")
+    return last.join(indexes, "category").select("name", "category", "label")
 
 
 def map_label(label, labels: dict[str, int]) -> Column:
@@ -65,11 +134,10 @@ def map_label(label, labels: dict[str, int]) -> Column:
 def assign_splits(stems: DataFrame, stem: str, seed: int = 67, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """stem and split by a hashed order: int(n * part) stems for val and test, the rest for train.
 
-    Stems are slides, of which there are few; the order is the same on every run."""
-    n = F.count("*").over(Wd.partitionBy(F.lit(0)))
-    mixed = F.pmod((F.crc32(F.concat(F.col(stem).cast("string"), F.lit(f":{seed}")))), F.lit(1 << 32))
-    order = F.row_number().over(Wd.orderBy(mixed, stem))
-    s = stems.select(stem).distinct().select(stem, order.alias("k"), n.alias("n"))
-    n_val, n_test = F.floor(F.col("n") * val), F.floor(F.col("n") * test)
-    n_train = F.col("n") - n_val - n_test
-    return s.select(stem, F.when(F.col("k") <= n_train, "train").when(F.col("k") <= n_train + n_val, "val").otherwise("test").alias("split"))
+    The order is that of the stem's MD5 with the seed, the same on every run."""
+    s = stems.select(stem).distinct()
+    n = s.count()
+    placed = numbered(s, [], [F.md5(F.concat(F.col(stem).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(stem)], "k", 1)
+    n_val, n_test = int(n * val), int(n * test)
+    n_train = n - n_val - n_test
+    return placed.select(stem, F.when(F.col("k") <= n_train, "train").when(F.col("k") <= n_train + n_val, "val").otherwise("test").alias("split"))

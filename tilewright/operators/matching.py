@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import iou_eps, iou_plain
+from tilewright.operators.components import connected_components
+from tilewright.operators.ordered import numbered, running_sums
 from tilewright.operators.spatial import BOX, spatial_join
+from tilewright.plans.storage import materialize
 
 
 def candidates(pred: DataFrame, gt: DataFrame, by: list[str], iou, cell: float = 64.0) -> DataFrame:
@@ -37,38 +40,41 @@ def false_negatives(gt: DataFrame, matches: DataFrame, by: list[str]) -> DataFra
 
 def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float, slide: str = "slide") -> DataFrame:
     """Every prediction with ``rank`` and ``gt_id`` (null: none): by falling score each takes the box of highest overlap
-    that is still free, at the threshold or above; ties go to the smaller gt_id.
+    that is still free, at the threshold or above; ties go to the smaller gt_id."""
+    ranked = numbered(pred, [slide], [F.desc("score"), F.col("pred_id")], "rank", first=1)
+    got = greedy_matches(ranked, gt, [threshold], slide)
+    return ranked.join(got.select(slide, "pred_id", "gt_id"), [slide, "pred_id"], "left")
 
-    Greedy choice is sequential, but only among predictions and boxes that overlap: independent clusters of a slide
-    are matched by separate folds, so a slide with most of the rows is no single task."""
-    from tilewright.operators.components import connected_components
 
-    order = Wd.partitionBy(slide).orderBy(F.desc("score"), "pred_id")
-    ranked = pred.withColumn("rank", F.row_number().over(order))
-    pairs = candidates(pred, gt, [slide], iou_plain).where((F.col("iou") >= threshold) & (F.col("iou") > 0))
-    # a prediction's only ids that matter are those of boxes within reach of the threshold
+def greedy_matches(ranked: DataFrame, gt: DataFrame, thresholds: list[float], slide: str = "slide") -> DataFrame:
+    """``slide``, threshold, pred_id and gt_id of the matches at each threshold, from predictions with ranks.
+
+    Greedy choice is sequential, but only among predictions and boxes that overlap by the least threshold: independent
+    clusters of a slide are separate folds. A cluster is one array; it holds boxes that touch one another."""
+    pairs = candidates(ranked, gt, [slide], iou_plain).where((F.col("iou") >= min(thresholds)) & (F.col("iou") > 0))
     nodes = pairs.select((F.col("pred_id") * 2).alias("p"), (F.col("gt_id") * 2 + 1).alias("g"))
-    labels = connected_components(nodes)
-    keyed = pairs.join(ranked.select(slide, "pred_id", "rank"), [slide, "pred_id"]).join(labels.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("pred_id"), "component"), "pred_id")
-    per_pred = keyed.groupBy(slide, "component", "pred_id", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "gt_id"))).alias("options"))
+    labels = connected_components(nodes).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("pred_id"), "component")
+    keyed = pairs.join(ranked.select(slide, "pred_id", "rank"), [slide, "pred_id"]).join(labels, "pred_id")
+    options = F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "gt_id")))
+    per_pred = keyed.groupBy(slide, "component", "pred_id", "rank").agg(options.alias("options"))
     per_cluster = per_pred.groupBy(slide, "component").agg(F.sort_array(F.collect_list(F.struct("rank", "pred_id", "options"))).alias("preds"))
+    each = per_cluster.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<pred_id:bigint,gt_id:bigint>>").alias("got"))
 
     def step(acc, p):
-        free = F.filter(p["options"], lambda o: ~F.array_contains(acc["used"], o["gt_id"]))
+        free = F.filter(p["options"], lambda o: (-o["less"] >= F.col("threshold")) & ~F.array_contains(acc["used"], o["gt_id"]))
         pick = F.try_element_at(free, F.lit(1))["gt_id"]
-        return F.when(pick.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(pick)).alias("used"), F.concat(acc["got"], F.array(F.struct(p["pred_id"].cast("long").alias("pred_id"), pick.cast("long").alias("gt_id")))).alias("got")))
+        pair = F.struct(p["pred_id"].cast("long").alias("pred_id"), pick.cast("long").alias("gt_id"))
+        return F.when(pick.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(pick)).alias("used"), F.concat(acc["got"], F.array(pair)).alias("got")))
 
-    matched = per_cluster.select(slide, F.explode(F.aggregate("preds", zero, step)["got"]).alias("m")).select(slide, "m.pred_id", "m.gt_id")
-    return ranked.join(matched, [slide, "pred_id"], "left")
+    return each.select(slide, "threshold", F.explode(F.aggregate("preds", zero, step)["got"]).alias("m")).select(slide, "threshold", "m.pred_id", "m.gt_id")
 
 
 def curve(matched: DataFrame, gt: DataFrame, slide: str = "slide") -> DataFrame:
     """Running tp, fp, precision and recall by rank."""
     totals = gt.groupBy(slide).agg(F.count("*").alias("n_gt"))
-    run = Wd.partitionBy(slide).orderBy("rank").rowsBetween(Wd.unboundedPreceding, Wd.currentRow)
     hit = F.col("gt_id").isNotNull().cast("int")
-    out = matched.join(totals, slide).withColumns({"hit": hit, "tp": F.sum(hit).over(run)})
+    out = running_sums(matched.join(totals, slide).withColumn("hit", hit), [slide], [F.col("rank")], {"tp": F.col("hit")})
     return out.withColumns({"fp": F.col("rank") - F.col("tp"), "precision": F.col("tp") / F.col("rank"), "recall": F.col("tp") / F.col("n_gt")})
 
 
@@ -80,9 +86,16 @@ def summary(matched: DataFrame, gt: DataFrame, slide: str = "slide") -> DataFram
     points = curve(matched, gt, slide)
     agg = points.groupBy(slide).agg(F.sum("hit").alias("tp"), F.count("*").alias("n_pred"), F.sum(F.col("hit") * F.col("precision")).alias("area"))
     out = totals.join(agg, slide, "left").na.fill(0, ["tp", "n_pred", "area"])
+    p, r, f1 = ratios("tp", "n_pred", "n_gt")
+    area = F.coalesce(F.try_divide(F.col("area"), F.col("n_gt")), F.lit(0.0))
+    return out.select(slide, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), area.alias("ap"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def ratios(tp: str, n_pred: str, n_gt: str) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of counts; 0 where a denominator is."""
     ratio = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
-    p, r = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_gt"))
-    return out.select(slide, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), ratio(F.col("area"), F.col("n_gt")).alias("ap"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    p, r = ratio(F.col(tp), F.col(n_pred)), ratio(F.col(tp), F.col(n_gt))
+    return p, r, ratio(2 * p * r, p + r)
 
 
 def max_f1(points: DataFrame, slide: str = "slide") -> DataFrame:
@@ -93,11 +106,35 @@ def max_f1(points: DataFrame, slide: str = "slide") -> DataFrame:
 
 
 def ap_101(points: DataFrame, slide: str = "slide") -> DataFrame:
-    """Mean over the recalls 0, 0.01, ..., 1 of the highest precision at that recall or beyond."""
-    back = Wd.partitionBy(slide).orderBy(F.desc("rank")).rowsBetween(Wd.unboundedPreceding, Wd.currentRow)
-    # the highest precision from a point on holds for the recalls above the point before it
-    ahead = Wd.partitionBy(slide).orderBy("rank")
-    env = points.withColumns({"envelope": F.max("precision").over(back), "before": F.coalesce(F.lag("recall").over(ahead), F.lit(-1.0))})
+    """Mean over the recalls 0, 0.01, ..., 1 of the highest precision at that recall or beyond (0 if none is).
+
+    A point counts by how many of the recalls it reaches, so at most 102 numbers of each slide are looked at in order."""
     ticks = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / F.lit(100.0))
-    count = F.size(F.filter(ticks, lambda t: (t > F.col("before")) & (t <= F.col("recall"))))
-    return env.groupBy(slide).agg((F.sum(F.col("envelope") * count) / 101).alias("ap"))
+    reached = F.size(F.filter(ticks, lambda t: t <= F.col("recall")))
+    best = points.withColumn("reached", reached).groupBy(slide, "reached").agg(F.max("precision").alias("precision"))
+    beyond = Wd.partitionBy(slide).orderBy(F.desc("reached")).rowsBetween(Wd.unboundedPreceding, Wd.currentRow)
+    before = F.coalesce(F.lag("reached").over(Wd.partitionBy(slide).orderBy("reached")), F.lit(0))
+    steps = best.select(slide, F.max("precision").over(beyond).alias("envelope"), (F.col("reached") - before).alias("count"))
+    return steps.groupBy(slide).agg((F.sum(F.col("envelope") * F.col("count")) / 101).alias("ap"))
+
+
+#: The overlap thresholds and detections by image of the usual dataset benchmark.
+COCO_THRESHOLDS, MAX_DETS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10)), 100
+
+
+def coco_ap(pred: DataFrame, gt: DataFrame, image: str = "slide", thresholds: tuple[float, ...] = COCO_THRESHOLDS, max_dets: int = MAX_DETS) -> DataFrame:
+    """threshold and ap (101 points) over all images together, and a row with threshold null for their mean.
+
+    Of each image the ``max_dets`` predictions of highest score take part; they are matched within their image, then
+    ranked over all images by score, image and id. Candidates and clusters are found once, for the least threshold."""
+    ranked = numbered(pred, [image], [F.desc("score"), F.col("pred_id")], "rank", first=1).where(F.col("rank") <= max_dets)
+    ranked = materialize(ranked)
+    got = greedy_matches(ranked, gt, list(thresholds), image)
+    total = gt.agg(F.count("*").alias("n_gt"))  # one row
+    every = ranked.select(image, "pred_id", "score").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    marked = every.join(got, [image, "pred_id", "threshold"], "left").withColumn("hit", F.col("gt_id").isNotNull().cast("int"))
+    order = [F.desc("score"), F.col(image), F.col("pred_id")]
+    points = running_sums(marked, ["threshold"], order, {"tp": F.col("hit"), "at": F.lit(1)}).crossJoin(F.broadcast(total))
+    points = points.withColumns({"precision": F.col("tp") / F.col("at"), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("n_gt")), F.lit(0.0))})
+    each = ap_101(points, "threshold")
+    return each.unionByName(each.agg(F.avg("ap").alias("ap")).select(F.lit(None).cast("double").alias("threshold"), "ap"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
@@ -63,3 +65,29 @@ def best_worst(scores: DataFrame, by: list[str], metric: str, z: str = "z") -> D
 def widest(spreads: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of largest spread."""
     return spreads.orderBy(F.desc("spread"), key).limit(n)
+
+
+def proportions(counts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each column's percentage of its row's sum; 0 where the sum is 0 or a count is missing."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
+    return counts.select(key, *[F.coalesce(F.try_divide(F.col(c) * 100.0, total), F.lit(0.0)).alias(c) for c in columns])
+
+
+def folded_counts(rows: DataFrame, by: str, value: Column, spellings: dict[str, list[str]]) -> DataFrame:
+    """``by`` and how many rows have each of the values, whichever of its spellings they use."""
+    return rows.groupBy(by).agg(*[F.count_if(value.isin(s)).alias(n) for n, s in spellings.items()])
+
+
+def percent_labels(value: str, total: Column | None) -> Column:
+    """The text over a bar: count and percentage of the total, the count alone where the total is 0 or null."""
+    count = F.format_string("%d", F.col(value).cast("long"))
+    if total is None:
+        return count
+    return F.when(F.coalesce(total, F.lit(0)) > 0, F.concat(count, F.format_string(" (%.1f%%)", F.col(value) * 100.0 / total))).otherwise(count)
+
+
+def before_and_after(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, how many rows there were, are left and went."""
+    count = lambda df, n: df.groupBy(*by).agg(F.count("*").alias(n))
+    both = count(before, "n_before").join(count(after, "n_after"), by, "left").na.fill(0, ["n_after"])
+    return both.withColumn("n_removed", F.col("n_before") - F.col("n_after"))

@@ -50,8 +50,17 @@ def dataset_records(scores: DataFrame, boxes: DataFrame, splits: DataFrame, choi
 
     ``scores``: stem, tile, z and metrics; ``boxes``: stem, tile, ann_idx, label, x, y, w, h (cropped) and full_w,
     full_h; ``splits``: stem and split. Stems without a split are left out; boxes too small or mostly hidden go."""
-    images = choose_planes(scores, choice, ["stem", "tile"]).join(F.broadcast(splits), "stem")
+    images = choose_planes(scores, choice, ["stem", "tile"]).join(splits, "stem")
     images = images.withColumn("file_name", image_name("stem", F.concat(F.lit("tile_"), F.col("tile").cast("string")), "z"))
     good = select_boxes(boxes.where(is_valid_box("w", "h", "full_w", "full_h")), single_class, label_base)
     joined = images.join(good, ["stem", "tile"]).select("file_name", "ann_idx", "category_id", "x", "y", "w", "h")
     return images.select("split", "stem", "tile", "z", "file_name"), joined
+
+
+def skipped_tiles(tiles: DataFrame, scores: DataFrame, splits: DataFrame, choice: PlaneChoice) -> DataFrame:
+    """stem, tile and skip_reason of the tiles that give no image: no split, no planes, none of the planes asked for."""
+    chosen = choose_planes(scores, choice, ["stem", "tile"]).select("stem", "tile").distinct().withColumn("_chosen", F.lit(True))
+    planes = scores.select("stem", "tile").distinct().withColumn("_planes", F.lit(True))
+    out = tiles.select("stem", "tile").join(splits.select("stem", "split"), "stem", "left").join(planes, ["stem", "tile"], "left").join(chosen, ["stem", "tile"], "left")
+    reason = F.when(F.col("split").isNull(), "no split").when(F.col("_planes").isNull(), "no planes").when(F.col("_chosen").isNull(), "no such plane")
+    return out.select("stem", "tile", reason.alias("skip_reason")).where("skip_reason is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as G
 from tilewright.operators import focus, grid, labels, matching, spatial, stats
 from tilewright.plans import views
-from tilewright.plans.storage import table
+from tilewright.plans.storage import materialize, table
 from tilewright.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ DETECTIONS = f"""{OBJECTS}, {TILES}, moved AS (SELECT *, ((o_orderkey * 31 + ix
   FROM objects, tiles WHERE x < tx + 512 AND tx < x + w AND y < ty + 512 AND ty < y + h),
 clipped AS (SELECT *, least(greatest(x + dx - tx, 0), 512) AS c1, least(greatest(y + dy - ty, 0), 512) AS c2, least(greatest(x + w + dx - tx, 0), 512) AS c3,
   least(greatest(y + h + dy - ty, 0), 512) AS c4 FROM moved),
-det AS (SELECT slide, tile, slide * 1000000000 + o_orderkey * 100 + iy * 10 + ix AS det_id, (c1 + tx)::DOUBLE AS x1, (c2 + ty)::DOUBLE AS y1, (c3 + tx)::DOUBLE AS x2,
+det AS MATERIALIZED (SELECT slide, tile, slide * 1000000000 + o_orderkey * 100 + iy * 10 + ix AS det_id, (c1 + tx)::DOUBLE AS x1, (c2 + ty)::DOUBLE AS y1, (c3 + tx)::DOUBLE AS x2,
   (c4 + ty)::DOUBLE AS y2, ((o_orderkey * 7919 + ix * 911 + iy * 3571) % 10007) / 10007.0::DOUBLE AS score FROM clipped WHERE c3 > c1 AND c4 > c2)"""
 IOU = "(greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)))"
 _I = IOU.format(a="a", b="b")
@@ -41,6 +41,18 @@ MATCHES = f"""{BEST}, gt AS (SELECT slide, o_orderkey AS gt_id, x AS x1, y AS y1
 cand AS (SELECT a.slide, a.det_id AS pred_id, b.gt_id, {_I} / ({_UNION} + 1e-7) AS iou FROM kept a JOIN gt b ON a.slide = b.slide AND {MEET}),
 first_pass AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide, pred_id ORDER BY iou DESC, gt_id DESC) AS n FROM cand WHERE iou > 0.5) WHERE n = 1),
 matches AS (SELECT slide, pred_id, gt_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY slide, gt_id ORDER BY iou DESC, pred_id DESC) AS k FROM first_pass) WHERE k = 1)"""
+_PLAIN = f"({_I} / {_UNION})"
+RANKED = f"""{BEST}, gt AS (SELECT slide, o_orderkey AS gt_id, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM objects),
+ranked AS MATERIALIZED (SELECT slide, det_id AS pred_id, score, x1, y1, x2, y2, row_number() OVER (PARTITION BY slide ORDER BY score DESC, det_id) AS rank FROM kept),
+near AS MATERIALIZED (SELECT a.slide, a.pred_id, b.gt_id, {_PLAIN} AS iou FROM ranked a JOIN gt b ON a.slide = b.slide AND {MEET} WHERE {_PLAIN} >= 0.5)"""
+GREEDY = f"""{RANKED}, turns AS MATERIALIZED (SELECT r.slide, t.t, r.rank, r.pred_id, coalesce(list(n.gt_id ORDER BY n.iou DESC, n.gt_id) FILTER (n.gt_id IS NOT NULL), []) AS options
+  FROM ranked r CROSS JOIN (SELECT unnest({{thresholds}})::DOUBLE AS t) t LEFT JOIN near n ON n.slide = r.slide AND n.pred_id = r.pred_id AND n.iou >= t.t {{most}} GROUP BY ALL),
+fold AS (SELECT slide, t, 0::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS pred_id, NULL::BIGINT AS gt_id FROM (SELECT DISTINCT slide, t FROM turns)
+  UNION ALL SELECT slide, t, rank, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pred_id, pick
+  FROM (SELECT u.slide, u.t, u.rank, f.used, u.pred_id, list_filter(u.options, lambda g: NOT list_contains(f.used, g))[1] AS pick FROM fold f JOIN turns u ON u.slide = f.slide AND u.t = f.t AND u.rank = f.rank + 1)),
+totals AS (SELECT slide, count(*) AS n_gt FROM gt GROUP BY slide)"""
+CURVE = GREEDY.format(thresholds="[0.5]", most="") + """, hits AS (SELECT slide, rank, pred_id, (gt_id IS NOT NULL)::INT AS hit, sum((gt_id IS NOT NULL)::INT) OVER (PARTITION BY slide ORDER BY rank)::BIGINT AS tp FROM fold WHERE rank > 0),
+points AS (SELECT slide, rank, pred_id, hit, tp, rank - tp AS fp, tp / rank AS precision, tp / n_gt AS recall, n_gt FROM hits JOIN totals USING (slide))"""
 REGIONS = """regions AS (SELECT c_custkey AS region, c_custkey // 10 AS slide, (c_custkey * 37) % 500 - 20 AS x, (c_custkey * 53) % 500 - 20 AS y, 60 + (c_custkey * 7) % 900 AS w,
   60 + (c_custkey * 11) % 700 AS h, 1000 AS width, 800 AS height FROM customer)"""
 PLANES = "planes AS (SELECT vec_id // 5 AS tile, vec_id % 5 AS z, [CAST(floor((v::DOUBLE + 1) * 127.5) AS INT) FOR v IN embedding] AS px FROM embeddings)"
@@ -142,17 +154,17 @@ def dedup_edges(spark, d):
 
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT det_id, component FROM labelled")
 def dedup_components(spark, d):
-    det = views.detections(spark, d)
+    det = materialize(views.detections(spark, d))
     return spatial.with_components(det, spatial.dedup_edges(det, 0.5)).select("det_id", "component")
 
 
 @query(f"WITH RECURSIVE {BEST} SELECT slide, tile, det_id, x1, y1, x2, y2, round(score, 6) AS score FROM kept")
 def dedup_detections(spark, d):
-    return spatial.deduplicate(views.detections(spark, d)).withColumns(_r6("score"))
+    return spatial.deduplicate(materialize(views.detections(spark, d))).withColumns(_r6("score"))
 
 
 def _pred_gt(spark, d) -> tuple[DataFrame, DataFrame]:
-    pred = spatial.deduplicate(views.detections(spark, d)).withColumnRenamed("det_id", "pred_id")
+    pred = materialize(spatial.deduplicate(materialize(views.detections(spark, d)))).withColumnRenamed("det_id", "pred_id")
     return pred, views.objects(spark, d).select("slide", F.col("o_orderkey").alias("gt_id"), *spatial.BOX)
 
 
@@ -175,26 +187,40 @@ def _greedy(spark, d) -> tuple[DataFrame, DataFrame]:
     return matching.greedy_match(pred, gt, 0.5), gt
 
 
-@query()
+@query(f"""WITH RECURSIVE {CURVE}, s AS (SELECT slide, sum(hit)::BIGINT AS tp, count(*) AS n, sum(hit * precision) AS area FROM points GROUP BY slide),
+r AS (SELECT slide, coalesce(tp, 0) AS tp, coalesce(n, 0) AS n, n_gt, coalesce(area, 0) / n_gt AS ap, coalesce(tp, 0) / greatest(coalesce(n, 0), 1) AS p, coalesce(tp, 0) / n_gt AS r FROM totals LEFT JOIN s USING (slide))
+SELECT slide, tp, n - tp AS fp, n_gt - tp AS fn, round(ap, 6) AS ap, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""")
 def greedy_match_ap(spark, d):
     return matching.summary(*_greedy(spark, d)).withColumns(_r6("ap", "precision", "recall", "f1"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CURVE} SELECT slide, rank, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall FROM points")
 def pr_curve(spark, d):
     return matching.curve(*_greedy(spark, d)).select("slide", "rank", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {CURVE}, f AS (SELECT p.*, r.score, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM points p JOIN ranked r USING (slide, pred_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY f1 DESC, rank) AS n FROM f)
+SELECT slide, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall, round(score, 6) AS score, rank FROM b WHERE n = 1""")
 def max_f1(spark, d):
     return matching.max_f1(matching.curve(*_greedy(spark, d))).withColumns(_r6("f1", "precision", "recall", "score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CURVE}, ticks AS (SELECT i / 100.0::DOUBLE AS t FROM range(101) r(i)), best AS (SELECT slide, t, coalesce(max(precision) FILTER (recall >= t), 0) AS p FROM points, ticks GROUP BY slide, t)
+SELECT slide, round(sum(p) / 101, 6) AS ap FROM best GROUP BY slide""")
 def coco_ap101(spark, d):
     return matching.ap_101(matching.curve(*_greedy(spark, d))).withColumns(_r6("ap"))
 
 
+@query(f"""WITH RECURSIVE {GREEDY.format(thresholds="[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]", most="WHERE r.rank <= 100")},
+p AS (SELECT f.t, (f.gt_id IS NOT NULL)::INT AS hit, row_number() OVER (PARTITION BY f.t ORDER BY r.score DESC, f.slide, f.pred_id) AS pos FROM fold f JOIN ranked r ON r.slide = f.slide AND r.pred_id = f.pred_id WHERE f.rank > 0),
+c AS (SELECT t, pos, sum(hit) OVER (PARTITION BY t ORDER BY pos) AS tp FROM p), x AS (SELECT t, tp / pos AS precision, tp / (SELECT count(*) FROM gt) AS recall FROM c),
+ticks AS (SELECT i / 100.0::DOUBLE AS r FROM range(101) k(i)), best AS (SELECT t, r, coalesce(max(precision) FILTER (recall >= r), 0) AS p FROM x, ticks GROUP BY t, r), each AS (SELECT t, sum(p) / 101 AS ap FROM best GROUP BY t)
+SELECT t AS threshold, round(ap, 6) AS ap FROM each UNION ALL SELECT NULL, round(avg(ap), 6) FROM each""")
+def coco_ap(spark, d):
+    return matching.coco_ap(*_pred_gt(spark, d)).withColumns(_r6("ap"))
+
+
 def _scores(spark, d) -> DataFrame:
     return focus.score_planes(views.planes(spark, d), 8, 8)
 
@@ -290,7 +316,8 @@ def label_map(spark, d):
     return labels.label_map(table(spark, d, "part"), "p_name", "p_type", "p_partkey").withColumn("label", F.col("label").cast("int"))
 
 
-@query()
+@query(f"""WITH {OBJECTS}, k AS (SELECT slide, row_number() OVER (ORDER BY md5(slide || ':67'), slide) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT slide FROM objects))
+SELECT slide, CASE WHEN k <= n - 2 * floor(n * 0.15::DOUBLE) THEN 'train' WHEN k <= n - floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM k""")
 def split_assign(spark, d):
     return labels.assign_splits(views.objects(spark, d), "slide")
 

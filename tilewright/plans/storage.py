@@ -10,12 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two requests to collect garbage.
+RELEASE_S = 5.0
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a fresh local one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(spark.sparkContext, "_tilewright_dir", None):
         own = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         spark.sparkContext.setCheckpointDir(own)
@@ -44,13 +49,13 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark removes them once the JVM has collected their plans.
-
-    The second collection takes the last step's plan, which listeners may still hold during the first."""
-    gc.collect()
-    for _ in range(2):
+    """Let go of the shuffle files of finished steps: Spark removes them once the JVM has collected their plans, for
+    which a large heap may wait very long. Not more often than every ``RELEASE_S`` seconds."""
+    now = time.monotonic()
+    if now - getattr(spark.sparkContext, "_tilewright_released", -RELEASE_S) >= RELEASE_S:
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        spark.sparkContext._tilewright_released = time.monotonic()
 
 
 def discard(*frames: DataFrame) -> None:

@@ -14,6 +14,17 @@ ANNOTATION_SCHEMA = (
 )
 
 
+VIEW_SCHEMA = (
+    "_id bigint, title string, details string, coordformat string, lens double, x bigint, y bigint, z bigint, showtitle int, showhistogram int, showlineprofile int, "
+    f"annotation struct<_color: string, _displayname: string, _type: string, measuretype: int, x: bigint, y: bigint, radius: bigint, closed: int, specialtype: string, pointlist: struct<point: {_POINT}>>"
+)
+
+
+def annotation_views(spark: SparkSession, path: str) -> DataFrame:
+    """The views of annotation documents with all fields, as the XML writer appends to them."""
+    return spark.read.format("xml").option("rowTag", "ndpviewstate").schema(VIEW_SCHEMA).load(path)
+
+
 def annotation_xml(spark: SparkSession, path: str) -> DataFrame:
     """slide (the file's stem), kind (annotation or roi), ann_id, label, details and the box x, y, w, h in nm.
 

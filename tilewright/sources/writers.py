@@ -10,6 +10,7 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import box_to_circle, to_normalised
+from tilewright.operators.ordered import numbered
 
 
 def tile_store(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,14 +30,14 @@ def image_name(stem, group, z, ext: str = "jpg") -> Column:
 
 def coco_images(records: DataFrame) -> DataFrame:
     """id (dense from 0 in the order of names), file_name, width, height."""
-    return records.select("file_name", "width", "height").distinct().withColumn("id", F.row_number().over(Wd.orderBy("file_name")) - 1).select("id", "file_name", "width", "height")
+    return numbered(records.select("file_name", "width", "height").distinct(), [], [F.col("file_name")], "id").select("id", "file_name", "width", "height")
 
 
 def coco_annotations(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """id (dense from 0), image_id, category_id, x, y, w, h, area and iscrowd."""
     joined = boxes.join(images.select(F.col("id").alias("image_id"), "file_name"), "file_name")
-    numbered = joined.withColumn("id", F.row_number().over(Wd.orderBy("file_name", "ann_idx")) - 1)
-    return numbered.select("id", "image_id", "category_id", "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
+    ids = numbered(joined, [], [F.col("file_name"), F.col("ann_idx")], "id")
+    return ids.select("id", "image_id", "category_id", "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
 
 
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
@@ -50,7 +51,7 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 def label_lines(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """file_name and its label text: a line ``cls cx cy w h`` for each box, empty for images without boxes."""
     ranks = annotations.select("category_id").distinct().withColumn("cls", F.dense_rank().over(Wd.orderBy("category_id")) - 1)
-    sized = annotations.join(F.broadcast(ranks), "category_id").join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
+    sized = annotations.join(ranks, "category_id").join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls", *to_normalised("x", "y", "w", "h", "width", "height"))
     texts = sized.select("image_id", "id", line.alias("line")).groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\n").alias("text"))
     return images.join(texts, images["id"] == texts["image_id"], "left").select("file_name", F.coalesce("text", F.lit("")).alias("text"))
@@ -65,16 +66,31 @@ def details_text(source, confidence) -> Column:
     return F.format_string("source=%s; confidence=%.6f", source, confidence)
 
 
-def annotation_xml(boxes: DataFrame, path: str, circles: bool, next_id: int = 1) -> None:
-    """Views with ids from ``next_id`` on, for x, y, w, h (nm), label and details; as rectangles or circles."""
+def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFrame | None = None, colour: str = "#000000") -> None:
+    """Views for x, y, w, h (nm), label and details as rectangles or circles, numbered from 1 on or, with ``existing``
+    (a document as ``annotation_views`` reads it), from one past its highest id on; its views are written too."""
     cx, cy, radius = box_to_circle("x", "y", "w", "h")
     corner = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
     x, y, w, h = (F.bround(F.col(c)) for c in "xywh")
     points = F.struct(F.array(corner(x, y), corner(x, y + h), corner(x + w, y + h), corner(x + w, y)).alias("point"))
-    shape = F.struct(F.lit("circle").alias("_type"), cx.alias("x"), cy.alias("y"), radius.alias("radius")) if circles else F.struct(F.lit("freehand").alias("_type"), points.alias("pointlist"))
-    ids = F.row_number().over(Wd.orderBy("x", "y", "w", "h", "label")) + F.lit(next_id - 1)
-    rows = boxes.select(ids.alias("_id"), F.col("label").alias("title"), "details", shape.alias("annotation"))
-    rows.coalesce(1).write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate").save(path)
+    none = lambda kind: F.lit(None).cast(kind)
+    common = [F.lit(colour).alias("_color"), F.lit("normal").alias("_displayname") if circles else F.lit("AnnotateRectangle").alias("_displayname"), F.lit("circle" if circles else "freehand").alias("_type"), F.lit(0).alias("measuretype")]
+    if circles:
+        parts = [cx.alias("x"), cy.alias("y"), radius.alias("radius"), none("int").alias("closed"), none("string").alias("specialtype"), none("struct<point:array<struct<x:bigint,y:bigint>>>").alias("pointlist")]
+    else:
+        parts = [none("bigint").alias("x"), none("bigint").alias("y"), none("bigint").alias("radius"), F.lit(1).alias("closed"), F.lit("rectangle").alias("specialtype"), points.alias("pointlist")]
+    centre = [(F.col(c) + F.col(s) / 2).cast("long").alias(c) for c, s in (("x", "w"), ("y", "h"))]
+    first = 1 if existing is None else next_id(existing)
+    rows = numbered(boxes, [], [F.col(c) for c in ("x", "y", "w", "h", "label")], "_id", first)
+    view = [F.lit("nanometers").alias("coordformat"), F.lit(1.0).alias("lens"), *centre, F.lit(0).alias("z"), F.lit(0).alias("showtitle"), F.lit(0).alias("showhistogram"), F.lit(0).alias("showlineprofile")]
+    new = rows.select("_id", F.col("label").alias("title"), "details", *view, F.struct(*common, *parts).alias("annotation"))
+    every = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
+    every.coalesce(1).write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate").save(path)
+
+
+def next_id(views: DataFrame) -> int:
+    """One past the highest id; 1 for a document without views."""
+    return int(views.agg(F.coalesce(F.max("_id"), F.lit(0)).alias("m")).first().m) + 1
 
 
 def crops(detections: DataFrame, tiles: DataFrame, key: str = "det_id") -> DataFrame:
@@ -93,6 +109,6 @@ def crops(detections: DataFrame, tiles: DataFrame, key: str = "det_id") -> DataF
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
 
-    named = detections.withColumn("name", F.format_string("%05d", F.row_number().over(Wd.orderBy(key))))
+    named = numbered(detections, [], [F.col(key)], "_nth", 1).withColumn("name", F.format_string("%05d", F.col("_nth")))
     joined = named.join(tiles.select("slide", "tile", "height", "width", "channels", "data"), ["slide", "tile"])
     return joined.select("name", "x1", "y1", "x2", "y2", "height", "width", "channels", "data").mapInArrow(run, "name string, height int, width int, channels int, data binary")
