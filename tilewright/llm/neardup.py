@@ -81,13 +81,14 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, _, data, offsets in W.slices(batch.column(2)) for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0), "th": batch.column(1), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "cls": pa.array([_digest(s) for s in sets], pa.binary()), "sketch": _list_array([s[:k] for s in sets]),
-                }
-            )
+            for i, j, data, offsets in W.slices(batch.column(2)):
+                sets = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column(0)[i:j], "th": batch.column(1)[i:j], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                        "cls": pa.array([_digest(s) for s in sets], pa.binary()), "sketch": _list_array([s[:k] for s in sets]),
+                    }
+                )
 
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text"))
     return plain.mapInArrow(run, "doc_id long, th long, n_shingles long, cls binary, sketch array<long>")
@@ -98,9 +99,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, _, data, offsets in W.slices(batch.column(2)) for s in shingle_sets(data, offsets)]
-            same = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _digest(s) == c]
-            yield pa.RecordBatch.from_pydict({"c": batch.column(0).take(pa.array(same, pa.int64())), "full": _list_array([sets[i] for i in same])})
+            for i, j, data, offsets in W.slices(batch.column(2)):
+                sets = shingle_sets(data, offsets)
+                same = [r for r, (s, c) in enumerate(zip(sets, batch.column(1)[i:j].to_pylist(), strict=True)) if _digest(s) == c]
+                yield pa.RecordBatch.from_pydict({"c": batch.column(0)[i:j].take(pa.array(same, pa.int64())), "full": _list_array([sets[r] for r in same])})
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text")).alias("d")
     w = wanted.alias("w")
@@ -114,13 +116,16 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def _alike(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are linked, from distinct candidates."""
+    """The pairs (a, b) that are linked, from distinct candidates; a written table."""
     one = sketch.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketch.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").where(F.size(F.array_intersect("sa", "sb")) >= TAU * F.greatest(F.size("sa"), F.size("sb"))).where(_estimate(F.col("sa"), F.col("sb"), k) >= TAU)
-    near = near.select("a", "b", "na", "nb").join(sets.withColumnsRenamed({"c": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"c": "b", "full": "fb"}), "b")
+    near = materialize(near.select("a", "b", "na", "nb"))  # the full sets are joined to what is left only
+    linked = near.join(sets.withColumnsRenamed({"c": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"c": "b", "full": "fb"}), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
-    return near.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    linked = materialize(linked.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
+    discard(near)
+    return linked
 
 
 def _listed(held: DataFrame, part: Column) -> DataFrame:
@@ -199,7 +204,7 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     stars = dealt.join(led.select("v", "g", "lead"), ["v", "g"]).select(F.col("lead").alias("a"), F.col("c").alias("b"))
     top = led.groupBy("v").agg(F.max_by("lead", F.struct("central", -F.col("lead"))).alias("top"))
     heads = lists.join(top, "v").select(F.col("top").alias("a"), F.col("c").alias("b"))
-    edges = materialize(_alike(_ordered(stars.unionAll(heads)), classes, sets, k))
+    edges = _alike(_ordered(stars.unionAll(heads)), classes, sets, k)
     labels = connected_components(edges)
 
     left = _within(_label(lists, labels)).select("c").distinct()
@@ -207,11 +212,11 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     again = materialize(_within(_label(again, labels)))
     best = _leaders(again.withColumn("g", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(LEADERS))), ["v", "g"]).join(again.select(F.col("c").alias("lead"), F.col("label").alias("lead_label")).distinct(), "lead")
     tried = again.join(best, "v").where("label <> lead_label").select(F.col("lead").alias("a"), F.col("c").alias("b"))
-    second = materialize(_alike(_ordered(tried), classes, sets, k))
+    second = _alike(_ordered(tried), classes, sets, k)
     labels = connected_components(edges.unionAll(second))
 
     rest = materialize(_distinct_lists(_within(_label(again, labels))))
-    third = materialize(_alike(_cross(rest), classes, sets, k))
+    third = _alike(_cross(rest), classes, sets, k)
     labels = connected_components(edges.unionAll(second).unionAll(third))
     discard(lists, sets, again, rest)
 
