@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Seconds between two requests to collect garbage.
 RELEASE_S = 5.0
 
@@ -69,6 +72,13 @@ def discard(*frames: DataFrame) -> None:
             df._tilewright_path = None
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold ``BATCH_BYTES`` at most where the session keeps Spark's default of 64 MB: both
+    the JVM and the Python worker hold a batch several times over."""
+    if spark.conf.get(_BYTES) in ("64MB", "67108864b", str(1 << 26)):
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
