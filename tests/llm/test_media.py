@@ -37,6 +37,22 @@ def test_resize_is_the_mean_over_areas():
     assert np.allclose(media.resize(image, 5, 7), image)
 
 
+def test_resize_of_tall_images_by_bands(monkeypatch):
+    image = np.random.default_rng(3).integers(0, 256, (1003, 64, 3)).astype(np.uint8)
+    whole = media.resize(image, 16, 16)
+    monkeypatch.setattr(media, "BAND", 7)
+    assert np.allclose(media.resize(image, 16, 16), whole) and whole.mean() == pytest.approx(image.mean())
+
+
+def test_both_forms_give_the_payload_back():
+    rng = np.random.default_rng(4)
+    for rows in (1, 2, 7, 4000):
+        payload = rng.integers(0, 256, 192 * rows).astype(np.uint8).tobytes()
+        stored = {form: media.encode_payload(payload, form) for form in media.FORMS}
+        assert stored["netpbm"][:2] == b"P6" and stored["bmp"][:2] == b"BM"
+        assert all(media.decode(m).tobytes() == payload for m in stored.values())
+
+
 def test_query_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(None, None, ""), (7, "", ""), (7, "é" * random.Random(1).randrange(5000), "")], "doc_id long, text string, lang string"))
     stored = media.features(media.store(docs, ("doc_id", "text")), ("doc_id", "text"))
@@ -45,6 +61,8 @@ def test_query_columns(spark, sf_dir):
         want = text + b" " * (-len(text) % 192 or 192 * (not text))
         assert bytes(row.payload) == want and row.tail_crc32 == zlib.crc32(want[-16:])
         assert np.load(io.BytesIO(row.tile)).shape == (16, 16, 3)
+    wide = spark.createDataFrame([(1, "x" * 2_000_003, "m", 2, 3, "f")], "doc_id long, text string, media string, n_bytes int, payload int, feature string")
+    assert entry.media_digests(wide).first().payload_bytes == 2_000_003 + -2_000_003 % 192
     digests = entry.media_digests(docs).collect()
     assert len(digests) == docs.count()
     first = next(r for r in digests if r.doc_id is None)

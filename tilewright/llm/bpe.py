@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import words as W
+from tilewright.plans.storage import bound_batches
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pre-tokens whose result a worker remembers at most; beyond that it starts anew.
@@ -327,6 +328,7 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``ids``: the tokens of ``text`` as little-endian unsigned 32-bit integers."""
+    bound_batches(docs.sparkSession)
     encoder = docs.sparkSession.sparkContext.broadcast(RankEncoder(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +346,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The same columns and ``decoded``: the bytes that ``ids`` stand for (null: none)."""
+    bound_batches(encoded.sparkSession)
     decoder = encoded.sparkSession.sparkContext.broadcast(RankDecoder(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,6 +423,7 @@ class MergeCounter:
 
 def count(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_bytes`` and ``n_tokens`` of ``text``."""
+    bound_batches(docs.sparkSession)
     counter = docs.sparkSession.sparkContext.broadcast(MergeCounter(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

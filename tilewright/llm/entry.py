@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, embedding_dedup, media, mixing, neardup, pii, quality, substrings, toxicity
+from tilewright.llm import bpe, embedding_dedup, media, mixing, neardup, oracle, pii, quality, substrings, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,4 +84,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -4,8 +4,8 @@
 ``resize`` averages areas exactly by an integral image with interpolated borders. ``features`` of an image are a
 thumbnail tile (NPY bytes) and a 64-bit difference hash of its brightness.
 
-``encode_payload`` stores bytes losslessly: rows of 64 RGB pixels (192 bytes), as a P6 Netpbm file if the number of
-rows is odd and as a 24-bit BMP if it is even. Reading such a file gives the payload back.
+``encode_payload`` stores bytes losslessly: rows of 64 RGB pixels (192 bytes), as a P6 Netpbm file or a 24-bit BMP, as
+asked for. Reading such a file gives the payload back.
 
 Edge cases: a null text is empty, and an empty text is padded to one row of blanks; rows that repeat give equal
 values; null ids are kept; an empty table gives no rows; other columns are dropped. Bytes that are no image raise
@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.storage import bound_batches
+
 ROW = 192
 TILE = 16
+#: Rows that are summed across at a time.
+BAND = 256
 
 _HEADER = re.compile(rb"P([1-6])" + rb"(?:\s|#[^\n]*\n)+([0-9]+)" * 2)
 
@@ -93,20 +97,22 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the area that each output pixel covers, as float64."""
-    h, w, c = image.shape
-    integral = np.zeros((h + 1, w + 1, c))
-    integral[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
+def _areas(values: np.ndarray, out: int) -> np.ndarray:
+    """Sums over ``out`` equal stretches of the first axis, from its running sums, read between places where need be."""
+    n = len(values)
+    integral = np.zeros((n + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=integral[1:])
+    at = np.arange(out + 1) * (n / out)
+    low = np.minimum(at.astype(np.int64), n - 1)
+    part = (at - low).reshape(-1, *[1] * (values.ndim - 1))
+    return np.diff(integral[low] * (1 - part) + integral[low + 1] * part, axis=0)
 
-    def at(axis: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(axis.astype(np.int64), len(table) - 2)
-        part = (axis - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
 
-    rows = np.diff(at(np.arange(height + 1) * (h / height), integral), axis=0)
-    cells = np.diff(at(np.arange(width + 1) * (w / width), rows.transpose(1, 0, 2)), axis=0).transpose(1, 0, 2)
-    return cells / (h / height * w / width)
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over the area that each output pixel covers, as float64; ``BAND`` rows at a time are summed across."""
+    h, w, _ = image.shape
+    across = [_areas(image[i : i + BAND].transpose(1, 0, 2), width).transpose(1, 0, 2) for i in range(0, h, BAND)]
+    return _areas(np.concatenate(across), height) / (h / height * w / width)
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -121,18 +127,24 @@ def npy(image: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def encode_payload(payload: bytes) -> bytes:
+def encode_payload(payload: bytes, form: str = "netpbm") -> bytes:
+    """An image of ``payload`` in rows of ROW bytes, three to a pixel."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
-    return encode_netpbm(image) if len(image) % 2 else encode_bmp(image)
+    return FORMS[form](image)
+
+
+#: The stored forms.
+FORMS = {"netpbm": encode_netpbm, "bmp": encode_bmp}
 
 
-def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``n_bytes`` and ``media``: each text as an image file."""
+def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), form: str = "netpbm") -> DataFrame:
+    """``keep``, ``n_bytes`` and ``media``: each text as an image file of the form ``netpbm`` or ``bmp``."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            media = [encode_payload(t + b" " * (-len(t) % ROW or ROW * (not t))) for t in texts]
+            media = [encode_payload(t + b" " * (-len(t) % ROW or ROW * (not t)), form) for t in texts]
             yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(keep)} | {"n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array(media, pa.binary())})
 
     plain = docs.select(*keep, F.col("text").alias("_text"))
@@ -142,6 +154,7 @@ def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 def features(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Decode ``media`` and add ``payload`` (the samples), ``tail_crc32`` (of the last 16), ``tile`` (NPY) and
     ``feature`` (the difference hash)."""
+    bound_batches(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

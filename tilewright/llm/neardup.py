@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
 from tilewright.operators.components import connected_components
-from tilewright.plans.storage import discard, materialize
+from tilewright.plans.storage import bound_batches, discard, materialize
 
 #: Words in a shingle, size of a sketch, least shared part of a union sketch, members of a group in a long list, and
 #: leaders of a list that is looked at again.
@@ -90,6 +90,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
                     }
                 )
 
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text"))
     return plain.mapInArrow(run, "doc_id long, th long, n_shingles long, cls binary, sketch array<long>")
 
@@ -104,6 +105,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 same = [r for r, (s, c) in enumerate(zip(sets, batch.column(1)[i:j].to_pylist(), strict=True)) if _digest(s) == c]
                 yield pa.RecordBatch.from_pydict({"c": batch.column(0)[i:j].take(pa.array(same, pa.int64())), "full": _list_array([sets[r] for r in same])})
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text")).alias("d")
     w = wanted.alias("w")
     found = texts.join(w, (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.c", "w.cls", "d._text")

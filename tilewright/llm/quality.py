@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
 from tilewright.llm.ftrl import Ftrl, bounded_sample, fit, held_out_fold, map_scored, sigmoid
-from tilewright.plans.storage import discard, materialize
+from tilewright.plans.storage import bound_batches, discard, materialize
 
 #: Labelled rows used for fitting at most (in expectation), and the number of shards they are learnt in.
 SAMPLE_BOUND, SHARDS = 12_000, 8
@@ -90,6 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), bits: int = FTRL.bits) -> DataFrame:
     """The columns ``keep`` and ``score``, for each row."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     plain = docs.select(*keep, F.col("text").alias("_text"))
     schema = plain.drop("_text").schema.add("score", "double")

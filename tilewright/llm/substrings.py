@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
-from tilewright.plans.storage import discard, materialize
+from tilewright.plans.storage import bound_batches, discard, materialize
 
 WINDOW, ROUNDS = 35, 6
 #: Windows that a task sends on in one batch.
@@ -110,6 +110,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     }
                 )
 
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text"))
     return plain.mapInArrow(run, "doc_id long, th long, n_words long, cls binary, whole binary, names array<long>, lows array<int>, highs array<int>")
 

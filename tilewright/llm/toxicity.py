@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
 from tilewright.llm.ftrl import Ftrl, bounded_sample, fit, held_out_fold, map_scored, sigmoid
-from tilewright.plans.storage import discard, materialize
+from tilewright.plans.storage import bound_batches, discard, materialize
 
 #: Labelled rows used for fitting at most (in expectation), and the number of shards they are learnt in.
 SAMPLE_BOUND, SHARDS = 8_000, 4
@@ -146,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), bits: int = FTRL.bits) -> DataFrame:
     """``keep``, the document's score, and its offending sentences as byte spans with their scores."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cut))
     plain = docs.select(*keep, F.col("text").alias("_text"))
     schema = plain.drop("_text").schema.add("score", "double").add("n_offending", "long")
