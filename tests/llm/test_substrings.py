@@ -52,6 +52,24 @@ def test_planted_passages_runs_and_borders(spark):
     assert substrings.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_near_copies_and_shared_parts(spark):
+    """Copies with an edit each, parts of them inside other texts, and texts that repeat themselves."""
+    rng, rows = random.Random(7), []
+    base = [f"w{rng.randrange(500)}" for _ in range(600)]
+    for i in range(80):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[rng.randrange(600)] = f"e{i}"
+        rows.append((i, " ".join(copy)))
+    for i in range(80, 140):
+        a = rng.randrange(560)
+        rows.append((i, " ".join([f"u{i}{k}" for k in range(rng.randrange(30))] + base[a : a + rng.randrange(30, 90)] + [f"v{i}"] * rng.randrange(3))))
+    rows += [(200, " ".join(f"t{k % 40}" for k in range(300))), (201, " ".join(base[:300] + base[100:180])), (202, "\n".join(base))]
+    bits = [bin(k).count("1") % 2 for k in range(64)]
+    rows += [(300, " ".join("ab"[b] for b in bits)), (301, " ".join("ba"[b] for b in bits)), (302, " ".join("".join("ab"[b ^ f] for b in [bin(k).count("1") % 2 for k in range(1024)]) for f in (0, 1) for _ in range(20)))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_symbols_are_the_same_in_equal_passages():
     rng = random.Random(1)
     passage = " ".join(f"w{rng.randrange(50)}" for _ in range(200))
