@@ -11,6 +11,7 @@ import pytest
 from tests.llm.test_bpe import library  # noqa: F401
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_neardup import brute
+from tests.llm.test_pii import brute as personal
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +62,58 @@ def test_mix_and_tokens(stages, library):  # noqa: F811
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_personal_data_goes(stages):
+    _, before, after = stages[2]
+    new = {r.doc_id: r for r in after.collect()}
+    assert len(new) == before.count()
+    for r in before.collect():
+        spans = sorted(s for found in personal(r.text or "").values() for s in found)
+        if not spans and "[" not in (new[r.doc_id].text or ""):
+            assert new[r.doc_id] == r
+        for a, b in spans:
+            assert r.text[a:b] not in new[r.doc_id].text
+        assert not any(personal(new[r.doc_id].text or "")[k] for k in ("email", "ip"))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars int, `a.b` int, score string, payload int, _row string, bucket int, r int, cls int"
+
+
+def odd_rows():
+    long = " ".join(f"word{i % 997}." for i in range(60_000))
+    texts = [None, "", " \t\n", "a b", "a b", "one two three four five six", "one two three four five six", "mail a@b.co now", long, "x" * 100_000, "é 日本語 " * 3, "10.0.0.1 " * 600]
+    rows = [(i if i % 5 else None, t, "en", ("s", None, "t")[i % 3], len(t or ""), i, "s", i, "r", i, i, i) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[7], rows[7]]
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_odd_rows_through_each_stage(spark, sf_dir, n):
+    name, stage = corpus_pipeline.STAGES[n]
+    docs, rows = spark.createDataFrame(odd_rows(), ODD), odd_rows()
+    got = stage(spark, docs, sf_dir)
+    out = got.collect()
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name != "tokens":
+        assert got.columns == docs.columns
+    plain = [tuple(r) for r in out]
+    if name == "quality":
+        kept = Counter(plain)
+        assert all(kept[r] in (0, c) for r, c in Counter(rows).items()) and set(kept) <= set(rows)
+        assert len({r in kept for r in rows if not (r[1] or "").split()}) == 1
+    elif name == "near_duplicates":
+        assert len(out) == len(set(plain)) and set(plain) <= set(rows)
+        assert {(r[0], r[1]) for r in rows if not (r[1] or "").split()} == {(r[0], r[1]) for r in plain if not (r[1] or "").split()}
+    elif name == "personal_data":
+        assert Counter((r[0], r[5]) for r in plain) == Counter((r[0], r[5]) for r in rows)
+        texts = {r.r: r.text for r in out}
+        assert texts[0] is None and texts[7] == "mail [EMAIL] now" and texts[11] == "[IP] " * 600 and texts[8] == rows[8][1]
+    elif name == "mixing":
+        count = Counter((r[0], r[5]) for r in plain)
+        assert all(count[r[0], r[5]] == Counter(rows)[r] for r in rows if not (r[1] or "").split())
+        assert all(c <= 2 * Counter((r[0], r[5]) for r in rows)[k] for k, c in count.items())
+    else:
+        assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows) and sum(r.n_tokens == 0 for r in out) == 2
+
+
 def test_run(spark, sf_dir, stages):
     rows = corpus_pipeline.run(spark, sf_dir)
     key = lambda df: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
