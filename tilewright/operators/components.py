@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +27,47 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("lo").alias("hi"), F.col("root").alias("lo")).unionAll(least.select("hi", F.col("root").alias("lo"))).distinct()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes, with each batch's own components as stars.
+
+    Edges with near ids are sorted into the same batch, so components whose ids lie together are stars at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            nodes, at = np.unique(ends, return_inverse=True)
+            a, b = at.reshape(2, -1)
+            label = np.arange(len(nodes))
+            while True:
+                least = np.minimum(label[a], label[b])
+                new = label.copy()
+                for side in (label[a], label[b], a, b):
+                    np.minimum.at(new, side, least)
+                while not np.array_equal(new, new[new]):
+                    new = new[new]
+                if np.array_equal(new, label):
+                    break
+                label = new
+            some = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_pydict({"hi": nodes[some], "lo": nodes[label[some]]})
+
+    near = edges.repartitionByRange("lo").sortWithinPartitions("lo")
+    return near.mapInArrow(run, "hi long, lo long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of each node that an edge touches; component is the smallest node reachable.
 
     ``edges``: two columns of comparable ids, in any direction; loops and rows with a null are ignored, repeated edges
     count once. Every round is written to shared storage, so lineage stays short. A node that has very many neighbours
     is only ever joined to one row, its minimum, and that join's large side can be split. Components end as stars, so
-    the number of rounds is logarithmic. No edges: no rows."""
+    the number of rounds is logarithmic. Whole-number ids are first joined within batches. No edges: no rows."""
     a, b = edges.columns
-    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"`{a}` is not null and `{b}` is not null").where("hi <> lo").distinct()
+    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"`{a}` is not null and `{b}` is not null").where("hi <> lo")
     now = materialize(now)
+    whole = dict(now.dtypes) == {"hi": "bigint", "lo": "bigint"}
+    given, now = now, materialize((_contracted(now) if whole else now).distinct())
+    discard(given)
     before = None
     for _ in range(max_rounds):
         new = materialize(_small_star(_large_star(now)))
