@@ -109,6 +109,11 @@ def sides(x1, y1, x2, y2) -> list[Column]:
     return [col(x1), col(y1), col(x2) - col(x1), col(y2) - col(y1)]
 
 
+def to_global(x1, y1, x2, y2, tile_x, tile_y) -> list[Column]:
+    """A box within a tile, in the coordinates that the tile's origin is given in."""
+    return [col(x1) + col(tile_x), col(y1) + col(tile_y), col(x2) + col(tile_x), col(y2) + col(tile_y)]
+
+
 def is_empty_crop(w, h) -> Column:
     """Whether a cut has no pixels."""
     return (col(w) <= 0) | (col(h) <= 0)

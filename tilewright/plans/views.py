@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.geometry import clip_to
+from tilewright.functions.geometry import clip_to, to_global
 from tilewright.operators.grid import slide_tiles
-from tilewright.operators.spatial import spatial_join
+from tilewright.operators.spatial import BOX, spatial_join
 from tilewright.plans.storage import table
 
 
@@ -32,10 +32,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = flat.selectExpr("*", "((o_orderkey * 31 + ix * 17 + iy * 13) % 5) - 2 as dx", "((o_orderkey * 29 + ix * 11 + iy * 19) % 5) - 2 as dy")
     box = clip_to(F.expr("x1 + dx - tx"), F.expr("y1 + dy - ty"), F.expr("x2 + dx - tx"), F.expr("y2 + dy - ty"), F.lit(512), F.lit(512))
     flat = flat.select("slide", "tile", "o_orderkey", "ix", "iy", "tx", "ty", *[b.alias(n) for b, n in zip(box, ("c1", "c2", "c3", "c4"), strict=True)]).where("c3 > c1 and c4 > c2")
-    return flat.selectExpr(
-        "slide", "tile", "slide * 1000000000 + o_orderkey * 100 + iy * 10 + ix as det_id", "cast(c1 + tx as double) as x1", "cast(c2 + ty as double) as y1",
-        "cast(c3 + tx as double) as x2", "cast(c4 + ty as double) as y2", "((o_orderkey * 7919 + ix * 911 + iy * 3571) % 10007) / 10007D as score",
-    )
+    placed = [c.cast("double").alias(n) for c, n in zip(to_global("c1", "c2", "c3", "c4", "tx", "ty"), BOX, strict=True)]
+    key, score = "slide * 1000000000 + o_orderkey * 100 + iy * 10 + ix as det_id", "((o_orderkey * 7919 + ix * 911 + iy * 3571) % 10007) / 10007D as score"
+    return flat.select("slide", "tile", F.expr(key), *placed, F.expr(score))
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
