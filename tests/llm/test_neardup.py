@@ -80,3 +80,11 @@ def test_lists_of_equal_members_with_values_of_different_df(spark):
     assert [r.v for r in kept] == [79]  # the rarest value of all lists with these members
     assert neardup._cross(lists).where("a = 0 and b = 1").count() == 1
     assert neardup._cross(neardup._distinct_lists(lists)).where("a = 0 and b = 1").count() == 1
+
+
+def test_balanced_words_are_not_alike(spark):
+    rows = []
+    for n in (1024, 4096):
+        for flip in (0, 1):
+            rows.append((len(rows), "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))))
+    check(spark.createDataFrame([*rows, (9, rows[0][1])], "doc_id long, text string"))
