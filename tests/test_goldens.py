@@ -32,6 +32,27 @@ def test_components_of_a_chain(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_random_graph(spark):
+    rng = np.random.default_rng(4)
+    ends = rng.integers(0, 4000, (3000, 2)) * 1_000_003 - 10**9
+    parent = {int(n): int(n) for n in np.unique(ends)}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in ends.tolist():
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    touched = {n for a, b in ends.tolist() if a != b for n in (a, b)}
+    for kind in ("long", "string"):
+        rows = [(a, b) if kind == "long" else (f"{a + 10**11:015d}", f"{b + 10**11:015d}") for a, b in ends.tolist()]
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, f"a {kind}, b {kind}").repartition(7)).collect()}
+        plain = lambda n: n if kind == "long" else f"{n + 10**11:015d}"
+        assert got == {plain(n): plain(root(n)) for n in touched}
+
+
 def test_matchers_differ_on_a_lost_box(spark):
     pred = spark.createDataFrame([("s", 1, 0.0, 0.0, 10.0, 9.5, 0.9), ("s", 2, 0.0, 1.0, 10.0, 12.0, 0.8)], "slide string, pred_id long, x1 double, y1 double, x2 double, y2 double, score double")
     gt = spark.createDataFrame([("s", 1, 0.0, 0.0, 10.0, 10.0), ("s", 2, 0.0, 4.0, 10.0, 15.0)], "slide string, gt_id long, x1 double, y1 double, x2 double, y2 double")

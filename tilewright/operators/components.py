@@ -27,6 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("lo").alias("hi"), F.col("root").alias("lo")).unionAll(least.select("hi", F.col("root").alias("lo"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all are stars: every larger end has one edge and is no edge's smaller end."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select("lo", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Edges that connect the same nodes, with each batch's own components as stars.
 
@@ -68,15 +75,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     whole = dict(now.dtypes) == {"hi": "bigint", "lo": "bigint"}
     given, now = now, materialize((_contracted(now) if whole else now).distinct())
     discard(given)
-    before = None
     for _ in range(max_rounds):
-        new = materialize(_small_star(_large_star(now)))
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = new
-        if seen == before:
+        if _settled(now):
             break
-        before = seen
+        given, now = now, materialize(_small_star(_large_star(now)))
+        discard(given)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
