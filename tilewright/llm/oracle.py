@@ -32,18 +32,23 @@ SELECT doc_id, size, source_size, target, taken, CASE WHEN size > 0 AND taken =
 
 #: Shingles are compared as texts: words joined by spaces, of which a word has none.
 NEARDUP = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS held FROM w),
-f AS (SELECT doc_id, len(held) AS size, unnest(held) AS v FROM s), often AS (SELECT v, row_number() OVER () AS name FROM f GROUP BY v HAVING count(*) > 1), g AS MATERIALIZED (SELECT doc_id, size, name FROM f JOIN often USING (v)),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.name = b.name AND a.doc_id < b.doc_id AND 4 * a.size >= 3 * b.size AND 4 * b.size >= 3 * a.size GROUP BY ALL),
-linked AS (SELECT a, b FROM common JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.held) + len(y.held) - n)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM w WHERE len(w) >= 5),
+y AS (SELECT doc_id, i, n, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER p" for k in range(1, 5))}) AS v FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT DISTINCT doc_id, v FROM y WHERE i <= n - 5 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+s AS (SELECT w.doc_id, count(v) AS size FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id),
+often AS (SELECT v, row_number() OVER () AS name FROM f GROUP BY v HAVING count(*) > 1), g AS MATERIALIZED (SELECT doc_id, size, name FROM f JOIN often USING (v) JOIN s USING (doc_id)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.size AS m, b.size AS n, count(*) AS shared FROM g a JOIN g b ON a.name = b.name AND a.doc_id < b.doc_id AND 4 * a.size >= 3 * b.size AND 4 * b.size >= 3 * a.size GROUP BY ALL),
+linked AS (SELECT a, b FROM common WHERE 100 * shared >= 75 * (m + n - shared)),
 ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reach AS (SELECT doc_id AS n, doc_id AS m FROM s UNION SELECT r.n, e.b FROM reach r JOIN ways e ON e.a = r.m),
 c AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n)
-SELECT doc_id, len(held)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON n = doc_id"""
+SELECT doc_id, size AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON n = doc_id"""
 
 SUBSTRINGS = f"""WITH w AS (SELECT doc_id, {WORDS.format(text="text")} AS w FROM documents),
-x AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS pos, w FROM w WHERE len(w) >= {WINDOW}), named AS (SELECT doc_id, pos, array_to_string(w[pos : pos + {WINDOW - 1}], ' ') AS passage FROM x),
-twice AS (SELECT passage FROM named GROUP BY passage HAVING count(*) > 1), gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM named JOIN twice USING (passage), range({WINDOW}) r(k)),
-words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n FROM w),
+named AS (SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS passage FROM words),
+whole AS MATERIALIZED (SELECT doc_id, pos, md5(passage) AS passage FROM named WHERE pos <= n - {WINDOW}),
+twice AS (SELECT passage FROM whole GROUP BY passage HAVING count(*) > 1), gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM whole JOIN twice USING (passage), range({WINDOW}) r(k)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 EMBEDDINGS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
