@@ -64,26 +64,30 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"), "tilt")
 
 
-def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, position (of the first pass) and passes (position and words of each)
-    of each document, sorted by position.
+    of each document, sorted by position."""
+    return _positions(docs).orderBy(F.asc_nulls_last("position"), "doc_id", "size")
 
-    ``payload`` is carried along as ``payload``."""
+
+def _positions(docs: DataFrame, payload: Column | None = None) -> DataFrame:
+    """As ``mix``, in no order, with ``payload`` carried along as ``payload``.
+
+    Rows are dealt once: the window and the join that follows it have the same keys, which are never null."""
     extra = [] if payload is None else ["payload"]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), *([] if payload is None else [payload.alias("payload")]))
+    place = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
+    sized = docs.select("doc_id", "source", place.alias("place"), size_of(F.col("text")).alias("size"), key.alias("key"), *([] if payload is None else [payload.alias("payload")]))
     buckets = max(1, math.isqrt(docs.count()))
     sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Wd.partitionBy("source").orderBy("bucket").rowsBetween(Wd.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     wants = targets(sums.select("source", F.col("bucket_size").alias("size")))
-    starts = _join_source(sums, wants).select("source", "bucket", "bucket_before", "source_size", "target", "tilt")
-    rows = Wd.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Wd.unboundedPreceding, -1)
+    starts = _join_source(sums, wants).select(place.alias("place"), "bucket", "bucket_before", "source_size", "target", "tilt")
+    rows = Wd.partitionBy("place", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Wd.unboundedPreceding, -1)
     placed = sized.withColumn("row_before", F.coalesce(F.sum("size").over(rows), F.lit(0)))
-    left, right = placed.alias("a"), starts.alias("b")
-    on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
-    placed = left.join(right, on).select(*[f"a.{c}" for c in extra], "a.doc_id", "a.size", "b.source_size", "b.target", "b.tilt", (F.col("b.bucket_before") + F.col("a.row_before")).alias("done"))
+    placed = placed.join(starts, ["place", "bucket"]).select(*extra, "doc_id", "size", "source_size", "target", "tilt", (F.col("bucket_before") + F.col("row_before")).alias("done"))
     placed = placed.withColumn("goal", F.round("target").cast("long"))
     placed = placed.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("whole") * F.col("source_size") - F.col("done"))).cast("long")
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, payload: Column | None = None) -> DataFrame:
     out = placed.withColumn("passes", F.when(F.col("size") > 0, every).otherwise(still))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
     first = F.get("passes", F.lit(0))["position"]
-    return out.select(*extra, "doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("position"), "passes").orderBy(F.asc_nulls_last("position"), "doc_id", "size")
+    return out.select(*extra, "doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("position"), "passes")
 
 
 def _position(words: Column) -> Column:
@@ -112,7 +116,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Documents stay whole: the one of each source that is taken in part stands there from one half on. Null and wordless
     texts take no words of the mix and stay once each. No rows: no rows."""
-    mixed = mix(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    mixed = _positions(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     kept = mixed.select("payload", "size", F.explode("passes").alias("pass")).where("2 * pass.words >= size")
     return kept.orderBy("pass.position").select("payload.*")
 
