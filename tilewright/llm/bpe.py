@@ -35,6 +35,8 @@ from tilewright.plans.storage import bound_batches
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pre-tokens whose result a worker remembers at most; beyond that it starts anew.
 CACHE = 300_000
+#: Bytes of text whose distinct pre-tokens are looked up together: more than elsewhere, as each costs a look-up.
+SLICE = 1 << 20
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -334,7 +336,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for _, _, data, offsets in W.slices(batch.column(batch.num_columns - 1)):
+            for _, _, data, offsets in W.slices(batch.column(batch.num_columns - 1), SLICE):
                 ids, cut = encoder.value.encode(data, offsets)
                 raw = ids.astype("<u4").tobytes()
                 out += [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -352,7 +354,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for _, _, data, offsets in W.slices(batch.column(batch.schema.get_field_index("ids"))):
+            for _, _, data, offsets in W.slices(batch.column(batch.schema.get_field_index("ids")), SLICE):
                 raw, sizes = decoder.value.decode(np.frombuffer(data.tobytes(), "<u4"))
                 total = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4].tolist()
                 raw = raw.tobytes()
@@ -429,7 +431,7 @@ def count(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for _, _, data, offsets in W.slices(batch.column(batch.num_columns - 1)):
+            for _, _, data, offsets in W.slices(batch.column(batch.num_columns - 1), SLICE):
                 n_bytes.append(np.diff(offsets))
                 raw = data.tobytes()
                 n_tokens.append(counter.value.count([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]))
