@@ -53,11 +53,14 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark removes them once the JVM has collected their plans, for
-    which a large heap may wait very long. Not more often than every ``RELEASE_S`` seconds."""
+    which a large heap may wait very long. The second collection takes the last step's plan, which listeners may still
+    hold during the first. Not more often than every ``RELEASE_S`` seconds."""
     now = time.monotonic()
     if now - getattr(spark.sparkContext, "_tilewright_released", -RELEASE_S) >= RELEASE_S:
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
         spark.sparkContext._tilewright_released = time.monotonic()
 
 
