@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, embedding_dedup, licenses, media, mixing, neardup, oracle, pii, quality, substrings, toxicity
+from tilewright.llm import bpe, divergence, embedding_dedup, licenses, media, mixing, neardup, oracle, pii, quality, substrings, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,12 +79,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op8_embedding_dedup, op9_token_counts, op10_quality, op12_licenses)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op8_embedding_dedup, op9_token_counts, op10_quality, op11_divergence, op12_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """DuckDB SQL for those of the queries that SQL can express.
 
-Learnt scores (1, 5, 10), stored media (4) and tokenizers (6, 9) cannot be; tests/llm holds them against plain versions."""
+Learnt scores (1, 5, 10), stored media (4), tokenizers (6, 9, 13) and nested expressions (12) cannot be; tests/llm holds them against plain versions."""
 
 from __future__ import annotations
 
@@ -57,4 +57,16 @@ linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.labe
 reach AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT r.n, l.b FROM reach r JOIN linked l ON l.a = r.m), c AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n), k AS (SELECT a, count(*) AS n_links FROM linked GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id"""
 
-SQL = {"op2_mixing": MIXING, "op3_neardup": NEARDUP, "op7_substrings": SUBSTRINGS, "op8_embedding_dedup": EMBEDDINGS}
+#: Every group gets every kept term; groups without kept terms come back for the pairs.
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d), n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS rows FROM o GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM n GROUP BY ALL HAVING sum(rows) >= 30), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0)::HUGEINT AS n, total::HUGEINT AS total FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, (1 + (1000000000 * (n + 5)) // (sum(n) OVER own + 5 * count(*) OVER own))::BIGINT AS p, (1 + (1000000000 * (total + 5)) // (sum(total) OVER own + 5 * count(*) OVER own))::BIGINT AS q FROM c WINDOW own AS (PARTITION BY lang, source)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+SQL = {"op11_divergence": DIVERGENCE, "op2_mixing": MIXING, "op3_neardup": NEARDUP, "op7_substrings": SUBSTRINGS, "op8_embedding_dedup": EMBEDDINGS}
