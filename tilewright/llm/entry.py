@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, divergence, embedding_dedup, licenses, media, mixing, neardup, oracle, pii, quality, substrings, toxicity
+from tilewright.llm import alignment, bpe, divergence, embedding_dedup, licenses, media, mixing, neardup, oracle, pii, quality, substrings, toxicity
 from tilewright.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,8 +87,13 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.weigh(alignment.align(table(spark, sf_dir, "documents"), *paths))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op8_embedding_dedup, op9_token_counts, op10_quality, op11_divergence, op12_licenses)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_neardup, op4_media, op5_pii, op6_byte_bpe, op7_substrings, op8_embedding_dedup, op9_token_counts, op10_quality, op11_divergence, op12_licenses, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
