@@ -20,6 +20,7 @@ gives no rows; other columns are not looked at; texts of any length are read who
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ from tilewright.plans.storage import bound_batches, materialize
 
 LEAST, SMOOTH, SCALE, TOP = 30, 5, 10**9, 50
 #: Counts that a task holds before it hands them on, and entries of a block at least.
-HELD, BLOCK = 300_000, 1 << 14
+HELD, BLOCK = 600_000, 1 << 14
+#: Bytes of text after which a task hands its counts on in any case. Documents are counted in units of ROWS beside the
+#: occurrences, of which so many bytes hold fewer.
+SEEN, ROWS = 1 << 30, 1 << 32
 #: Copies of the languages' totals that a join by language is dealt to.
 SALT = 16
 
@@ -84,29 +88,30 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], int] = {}
-        held: dict[tuple[int, bytes], tuple[int, int]] = {}
-
-        def hand_on() -> pa.RecordBatch:
-            names = list(groups)
-            keys, values = [*held, *((g, b"") for g in range(len(names)))], [*held.values(), *[(0, 0)] * len(names)]
-            out = pa.RecordBatch.from_pydict({
-                "lang": pa.array([names[g][0] for g, _ in keys], pa.string()), "source": pa.array([names[g][1] for g, _ in keys], pa.string()), "term": pa.array([t for _, t in keys], pa.binary()),
-                "n": pa.array([n for n, _ in values], pa.int64()), "d": pa.array([d for _, d in values], pa.int64()),
-            })
-            held.clear()
-            return out
+        held: list[dict[bytes, int]] = []  # of each group: occurrences, and documents in units of ROWS
+        seen = 0
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in zip(groups, held, strict=True):
+                size = len(terms) + 1
+                values = np.fromiter(chain(terms.values(), [0]), np.int64, size)
+                term = pa.array(chain(terms, [b""]), pa.binary(), size=size)
+                terms.clear()
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, size), pa.repeat(source, size), term, pa.array(values % ROWS), pa.array(values // ROWS)], ["lang", "source", "term", "n", "d"])
 
         for batch in batches:
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             group = np.array([groups.setdefault(g, len(groups)) for g in names], np.int64)
+            held += [{} for _ in range(len(groups) - len(held))]
             for i, j, data, offsets in W.slices(batch.column(2), bpe.SLICE):
                 for g, term, n, d in count_slice(data, offsets, group[i:j]):
-                    x, y = held.get((g, term), (0, 0))
-                    held[g, term] = (x + n, y + d)
-                if len(held) > HELD:
-                    yield hand_on()
-        if groups:
-            yield hand_on()
+                    own = held[g]
+                    own[term] = own.get(term, 0) + n + d * ROWS
+                seen += len(data)
+                if sum(map(len, held)) > HELD or seen > SEEN:
+                    yield from hand_on()
+                    seen = 0
+        yield from hand_on()
 
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.col("text").alias("_text"))
     return texts.mapInArrow(run, "lang string, source string, term binary, n long, d long")
