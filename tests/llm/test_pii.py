@@ -95,3 +95,28 @@ def test_many_matches_in_one_text(spark):
     docs = spark.createDataFrame([(1, text), (2, "1.2.3.4 " * 255 + "5.6.7.8"), (3, "1.2.3.4 " * 256)], "doc_id long, text string")
     for r in pii.find(docs, ("text",)).collect():
         assert {k: [tuple(s) for s in r[k]] for k in pii.KINDS} == brute(r.text)
+
+
+def test_sure_spans_are_found_in_tables_of_any_size(spark):
+    rows = [(1, 'token = "04db61fe2a77c9015b3d"'), (2, "write to ann (at) example (dot) org"), (3, "plain text"), (4, "tel: 443 555 5793"), (5, "order 1234567 of 2024-01-02")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in entry.pii_digests(docs).collect()}
+        assert got[1] == "secret:9:29"
+    assert got[2] == "email:9:35" and got[3] == "" and got[4] == "phone:5:17" and got[5] == ""
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()][0] == 'token = "[SECRET]"'
+
+
+def test_trees_learn_from_context_and_leave_look_alikes(spark):
+    """Keys after a cue teach that quoted long hexadecimal runs are secrets; order codes are candidates that are not."""
+    rng = random.Random(7)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = [f'token = "{hexa(40)}"' for _ in range(400)] + [f"order {hexa(10).upper()} shipped" for _ in range(300)] + [f"version v{rng.randrange(9)}x{hexa(8)}" for _ in range(150)]
+    rows += [f'blob = "{hexa(40)}"' for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    models = pii.fit(docs)
+    used = {f for t in models["secret"].trees for f in (t[0], t[2][0], t[3][0])}
+    assert used and models["secret"].threshold is not None
+    got = {r.doc_id: r.spans for r in entry.pii_digests(docs).collect()}
+    found = [k for k, spans in got.items() if "secret" in spans]
+    assert {*range(400), 850, 851} == {*found}

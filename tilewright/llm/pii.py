@@ -12,15 +12,17 @@ characters beside it, a cue word before it).
 
 There are no labels for personal data, so weak ones teach: a candidate is *sure* if it holds a base span or passes a
 check of its own kind that base patterns do not make, as a written-out address, eight hexadecimal groups, a valid card
-number with unusual separators, a phone number after a cue, a token after ``password=`` or of a known key format. Cells
-of equal features are counted over all documents with how many are sure; the number of cells is bounded by the
-features' ranges, so the boosted trees are fitted to those counts, on the driver. Half of the cells' documents fit the
-trees and the other half calibrate the threshold: the lowest score from which on at least ``PRECISION`` of the
-candidates are sure. The trees are then written as CASE expressions, and find what looks the same without passing a
-check. A candidate that scores above the threshold and touches no base span of its kind is added.
+number with unusual separators, a phone number after a cue, a token after ``password=`` or of a known key format. What
+a check looks at is no feature of its kind, so the trees learn how such things are written and where they stand. Order
+numbers, dates, versions and codes are candidates too, and not sure. Cells of equal features are counted over all
+documents with how many are sure; the number of cells is bounded by the features' ranges, so the boosted trees are
+fitted to those counts, on the driver. Half of the cells' documents fit the trees and the other half calibrate the
+threshold: the lowest score from which on ``PRECISION`` of the candidates would be sure even if one more were not.
+The trees are then written as CASE expressions, and find what looks the same without passing a check. A candidate that
+touches no base span of its kind is added if it is sure, in tables of any size, or scores above the threshold.
 
 Edge cases: nulls count as empty and have no spans; rows that repeat get equal results; null ids are kept; an empty
-table gives no rows; without candidates nothing is added. U+0001 in a text stands for itself (it is swapped for
+table gives no rows; without candidates nothing is added, and with those of one half only, just sure ones are. U+0001 in a text stands for itself (it is swapped for
 another control character, which no pattern contains, before marking). Other columns are kept by ``redact`` and
 dropped by ``find``.
 """
@@ -52,10 +54,11 @@ GENERATORS = {
     "ip": r"(?<![0-9A-Fa-f.:])[0-9A-Fa-f]++(?:[.:][0-9A-Fa-f]++){3,7}+",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]?[0-9]){9,15}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,14}+",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{12,}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{8,}+",
 }
 OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
 SECRET_CUES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|key|credentials?)[\x22'\x20]{0,2}[:=][\x22'\x20]{0,2}$"
+PHONE_CUES = r"(?i)(?:tel(?:e?f[oó]no?|ephone)?|phone|call|fax|mobile|handy|m[oó]vil)[^A-Za-z0-9+(]{0,4}$"
 CUES = r"(?i)(?:mail|tel|phone|call|fax|card|visa|ip|addr|host|contact|nombre|kontakt)[^A-Za-z0-9]{0,4}$"
 #: Least share of base spans among the candidates above the threshold, the boosting rounds and their step.
 PRECISION, ROUNDS, STEP = 0.98, 12, 0.5
@@ -141,6 +144,8 @@ def _features(text: Column, kind: str, c: Column) -> Column:
 
 def _feature_list(kind: str, match: Column, before: Column, after: Column, digits: Column) -> list[tuple[Column, int]]:
     separators = F.length(F.regexp_replace(match, "[A-Za-z0-9]", ""))
+    length = F.length(match)
+    cue = F.lit(0) if kind in ("phone", "secret") else before.rlike(CUES)  # their checks look at cues
     return [
         (F.when(digits < 7, 0).when(digits < 9, 1).when(digits < 12, 2).when(digits < 13, 3).when(digits < 16, 4).when(digits == 16, 5).otherwise(6), 7),
         (separators, 5),
@@ -151,14 +156,17 @@ def _feature_list(kind: str, match: Column, before: Column, after: Column, digit
         (before.rlike(r"[A-Za-z0-9]$"), 2),
         (before.rlike(r"[+]$") | match.startswith("+"), 2),
         (after.rlike("[A-Za-z0-9]"), 2),
-        (before.rlike(CUES), 2),
-        (before.rlike(SECRET_CUES), 2),
+        (cue, 2),
+        (before.rlike(r"[:=][\x22'\x20]{0,2}$"), 2),
+        (before.rlike(r"[\x22'(\[<]$"), 2),
         (match.rlike("^[A-Z0-9]+$"), 2),
         (match.rlike("^[0-9a-f]+$"), 2),
+        (F.when(length < 12, 0).when(length < 20, 1).when(length < 32, 2).otherwise(3), 4),
     ]
 
 
-RADIX = (7, 5, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2)
+#: The features' ranges.
+RADIX = (7, 5, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 4)
 
 
 def _sure(kind: str, text: Column, c: Column) -> Column:
@@ -173,7 +181,7 @@ def _sure(kind: str, text: Column, c: Column) -> Column:
     if kind == "card":
         return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
-        return before.rlike(CUES)
+        return before.rlike(PHONE_CUES)
     return before.rlike(SECRET_CUES) | match.rlike("^A[KS]IA[A-Z0-9]{16}$")
 
 
@@ -259,7 +267,7 @@ def _boost(cells) -> Trees:
     order = np.argsort(-score[~fit_rows], kind="stable")
     s, c, good = score[~fit_rows][order], np.cumsum(n[~fit_rows][order]), np.cumsum(pos[~fit_rows][order])
     ends = np.append(s[1:] != s[:-1], True)
-    fine = ends & (good >= PRECISION * c) & (c >= 20)
+    fine = ends & (good >= PRECISION * (c + 1))  # with one more that is not sure, so that few candidates prove little
     return Trees(tuple(trees), start, float(s[np.flatnonzero(fine)[-1]]) if fine.any() else None)
 
 
@@ -276,13 +284,13 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), models: dict[str,
     models = models or fit(docs)
     df = _prepared(docs, keep)
     base = {k: F.col(f"_{k}") for k in KINDS}
-    likely = lambda m: lambda c: ~c["base"] & (_score(m, c["cell"]) >= m.threshold - 1e-9)
+    above = lambda m, c: F.lit(False) if m.threshold is None else _score(m, c["cell"]) >= m.threshold - 1e-9
+    likely = lambda m: lambda c: ~c["base"] & (c["sure"] | above(m, c))
     out = []
     for k in ALL_KINDS:
         every = base.get(k, F.array().cast(_SPANS))
-        if models[k].threshold is not None:
-            chosen = F.filter(_candidates(F.col("_t"), base, k), likely(models[k]))
-            every = F.array_sort(F.concat(every, F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))))
+        chosen = F.filter(_candidates(F.col("_t"), base, k), likely(models[k]))
+        every = F.array_sort(F.concat(every, F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))))
         out += [*([base[k].alias(k)] if k in base else []), every.alias(f"{k}_all")]
     return df.select(*keep, *out)
 
