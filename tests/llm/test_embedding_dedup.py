@@ -67,3 +67,23 @@ def test_traversal_is_exact(spread):
     assert links[a].tolist() == near[np.ix_(a, b)].sum(1).tolist() and links[b].tolist() == near[np.ix_(b, a)].sum(1).tolist()
     own, _ = E.group_links(points, np.ones(240, np.int64), np.arange(240), None, 0.98)
     assert own.tolist() == (near.sum(1) - 1).tolist()
+
+
+def test_pairs_close_to_the_threshold_and_to_one_another():
+    """Points within about 1e-9 of a few centres, whose cosines with one another's lie within about 2e-9 of 0.98."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a = rng.normal(size=8)
+        a /= np.linalg.norm(a)
+        side = rng.normal(size=8)
+        side -= side @ a * a
+        side /= np.linalg.norm(side)
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
+        points = np.concatenate([c + rng.normal(size=(30, 8)) * rng.choice([1e-10, 1e-9, 3e-9]) for c in (a, b)])
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        x, y = np.arange(30), np.arange(30, 60)
+        near = points @ points.T >= 0.98
+        links, _ = E.group_links(points, np.ones(60, np.int64), x, y, 0.98)
+        assert links[x].tolist() == near[np.ix_(x, y)].sum(1).tolist() and links[y].tolist() == near[np.ix_(y, x)].sum(1).tolist()
+        own, _ = E.group_links(points, np.ones(60, np.int64), np.arange(60), None, 0.98)
+        assert own.tolist() == (near.sum(1) - 1).tolist()

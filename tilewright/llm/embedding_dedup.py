@@ -34,8 +34,9 @@ from tilewright.plans.storage import discard, materialize
 THRESHOLD = 0.98
 #: Shared nodes (in expectation), vectors in a block (about), and members of a node that is not split further.
 CENTRES, BLOCK, LEAF = 1024, 1000, 16
-#: Slack for rounding in distance bounds.
-SLACK = 1e-9
+#: Slack for rounding in distance bounds: the distance of vectors close to one another, sqrt(2 - 2 cosine), is only
+#: right to about 2e-8, and a bound adds up two covering radii and a distance.
+SLACK = 1e-7
 
 
 def reach(threshold: float) -> float:
