@@ -192,6 +192,14 @@ def _label(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    out = _members(docs, k).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def _members(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id and leads of each document.
+
+    ``leads``: whether it has the smallest (doc_id, th) of its component; a document without shingles always does."""
     rows = materialize(sketches(docs, k))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
@@ -220,21 +228,25 @@ def components(docs: DataFrame, k: int = K) -> DataFrame:
     rest = materialize(_distinct_lists(_within(_label(again, labels))))
     third = _alike(_cross(rest), classes, sets, k)
     labels = connected_components(edges.unionAll(second).unionAll(third))
-    discard(lists, sets, again, rest)
+    discard(lists, sets, again, rest, edges, second, third)
 
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(names, "component").select("cls", "component_id")
-    out = rows.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")
+    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), lead)
+    by_class = named.join(names, "component").select("cls", "component_id", "lead")
+    out = rows.join(by_class, "cls", "left")
+    some = F.col("n_shingles") > 0
+    leads = ~some | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th")))
+    return out.select("doc_id", "th", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), leads.alias("leads"))
 
 
 def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with all columns: the one with the smallest doc_id.
 
-    Rows with equal doc_id and text are one document. Texts without words all stay."""
-    found = components(docs.select("doc_id", "text"), k).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+    Rows with equal doc_id and text are one document; of different texts with one id, at most one of each group stays,
+    that of the smallest hash. Texts without words all stay."""
+    found = _members(docs.select("doc_id", "text"), k).where("leads").select(F.col("doc_id").alias("_kept"), F.col("th").alias("_text")).distinct()
     columns = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
-    chosen = keyed.join(found, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    chosen = keyed.join(found, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_text")), "left_semi")
     return chosen.dropDuplicates(["_id", "_th"]).select("_row.*")
