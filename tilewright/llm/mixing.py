@@ -115,10 +115,11 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all columns, each pass at its own position in the order.
 
     Documents stay whole: the one of each source that is taken in part stands there from one half on. Null and wordless
-    texts take no words of the mix and stay once each. No rows: no rows."""
+    texts take no words of the mix and stay once each. Ties in the order go by id (null first), then by a hash of the
+    text. No rows: no rows."""
     mixed = _positions(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = mixed.select("payload", "size", F.explode("passes").alias("pass")).where("2 * pass.words >= size")
-    return kept.orderBy("pass.position").select("payload.*")
+    kept = mixed.select("payload", "doc_id", "size", F.explode("passes").alias("pass")).where("2 * pass.words >= size")
+    return kept.orderBy("pass.position", "doc_id", F.xxhash64("payload.text")).select("payload.*")
 
 
 def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
