@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.llm import quality, toxicity
 from tilewright.llm import words as W
@@ -136,3 +137,13 @@ def test_blocks_of_states_average(spark):
     z, n = start_state(f, -1.0)
     z[5], n[5] = 1.0, 4.0
     assert np.allclose(fit(rows, f, learn, -1.0, rounds=1), f.weights(z.astype(float), n.astype(float)), atol=1e-6)
+
+
+@pytest.mark.parametrize(("operator", "label"), [(quality.classify, "quality"), (toxicity.detect, "toxic")])
+def test_labels_other_than_0_and_1_teach_nothing(spark, tables, operator, label):
+    docs, labels = tables
+    odd = labels.withColumn(label, F.when(F.col("doc_id") % 10 == 3, F.lit(2)).when(F.col("doc_id") % 10 == 4, F.lit(-1)).otherwise(F.col(label)))
+    without = labels.where("doc_id % 10 not in (3, 4)")
+    scores = lambda y: [tuple(r)[:4] for r in operator(docs, y).orderBy("doc_id").collect()]
+    assert scores(odd) == scores(without)
+    assert len(scores(labels.withColumn(label, F.lit(5)))) == docs.count()

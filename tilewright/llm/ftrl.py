@@ -95,8 +95,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, y: str, folds: int, held_
     """About ``bound`` labelled rows at most, outside the held-out fold, chosen by a hash of the id.
 
     The ids are counted, and the share that is kept is bound / count; they are few enough to broadcast. Rows with
-    null label, id or text teach nothing."""
-    ids = labels.where(F.col(y).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % folds != held_out))
+    a label other than 0 and 1, a null id or a null text teach nothing."""
+    ids = labels.where(F.col(y).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % folds != held_out))
     ids = ids.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(y)).alias("y"))
     found = ids.count()
     share = min(1.0, bound / max(1, found))
