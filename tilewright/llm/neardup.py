@@ -190,6 +190,18 @@ def _label(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.drop("label").join(renamed, "c", "left").withColumn("label", F.coalesce("found", "c")).drop("found")
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of ``labels`` with more edges, which are seen as edges between the components so far; written."""
+    so_far = labels.select(F.col("node").alias("n"), F.col("component").alias("l"))
+    lifted = edges
+    for end in ("a", "b"):
+        lifted = lifted.join(so_far, lifted[end] == F.col("n"), "left").withColumn(end, F.coalesce("l", end)).drop("n", "l")
+    up = connected_components(lifted).select(F.col("node").alias("n"), F.col("component").alias("l"))
+    moved = labels.join(up, labels["component"] == F.col("n"), "left").select("node", F.coalesce("l", "component").alias("component"))
+    new = up.join(labels, F.col("n") == labels["node"], "left_anti").select(F.col("n").alias("node"), F.col("l").alias("component"))
+    return materialize(moved.unionAll(new))
+
+
 def components(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     out = _members(docs, k).select("doc_id", "n_shingles", "component_id")
@@ -215,7 +227,7 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
     top = led.groupBy("v").agg(F.max_by("lead", F.struct("central", -F.col("lead"))).alias("top"))
     heads = lists.join(top, "v").select(F.col("top").alias("a"), F.col("c").alias("b"))
     edges = _alike(_ordered(stars.unionAll(heads)), classes, sets, k)
-    labels = connected_components(edges)
+    labels = materialize(connected_components(edges))
 
     left = _within(_label(lists, labels)).select("c").distinct()
     again = _listed(sets.join(left, "c", "left_semi").select("c", F.col("full").alias("held")), F.lit(0.75))
@@ -223,12 +235,12 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
     best = _leaders(again.withColumn("g", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(LEADERS))), ["v", "g"]).join(again.select(F.col("c").alias("lead"), F.col("label").alias("lead_label")).distinct(), "lead")
     tried = again.join(best, "v").where("label <> lead_label").select(F.col("lead").alias("a"), F.col("c").alias("b"))
     second = _alike(_ordered(tried), classes, sets, k)
-    labels = connected_components(edges.unionAll(second))
+    first_labels, labels = labels, _merged(labels, second)
 
     rest = materialize(_distinct_lists(_within(_label(again, labels))))
     third = _alike(_cross(rest), classes, sets, k)
-    labels = connected_components(edges.unionAll(second).unionAll(third))
-    discard(lists, sets, again, rest, edges, second, third)
+    second_labels, labels = labels, _merged(labels, third)
+    discard(lists, sets, again, rest, edges, second, third, first_labels, second_labels)
 
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")
