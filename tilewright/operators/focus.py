@@ -1,20 +1,21 @@
 """Focus scores, plane ranking and stacking.
 
-Two forms of the same kernels: column expressions over arrays of whole-number pixels (row by row), which stay in the
-JVM and suit small crops, and numpy kernels over binary planes through Arrow for tiles of production size. Borders are
-mirrored without repeating the edge pixel.
+The kernels run in numpy over stacks of planes that Arrow batches bring, whether pixels come as arrays (row by row) or as
+bytes; planes too large for a row go through ``blocks``. The same kernels exist as column expressions, for use within a
+larger expression over small crops. Borders are mirrored without repeating the edge pixel.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.geometry import col
 
@@ -142,14 +143,7 @@ def mean_log(px, width: int, height: int, k: int = 5) -> Column:
 
 def score_planes(planes: DataFrame, width: int, height: int) -> DataFrame:
     """All columns but px, and vol, tenengrad, pvol, ptenengrad and log (mean absolute response)."""
-    s = planes.withColumns({"_lap": convolve("px", LAPLACE, width, height), "_grad": gradient_energy("px", width, height), "_log": laplacian_of_gaussian("px", width, height)})
-    lap = F.col("_lap")
-    return s.withColumns(
-        {
-            "vol": _mean(F.transform(lap, lambda x: x * x)) - _mean(lap) * _mean(lap), "tenengrad": _mean(F.col("_grad")), "pvol": percentile(F.transform(lap, F.abs), 0.75),
-            "ptenengrad": percentile(F.col("_grad"), 0.75), "log": _mean(F.transform("_log", F.abs)),
-        }
-    ).drop("px", "_lap", "_grad", "_log")
+    return _map_pixels(planes, width, height, lambda stack: {k: pa.array(v) for k, v in stack_scores(stack).items()}, dict.fromkeys(METRICS, "double"))
 
 
 def rank_planes(scores: DataFrame, metric: str, by: list[str], z: str = "z") -> DataFrame:
@@ -171,29 +165,108 @@ def max_projection(planes: DataFrame, by: list[str]) -> DataFrame:
 
 def focus_stack(planes: DataFrame, width: int, height: int, by: list[str], z: str = "z") -> DataFrame:
     """``by`` and px: each pixel from the plane with the strongest response there, the lowest z on ties."""
-    response = planes.withColumn("_r", F.transform(laplacian_of_gaussian("px", width, height), F.abs))
-    each = F.arrays_zip(F.col("_r").alias("r"), F.col("px").alias("v"))
-    lists = response.select(*by, z, each.alias("cells")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(z, "cells"))).alias("all"))
-    planes_only = F.transform("all", lambda x: x["cells"])
-    fold = F.aggregate(F.slice(planes_only, 2, F.size(planes_only)), F.get(planes_only, F.lit(0)), lambda acc, p: F.zip_with(acc, p, lambda a, b: F.when(b["r"] > a["r"], b).otherwise(a)))
-    return lists.select(*by, F.transform(fold, lambda c: c["v"]).alias("px"))
 
+    def one(table: pa.Table) -> pa.Table:
+        stack = _pixels(table.sort_by(z).column("px"), width, height)
+        best = np.abs(valid_log(_mirrored(stack, 4), 5)).argmax(0)  # the first plane on ties
+        px = np.take_along_axis(stack, best[None], 0)[0].ravel()
+        return pa.table({k: table.column(k).slice(0, 1) for k in by} | {"px": pa.array([px.tolist()], pa.list_(pa.int32()))})
 
-# numpy kernels for tiles of production size
+    return planes.select(*by, z, "px").groupBy(*by).applyInArrow(one, planes.select(*by).schema.add("px", T.ArrayType(T.IntegerType())))
 
 
-def _filter(image: np.ndarray, kernel) -> np.ndarray:
-    """The same sums as ``convolve`` on a 2-D array."""
-    reach = len(kernel) // 2
-    wide = np.pad(image.astype(np.int64), reach, mode="reflect")
-    out = np.zeros(image.shape, np.int64)
-    for r, row in enumerate(kernel):
-        for c, k in enumerate(row):
-            if k:
-                out += k * wide[r : r + image.shape[0], c : c + image.shape[1]]
+def aperture_scores(planes: DataFrame, width: int, height: int, gradients: tuple[int, ...], logs: tuple[int, ...]) -> DataFrame:
+    """All columns but px, and t<k> (mean squared gradient) and l<k> (mean absolute response) for the apertures asked for."""
+
+    def scores(stack: np.ndarray) -> dict[str, pa.Array]:
+        sharp = {f"t{k}": valid_gradient(_mirrored(stack, max(1, k // 2)), k) for k in gradients}
+        return {n: pa.array(v.mean((1, 2))) for n, v in (sharp | {f"l{k}": np.abs(valid_log(_mirrored(stack, k - 1), k)) for k in logs}).items()}
+
+    return _map_pixels(planes, width, height, scores, dict.fromkeys([*[f"t{k}" for k in gradients], *[f"l{k}" for k in logs]], "double"))
+
+
+# numpy kernels, over stacks (n, height, width) of whole numbers; ``valid`` ones give what the margins leave
+
+
+def _weigh(stack: np.ndarray, weights, axis: int) -> np.ndarray:
+    """Weighed sums of neighbours along an axis; as many places fewer as there are weights, less one."""
+    n = stack.shape[axis] - len(weights) + 1
+    out = None
+    for i, w in enumerate(weights):
+        if w:
+            part = np.take(stack, range(i, i + n), axis) * w if axis else stack[i : i + n] * w
+            out = part if out is None else out + part
     return out
 
 
+def _both(stack: np.ndarray, column, row) -> np.ndarray:
+    return _weigh(_weigh(stack, column, 1), row, 2)
+
+
+def mirror(at: np.ndarray, n: int) -> np.ndarray:
+    """Places on a line of n, mirrored at both ends without repeating the edge; a single place is repeated."""
+    return (n - 1) - np.abs((n - 1) - at % max(1, 2 * n - 2))
+
+
+def _mirrored(stack: np.ndarray, reach: int) -> np.ndarray:
+    index = lambda n: mirror(np.arange(-reach, n + reach), n)
+    return stack[:, index(stack.shape[1])[:, None], index(stack.shape[2])]
+
+
+def valid_laplace(stack: np.ndarray) -> np.ndarray:
+    """Unsmoothed Laplacian; a margin of 1."""
+    return stack[:, :-2, 1:-1] + stack[:, 2:, 1:-1] + stack[:, 1:-1, :-2] + stack[:, 1:-1, 2:] - 4 * stack[:, 1:-1, 1:-1]
+
+
+def valid_gradient(stack: np.ndarray, k: int) -> np.ndarray:
+    """Squared Sobel gradient of aperture k; a margin of half of it, 1 for the aperture 1."""
+    smooth, slope = ((0, 1, 0), (-1, 0, 1)) if k == 1 else (_binomial(k - 1), _spread(_binomial(k - 2), (-1, 1)))
+    return _both(stack, smooth, slope) ** 2 + _both(stack, slope, smooth) ** 2
+
+
+def valid_log(stack: np.ndarray, k: int) -> np.ndarray:
+    """A blur to whole numbers, then the Laplacian, both of aperture k (3, 5 or 7); a margin of k - 1."""
+    whole = sum(GAUSS[k]) ** 2
+    blurred = (_both(stack, GAUSS[k], GAUSS[k]) + whole // 2) // whole
+    smooth, second = _binomial(k - 1), _spread(_binomial(k - 3), (1, -2, 1))
+    return _both(blurred, smooth, second) + _both(blurred, second, smooth)
+
+
+METRICS = ("vol", "tenengrad", "pvol", "ptenengrad", "log")
+
+
+def stack_scores(stack: np.ndarray) -> dict[str, np.ndarray]:
+    """The five scores of each plane of a stack."""
+    lap, grad, log = valid_laplace(_mirrored(stack, 1)), valid_gradient(_mirrored(stack, 1), 3), np.abs(valid_log(_mirrored(stack, 4), 5))
+    flat = lambda x: x.reshape(len(x), -1)
+    mean = flat(lap).mean(1)
+    return {"vol": (flat(lap) ** 2).mean(1) - mean * mean, "tenengrad": flat(grad).mean(1), "pvol": np.percentile(np.abs(flat(lap)), 75, axis=1), "ptenengrad": np.percentile(flat(grad), 75, axis=1), "log": flat(log).mean(1)}
+
+
+def _pixels(column: pa.Array, width: int, height: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, height, width)
+
+
+def _map_pixels(planes: DataFrame, width: int, height: int, scores: Callable[[np.ndarray], dict[str, pa.Array]], made: dict[str, str]) -> DataFrame:
+    """All columns but px, and what ``scores`` makes of each batch's stack; planes are rows, nothing is shuffled."""
+    kept = [c for c in planes.columns if c != "px"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in kept} | scores(_pixels(batch.column("px"), width, height)))
+
+    schema = planes.select(*kept).schema
+    for name in made:
+        schema = schema.add(name, T.DoubleType())
+    return planes.select(*kept, "px").mapInArrow(run, schema)
+
+
+# numpy kernels for tiles of production size
+
+
 def to_gray(image: np.ndarray) -> np.ndarray:
     """Brightness of an (h, w, 3) image with weights .299, .587, .114; (h, w) and (h, w, 1) pass."""
     if image.ndim == 2 or image.shape[2] == 1:
@@ -202,13 +275,11 @@ def to_gray(image: np.ndarray) -> np.ndarray:
 
 
 def numpy_log(gray: np.ndarray, k: int = 5) -> np.ndarray:
-    whole = sum(GAUSS[k]) ** 2
-    return _filter((_filter(gray, blur(k)) + whole // 2) // whole, laplace(k))
+    return valid_log(_mirrored(gray.astype(np.int64)[None], k - 1), k)[0]
 
 
 def numpy_scores(gray: np.ndarray) -> dict[str, float]:
-    lap, grad = _filter(gray, LAPLACE), _filter(gray, SOBEL_X) ** 2 + _filter(gray, SOBEL_Y) ** 2
-    return {"vol": float(lap.var()), "tenengrad": float(grad.mean()), "pvol": float(np.percentile(np.abs(lap), 75)), "ptenengrad": float(np.percentile(grad, 75)), "log": float(np.abs(numpy_log(gray)).mean())}
+    return {k: float(v[0]) for k, v in stack_scores(gray.astype(np.int64)[None]).items()}
 
 
 def _image(row: dict) -> np.ndarray:

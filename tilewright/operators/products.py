@@ -21,8 +21,8 @@ def stack_planes(planes: DataFrame, width: int, height: int, by: list[str]) -> D
 
 def sharpest_plane(planes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
     """The plane of the highest mean response, whole; the higher z on ties."""
-    scored = planes.withColumn("_log", focus.mean_log("px", width, height))
-    return scored.groupBy(*by).agg(F.max_by("px", F.struct("_log", "z")).alias("px"))
+    scored = focus.score_planes(planes.withColumn("_px", F.col("px")), width, height)
+    return scored.groupBy(*by).agg(F.max_by("_px", F.struct("log", "z")).alias("px"))
 
 
 def project_planes(planes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:

@@ -255,14 +255,12 @@ def _aperture_sql() -> str:
     whole = {k: sum(focus.GAUSS[k]) ** 2 for k in (3, 7)}
     blurred = ", ".join(f"[({_sql_taps(focus.blur(k), 'px')} + {whole[k] // 2}) // {whole[k]} FOR i IN range(64)] AS b{k}" for k in (3, 7))
     logs = ", ".join(f"round(list_sum([abs({_sql_taps(focus.laplace(k), f'b{k}')}) FOR i IN range(64)]) / 64.0::DOUBLE, 6) AS l{k}" for k in (3, 7))
-    return f"WITH {PLANES}, few AS (SELECT * FROM planes WHERE tile % 4 = 0), b AS (SELECT *, {blurred} FROM few) SELECT tile, z, {parts}, {logs} FROM b"
+    return f"WITH {PLANES}, b AS (SELECT *, {blurred} FROM planes) SELECT tile, z, {parts}, {logs} FROM b"
 
 
 @query(_aperture_sql())
 def kernel_apertures(spark, d):
-    p = views.planes(spark, d).where("tile % 4 = 0")
-    sharp = [F.round(focus.tenengrad("px", 8, 8, k), 6).alias(f"t{k}") for k in (1, 5, 7)]
-    return p.select("tile", "z", *sharp, *[F.round(focus.mean_log("px", 8, 8, k), 6).alias(f"l{k}") for k in (3, 7)])
+    return focus.aperture_scores(views.planes(spark, d), 8, 8, (1, 5, 7), (3, 7)).withColumns(_r6("t1", "t5", "t7", "l3", "l7"))
 
 
 @query(f"WITH {SCORES}, b AS (SELECT tile, z FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY log DESC, z DESC) AS n FROM scores) WHERE n = 1) SELECT b.tile, unnest(range(64))::INT AS i, unnest(px) AS v FROM b JOIN planes p ON p.tile = b.tile AND p.z = b.z")

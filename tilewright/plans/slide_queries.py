@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators import regions
+from tilewright.operators import blocks, focus, regions
 from tilewright.plans import views
 from tilewright.plans.file_queries import _folder
-from tilewright.plans.queries import PLANES, query
+from tilewright.plans.queries import PLANES, _r6, query
 from tilewright.plans.storage import table
 from tilewright.sources import slides
 
@@ -112,3 +112,51 @@ def region_stacks(spark, d):
     stacks = regions.read_stacks(spark, path, _asked(spark, d))
     each = stacks.select("id", "height", "width", F.posexplode(F.arrays_zip("zs", "planes")).alias("nth", "p")).select("id", "height", "width", "nth", F.col("p.zs").alias("z_nm"), F.col("p.planes").alias("data"))
     return _marks(each, ("id", "height", "width", "nth", "z_nm"))
+
+
+def _mirror_taps(kernel, name: str, side: int) -> str:
+    """A kernel's sum around place i of a square, row by row, in SQL."""
+    reach, top = len(kernel) // 2, side - 1
+    at = lambda e: f"({top} - abs({top} - abs({e})))"
+    taps = [f"({k}) * {name}[({at(f'i // {side} + ({r - reach})')} * {side} + {at(f'i % {side} + ({c - reach})')} + 1)::INT]" for r, row in enumerate(kernel) for c, k in enumerate(row) if k]
+    return " + ".join(taps)
+
+
+_T = lambda kernel, name: f"[{_mirror_taps(kernel, name, 32)} FOR i IN range(1024)]"
+#: Pages at 10 as lists of 32 x 32, black where there is no tile.
+GRAY = f"""{PIX}, spots AS (SELECT slide, z, i FROM (SELECT DISTINCT slide, z FROM pix), range(1024) r(i)),
+gray AS MATERIALIZED (SELECT s.slide, s.z, list(coalesce(r, 0) ORDER BY s.i) AS px FROM spots s LEFT JOIN points p ON p.slide = s.slide AND p.magnification = 10 AND p.z = s.z AND p.px_y * 32 + p.px_x = s.i GROUP BY ALL),
+blurred AS (SELECT *, [({_mirror_taps(focus.BLUR, "px", 32)} + 128) // 256 FOR i IN range(1024)] AS bl FROM gray),
+kernels AS MATERIALIZED (SELECT slide, z, px, {_T(focus.LAPLACE, "px")} AS lap, {_T(focus.SOBEL_X, "px")} AS gx, {_T(focus.SOBEL_Y, "px")} AS gy, {_T(focus.LAPLACE_5, "bl")} AS lg FROM blurred)"""
+
+
+def _made(spark, d) -> DataFrame:
+    return blocks.block_products(regions.cut_planes(_pages(spark, d).where("magnification = 10"), 12))
+
+
+@query(f"""WITH {GRAY}, v AS (SELECT slide, z, unnest(lap) AS l, unnest(gx) AS x, unnest(gy) AS y, unnest(lg) AS g FROM kernels)
+SELECT slide, 10.0::DOUBLE AS magnification, (z - 2) * 1000 AS z_nm, round(avg(l * l) - avg(l) * avg(l), 6) AS vol, round(avg(x * x + y * y), 6) AS tenengrad, round(quantile_cont(abs(l)::DOUBLE, 0.75), 6) AS pvol,
+round(quantile_cont((x * x + y * y)::DOUBLE, 0.75), 6) AS ptenengrad, round(avg(abs(g)), 6) AS log FROM v GROUP BY slide, z""")
+def block_scores(spark, d):
+    """Pages cut into blocks smaller than they are."""
+    return blocks.block_scores(_made(spark, d)).withColumns(_r6(*focus.METRICS))
+
+
+@query(f"""WITH {GRAY}, v AS (SELECT slide, z, unnest(px) AS px, unnest(lg) AS g, unnest(range(1024)) AS i FROM kernels)
+SELECT slide, (i // 32)::INT AS y, sum(s * (i % 32 + 1))::BIGINT AS stacked, sum(m * (i % 32 + 1))::BIGINT AS mip FROM (SELECT slide, i, arg_max(px, (abs(g), -z)) AS s, max(px) AS m FROM v GROUP BY slide, i) GROUP BY slide, y""")
+def block_stacks(spark, d):
+    """Sums of the rows of stacks and projections, weighed by column."""
+    both = F.concat("stacked", "mip")
+    rows = blocks.block_images(_made(spark, d), both).select("slide", "cy", "cx", "height", "width", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                images = np.frombuffer(r["data"], np.uint8).reshape(2, r["height"], r["width"]).astype(np.int64)
+                sums = (images * (r["cx"] * 12 + np.arange(r["width"]) + 1)).sum(2)
+                out += [{"slide": r["slide"], "y": r["cy"] * 12 + y, "stacked": int(s), "mip": int(m)} for y, (s, m) in enumerate(sums.T)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("slide", pa.string()), ("y", pa.int32()), ("stacked", pa.int64()), ("mip", pa.int64())]))
+
+    parts = rows.mapInArrow(run, "slide string, y int, stacked long, mip long")
+    return parts.groupBy("slide", "y").agg(F.sum("stacked").alias("stacked"), F.sum("mip").alias("mip"))
