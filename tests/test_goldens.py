@@ -1,5 +1,7 @@
 """Small hand-made cases with known results."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,18 +153,36 @@ def test_xml_round_trip(spark, tmp_path):
     views = {v["_id"]: v for v in readers.annotation_views(spark, f"{tmp_path}/r").collect()}
     assert writers.next_id(readers.annotation_views(spark, f"{tmp_path}/r")) == 5
     assert views[1].annotation.radius == 2 and views[1].details == "k" and views[3].annotation.specialtype == "rectangle" and views[3].annotation.closed == 1
-    assert {(v.coordformat, v.lens, v.showtitle, v.annotation.measuretype) for v in views.values()} == {("nanometers", 1.0, 0, 0)}
+    assert {(v.coordformat, v.lens, v.showtitle, v.annotation._type, v.annotation._displayname, v.annotation.measuretype) for v in views.values()} == {("nanometers", "1.000000", 0, "circle", "AnnotateCircle", 0), ("nanometers", "1.000000", 0, "freehand", "AnnotateRectangle", 2)}
     writers.annotation_xml(boxes.limit(0), f"{tmp_path}/e", True)
 
 
+def test_xml_rounds_corners_as_sums(spark, tmp_path):
+    boxes = spark.createDataFrame([(0.4, 0.4, 0.4, 0.4, "a", "k", 1), (11.0, 3.0, 6.0, 9.0, "b", "k", 1), (0.5, 1.5, 2.0, 1.0, "c", "k", 2)], "x double, y double, w double, h double, label string, details string, slide int")
+    for circles in (False, True):
+        writers.annotation_xml(boxes, f"{tmp_path}/{circles}", circles, lens=40.0, by="slide")
+        views = {v.title: v for v in readers.annotation_views(spark, f"{tmp_path}/{circles}").collect()}
+        assert [(views[t]["_id"], views[t].slide, views[t].x, views[t].y, views[t].lens) for t in "abc"] == [(1, 1, 0, 0, "40.000000"), (2, 1, 14, 8, "40.000000"), (1, 2, 1, 2, "40.000000")]
+        if circles:
+            assert [(views[t].annotation.x, views[t].annotation.y, views[t].annotation.radius) for t in "abc"] == [(0, 0, 1), (14, 8, 3), (1, 2, 1)]
+        else:
+            assert [tuple(p) for p in views["a"].annotation.pointlist.point] == [(0, 0), (0, 1), (1, 1), (1, 0)] and tuple(views["c"].annotation.pointlist.point[2]) == (2, 2)
+        assert {(r.slide, r.label) for r in readers.annotation_xml(spark, f"{tmp_path}/{circles}").collect()} == {("1", "a"), ("1", "b"), ("2", "c")}
+
+
 def test_dataset_document_and_labels(spark, tmp_path):
     images = writers.coco_images(spark.createDataFrame([("b", 100, 200), ("a", 100, 200)], "file_name string, width int, height int"))
     boxes = spark.createDataFrame([("a", 0, 10.0, 20.0, 30.0, 40.0, 3)], "file_name string, ann_idx int, x double, y double, w double, h double, label int")
     anns = writers.coco_annotations(images, writers.select_boxes(boxes, False))
     assert {r.file_name: r.text for r in writers.label_lines(images, anns).collect()} == {"a": "0 0.250000 0.200000 0.300000 0.200000", "b": ""}
     writers.coco_document(images, anns, spark.createDataFrame([(2, "x", "")], "id long, name string, supercategory string"), f"{tmp_path}/d")
-    i, a, c = readers.coco(spark, f"{tmp_path}/d")
-    assert (i.count(), a.count(), c.count()) == (2, 1, 1)
+    writers.join_document(spark, f"{tmp_path}/d", f"{tmp_path}/whole.json")
+    assert [r["file_name"] for r in json.loads((tmp_path / "whole.json").read_text())["images"]] == ["a", "b"]
+    for i, a, c in (readers.coco(spark, f"{tmp_path}/whole.json"), readers.coco_lines(spark, f"{tmp_path}/d"), readers.coco_lines(spark, f"{tmp_path}/whole.json")):
+        assert (i.count(), a.count(), c.count()) == (2, 1, 1) and a.first().bbox == [10.0, 20.0, 30.0, 40.0] and c.first().name == "x"
+    writers.coco_document(images.limit(0), anns.limit(0), spark.createDataFrame([(2, "x", "")], "id long, name string, supercategory string"), f"{tmp_path}/none")
+    writers.join_document(spark, f"{tmp_path}/none", f"{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text())["images"] == []
     assert {r.file_name: len(r.boxes) for r in readers.coco_ground_truth(i, a).collect()} == {"a": 1, "b": 0}
 
 

@@ -88,10 +88,22 @@ def circle_to_box(cx, cy, radius) -> list[Column]:
     return [col(cx) - col(radius), col(cy) - col(radius), col(radius) * 2, col(radius) * 2]
 
 
+def rounded_corners(x, y, w, h) -> list[Column]:
+    """Both corners of a box in whole numbers, half to even; the far one is rounded as a sum."""
+    return [F.bround(c).cast("long") for c in (col(x), col(y), col(x) + col(w), col(y) + col(h))]
+
+
+def rounded_centre(x, y, w, h) -> list[Column]:
+    """The middle of the rounded corners, half to even."""
+    x1, y1, x2, y2 = rounded_corners(x, y, w, h)
+    return [F.bround((x1 + x2) / 2).cast("long"), F.bround((y1 + y2) / 2).cast("long")]
+
+
 def box_to_circle(x, y, w, h) -> list[Column]:
-    """Centre and radius of the circle written for a box; the radius comes from the short side and is at least 1."""
+    """Centre (of the rounded corners) and radius of the circle written for a box; the radius comes from the short side
+    and is at least 1."""
     radius = F.greatest(F.lit(1), F.bround(F.least(F.abs(col(w)), F.abs(col(h))) / 2))
-    return [F.bround(col(x) + col(w) / 2).cast("long"), F.bround(col(y) + col(h) / 2).cast("long"), radius.cast("long")]
+    return [*rounded_centre(x, y, w, h), radius.cast("long")]
 
 
 def to_normalised(x, y, w, h, width, height) -> list[Column]:

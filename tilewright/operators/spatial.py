@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.geometry import intersects, iou_eps
+from tilewright.functions.geometry import intersects, iou_eps, iou_plain
 from tilewright.operators.components import connected_components
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -30,6 +30,14 @@ def spatial_join(left: DataFrame, right: DataFrame, by: list[str], cell: float,
     return (pairs if extra is None else pairs.where(extra)).select("a", "b")
 
 
+def iou_matrix(left: DataFrame, right: DataFrame, by: list[str], key: str, cell: float = 64.0) -> DataFrame:
+    """``by``, a and b (the keys), plain and eps (the overlap without and with a small addend): the entries of the matrix of
+    all pairs with equal ``by`` that are not 0, which only boxes that intersect have. No pair that lies apart is formed."""
+    pairs = spatial_join(left.select(*by, key, *BOX), right.select(*by, key, *BOX), by, cell)
+    a, b = ([F.col(f"{t}.{c}") for c in BOX] for t in "ab")
+    return pairs.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), iou_plain(a, b).alias("plain"), iou_eps(a, b).alias("eps"))
+
+
 def dedup_edges(detections: DataFrame, iou: float, slide: str = "slide", tile: str = "tile", key: str = "det_id", cell: float = 64.0) -> DataFrame:
     """Pairs (a, b) of detections in different tiles of a slide that overlap by more than ``iou``."""
     extra = (F.col(f"a.{tile}") != F.col(f"b.{tile}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
-from tilewright.operators import catalogue, focus, labels, products, scan_order, stats
+from tilewright.operators import catalogue, focus, labels, products, scan_order, spatial, stats
 from tilewright.plans import export, views
 from tilewright.plans.queries import METRICS, MEET, OBJECTS, PLANES, SCORES, _r6, _scores, _sql_taps, query
 from tilewright.plans.storage import table
@@ -235,13 +235,12 @@ def box_forms(spark, d):
 _INTER = "(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"
 
 
-@query(f"WITH {OBJECTS}, few AS (SELECT * FROM objects WHERE slide = 0 AND o_orderkey % 5 < 2) SELECT a.o_orderkey AS a, b.o_orderkey AS b, round({_INTER} / (a.w * a.h + b.w * b.h - {_INTER})::DOUBLE, 6) AS plain, round({_INTER} / (a.w * a.h + b.w * b.h - {_INTER} + 1e-7::DOUBLE), 6) AS eps FROM few a, few b WHERE a.o_orderkey % 5 = 0 AND b.o_orderkey % 5 = 1")
+@query(f"WITH {OBJECTS}, p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, {_INTER} AS i, (a.w * a.h + b.w * b.h)::DOUBLE AS s FROM objects a JOIN objects b ON a.slide = b.slide AND a.o_orderkey <> b.o_orderkey) SELECT a, b, round(i / (s - i), 6) AS plain, round(i / (s - i + 1e-7::DOUBLE), 6) AS eps FROM p WHERE i > 0")
 def iou_matrix(spark, d):
-    """Every pair of two short lists of boxes of one slide."""
-    o = views.objects(spark, d).where("slide = 0").select("o_orderkey", "slide", "x1", "y1", "x2", "y2")
-    a, b = o.where("o_orderkey % 5 = 0").alias("a"), o.where("o_orderkey % 5 = 1").alias("b")
-    ca, cb = ([F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")] for t in "ab")
-    return a.join(b, F.col("a.slide") == F.col("b.slide")).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"), F.round(G.iou_plain(ca, cb), 6).alias("plain"), F.round(G.iou_eps(ca, cb), 6).alias("eps"))
+    """All boxes of a slide against all; pairs that are not there are apart."""
+    o = views.objects(spark, d).select("slide", "o_orderkey", "x1", "y1", "x2", "y2")
+    m = spatial.iou_matrix(o, o, ["slide"], "o_orderkey").where("a <> b")
+    return m.select("a", "b", F.round("plain", 6).alias("plain"), F.round("eps", 6).alias("eps"))
 
 
 @query(f"""WITH {STORE} SELECT tile, z, printf('%s_%s_z%02d.png', stem, "group", z::INT) AS name, CASE lower(stem) WHEN 's0' THEN 4 WHEN 's1' THEN 7 ELSE -1 END AS label FROM store""")

@@ -22,48 +22,69 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tilewright-files-{uuid.uuid4().hex}"
 
 
-def _boxes(spark, d, slide: int) -> DataFrame:
-    o = views.objects(spark, d).where(F.col("slide") == slide)
-    return o.select("x", "y", "w", "h", F.concat("label", F.lit("/"), "o_orderkey").alias("label"), writers.details_text(F.lit("m"), F.col("w") / 100.0).alias("details"))
+def _boxes(spark, d) -> DataFrame:
+    """Boxes with quarters, so that corners and centres are halves now and then."""
+    o = views.objects(spark, d).selectExpr("slide", "o_orderkey", "x + (o_orderkey % 4) / 4D as x", "y + (o_orderkey % 3) / 4D as y", "w + (o_orderkey % 5) / 4D as w", "h + (o_orderkey % 7) / 4D as h", "label")
+    return o.select("slide", "o_orderkey", "x", "y", "w", "h", F.concat("label", F.lit("/"), "o_orderkey").alias("label"), writers.details_text(F.lit("m"), F.col("w") / 100.0).alias("details"))
 
 
-_ROUND = "round_even({0}::DOUBLE, 0)::BIGINT"
-CIRCLES = f"""circles AS (SELECT row_number() OVER (ORDER BY x, y, w, h, label || '/' || o_orderkey) AS ann_id, label || '/' || o_orderkey AS label, {_ROUND.format("(x + w / 2)")} AS cx, {_ROUND.format("(y + h / 2)")} AS cy,
-  greatest(1, {_ROUND.format("(least(w, h) / 2)")}) AS r, w FROM objects WHERE slide = 0)"""
+def _bytes(px: str):
+    """Whole numbers of 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
 
 
-@query(f"WITH {OBJECTS}, {CIRCLES} SELECT ann_id, 'annotation' AS kind, label, cx - r AS x, cy - r AS y, 2 * r AS w, 2 * r AS h, round(w / 100.0::DOUBLE, 6) AS confidence FROM circles")
+_ROUND = "round_even({0}, 0)::BIGINT"
+MARKED = f"""boxes AS (SELECT slide, o_orderkey, x + o_orderkey % 4 / 4.0::DOUBLE AS x, y + o_orderkey % 3 / 4.0::DOUBLE AS y, w + o_orderkey % 5 / 4.0::DOUBLE AS w, h + o_orderkey % 7 / 4.0::DOUBLE AS h, label || '/' || o_orderkey AS label FROM objects),
+corners AS (SELECT *, {_ROUND.format("x")} AS x1, {_ROUND.format("y")} AS y1, {_ROUND.format("(x + w)")} AS x2, {_ROUND.format("(y + h)")} AS y2, greatest(1, {_ROUND.format("(least(w, h) / 2)")}) AS r, printf('source=m; confidence=%.6f', w / 100) AS details FROM boxes),
+marked AS (SELECT *, {_ROUND.format("((x1 + x2) / 2.0::DOUBLE)")} AS cx, {_ROUND.format("((y1 + y2) / 2.0::DOUBLE)")} AS cy FROM corners)"""
+
+
+@query(f"WITH {OBJECTS}, {MARKED} SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY x, y, w, h, label) AS ann_id, 'annotation' AS kind, label, cx - r AS x, cy - r AS y, 2 * r AS w, 2 * r AS h, round(w / 100, 6) AS confidence FROM marked")
 def annotation_circles(spark, d):
+    """A document for each slide."""
     path = _folder(spark)
-    writers.annotation_xml(_boxes(spark, d, 0), path, circles=True)
+    writers.annotation_xml(_boxes(spark, d), path, circles=True, by="slide")
     read = readers.annotation_xml(spark, path)
-    return read.select("ann_id", "kind", "label", "x", "y", "w", "h", labels.parse_confidence("details").alias("confidence"))
+    return read.select(F.col("slide").cast("long").alias("slide"), "ann_id", "kind", "label", "x", "y", "w", "h", labels.parse_confidence("details").alias("confidence"))
 
 
-@query(f"""WITH {OBJECTS}, {CIRCLES}, more AS (SELECT row_number() OVER (ORDER BY x, y, w, h, label || '/' || o_orderkey) + (SELECT count(*) FROM circles) AS ann_id, x, w FROM objects WHERE slide = 1)
-SELECT ann_id, 'annotation' AS kind, cx - r AS x, 2 * r AS w FROM circles UNION ALL SELECT ann_id, 'roi', x, w FROM more""")
-def annotation_append(spark, d):
-    first, second = _folder(spark), _folder(spark)
-    writers.annotation_xml(_boxes(spark, d, 0), first, circles=True)
-    writers.annotation_xml(_boxes(spark, d, 1), second, circles=False, existing=readers.annotation_views(spark, first))
-    return readers.annotation_xml(spark, second).select("ann_id", "kind", "x", "w")
+_FIRST = "marked WHERE o_orderkey % 3 > 0"
 
 
-@query(f"WITH {OBJECTS} SELECT 's' || slide AS file_name, count(*) AS n, round(sum(x + w), 6) AS far, sum(o_orderkey % 3)::BIGINT AS classes FROM objects WHERE slide < 5 GROUP BY slide")
+@query(f"""WITH {OBJECTS}, {MARKED}, n AS (SELECT slide, count(*) AS n FROM {_FIRST} GROUP BY slide),
+views AS (SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY x, y, w, h, label) AS id, true AS circle, * EXCLUDE (slide) FROM {_FIRST}
+  UNION ALL SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY x, y, w, h, label) + n, false, m.* EXCLUDE (slide) FROM marked m JOIN n USING (slide) WHERE o_orderkey % 3 = 0)
+SELECT slide, id, label AS title, details, 'nanometers' AS coordformat, '20.000000' AS lens, cx AS x, cy AS y, 0::BIGINT AS z, 0 AS shown, CASE WHEN circle THEN '#ff0000' ELSE '#000000' END AS colour, CASE WHEN circle THEN 'AnnotateCircle' ELSE 'AnnotateRectangle' END AS displayname,
+CASE WHEN circle THEN 'circle' ELSE 'freehand' END AS type, CASE WHEN circle THEN 0 ELSE 2 END AS measuretype, CASE WHEN circle THEN cx END AS circle_x, CASE WHEN circle THEN cy END AS circle_y, CASE WHEN circle THEN r END AS radius, CASE WHEN NOT circle THEN 1 END AS closed,
+CASE WHEN NOT circle THEN 'rectangle' END AS specialtype, CASE WHEN NOT circle THEN concat_ws(' ', x1, y1, x1, y2, x2, y2, x2, y1) END AS points FROM views""")
+def annotation_append(spark, d):
+    """Circles, and rectangles appended to them; all fields of the documents are compared."""
+    first, second, boxes = _folder(spark), _folder(spark), _boxes(spark, d)
+    writers.annotation_xml(boxes.where("o_orderkey % 3 > 0"), first, circles=True, colour="#ff0000", lens=20.0, by="slide")
+    writers.annotation_xml(boxes.where("o_orderkey % 3 = 0"), second, circles=False, existing=readers.annotation_views(spark, first), lens=20.0, by="slide")
+    a = F.col("annotation")
+    points = F.array_join(F.transform(a["pointlist"]["point"], lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return readers.annotation_views(spark, second).select(
+        F.col("slide").cast("long").alias("slide"), F.col("_id").alias("id"), "title", "details", "coordformat", "lens", "x", "y", "z", (F.col("showtitle") + F.col("showhistogram") + F.col("showlineprofile")).alias("shown"), a["_color"].alias("colour"), a["_displayname"].alias("displayname"),
+        a["_type"].alias("type"), a["measuretype"].alias("measuretype"), a["x"].alias("circle_x"), a["y"].alias("circle_y"), a["radius"].alias("radius"), a["closed"].alias("closed"), a["specialtype"].alias("specialtype"), points.alias("points"),
+    )
+
+
+@query(f"WITH {OBJECTS} SELECT 's' || slide AS file_name, count(*) AS n, round(sum(x + w), 6) AS far, sum(o_orderkey % 3)::BIGINT AS classes FROM objects GROUP BY slide")
 def dataset_document(spark, d):
-    o = views.objects(spark, d).where("slide < 5").withColumn("file_name", F.concat(F.lit("s"), "slide"))
+    o = views.objects(spark, d).withColumn("file_name", F.concat(F.lit("s"), "slide"))
     images = writers.coco_images(o.selectExpr("file_name", "2100 as width", "2100 as height"))
     boxes = writers.coco_annotations(images, writers.select_boxes(o.selectExpr("file_name", "o_orderkey as ann_idx", "cast(o_orderkey % 3 + 1 as int) as label", "x", "y", "w", "h"), False))
     path = _folder(spark)
     writers.coco_document(images, boxes, spark.sql("SELECT explode(sequence(0L, 2L)) AS id").selectExpr("id", "concat('c', id) as name", "'' as supercategory"), path)
-    back_images, back_boxes, _ = readers.coco(spark, path)
+    back_images, back_boxes, _ = readers.coco_lines(spark, path)
     flat = readers.coco_ground_truth(back_images, back_boxes).select("file_name", F.explode("boxes").alias("b"))
     return flat.groupBy("file_name").agg(F.count("*").alias("n"), F.round(F.sum("b.x2"), 6).alias("far"), F.sum("b.cls").alias("classes"))
 
 
-@query(f"""WITH {OBJECTS} SELECT 'cell' AS class, round(w / 100.0::DOUBLE, 6) AS confidence, x::DOUBLE AS x_nm, y::DOUBLE AS y_nm, w::DOUBLE AS width_nm, h::DOUBLE AS height_nm, x AS x1_px, y AS y1_px, x + w AS x2_px, y + h AS y2_px FROM objects WHERE slide = 2""")
+@query(f"""WITH {OBJECTS} SELECT 'cell' AS class, round(w / 100.0::DOUBLE, 6) AS confidence, x::DOUBLE AS x_nm, y::DOUBLE AS y_nm, w::DOUBLE AS width_nm, h::DOUBLE AS height_nm, x AS x1_px, y AS y1_px, x + w AS x2_px, y + h AS y2_px FROM objects""")
 def detections_csv(spark, d):
-    o = views.objects(spark, d).where("slide = 2").selectExpr("w / 100D as score", "cast(x as double) as x_nm", "cast(y as double) as y_nm", "cast(w as double) as width_nm", "cast(h as double) as height_nm", "x1 as x1_px", "y1 as y1_px", "x2 as x2_px", "y2 as y2_px")
+    o = views.objects(spark, d).selectExpr("w / 100D as score", "cast(x as double) as x_nm", "cast(y as double) as y_nm", "cast(w as double) as width_nm", "cast(h as double) as height_nm", "x1 as x1_px", "y1 as y1_px", "x2 as x2_px", "y2 as y2_px")
     path = _folder(spark)
     writers.detections_csv(o, path, "cell")
     return spark.read.csv(path, header=True, schema="class string, confidence double, x_nm double, y_nm double, width_nm double, height_nm double, x1_px long, y1_px long, x2_px long, y2_px long").withColumns(_r6("confidence"))
@@ -140,32 +161,32 @@ def image_listing(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@query(f"""WITH {OBJECTS} SELECT slide, count(DISTINCT x * 10000 + y) AS n FROM objects WHERE slide < 6 GROUP BY slide""")
+@query(f"""WITH {OBJECTS} SELECT slide, count(DISTINCT x * 10000 + y) AS n FROM objects GROUP BY slide""")
 def tile_store_rewrite(spark, d):
-    """Two slides are written again, the others stay; positions that repeat are stored once."""
-    path, o = _folder(spark), views.objects(spark, d).where("slide < 6").selectExpr("slide", "x", "y", "w")
-    writers.tile_store(o.where("slide < 4").unionAll(o.where("slide < 4")), path)
-    writers.tile_store(o.where("slide >= 2"), path)
+    """A third of the slides are written again, another is new; positions that repeat are stored once."""
+    path, o = _folder(spark), views.objects(spark, d).selectExpr("slide", "x", "y", "w")
+    old = o.where("slide % 3 < 2")
+    writers.tile_store(old.unionAll(old), path)
+    writers.tile_store(o.where("slide % 3 > 0"), path)
     return spark.read.parquet(path).groupBy("slide").agg(F.count("*").alias("n")).select(F.col("slide").cast("long").alias("slide"), "n")
 
 
-@query(f"""WITH {PLANES}, few AS (SELECT tile, px FROM planes WHERE z = 0), b AS (SELECT tile, px, unnest(range(4)) AS k FROM few),
-m AS (SELECT tile, k, list_sum([px[(k // 2 * 4 + i // 4) * 8 + (k % 2) * 4 + i % 4 + 1] FOR i IN range(16)]) / 16.0::DOUBLE AS mean FROM b)
-SELECT tile, (k % 2 * 4)::DOUBLE AS x1, (k // 2 * 4)::DOUBLE AS y1, (k % 2 * 4 + 4)::DOUBLE AS x2, (k // 2 * 4 + 4)::DOUBLE AS y2, round(mean / 255, 6) AS score FROM m WHERE mean >= 130""")
+@query(f"""WITH {PLANES}, b AS (SELECT tile, z, px, unnest(range(4)) AS k FROM planes),
+m AS (SELECT tile, z, k, list_sum([px[(k // 2 * 4 + i // 4) * 8 + (k % 2) * 4 + i % 4 + 1] FOR i IN range(16)]) / 16.0::DOUBLE AS mean FROM b)
+SELECT tile, z, (k % 2 * 4)::DOUBLE AS x1, (k // 2 * 4)::DOUBLE AS y1, (k % 2 * 4 + 4)::DOUBLE AS x2, (k // 2 * 4 + 4)::DOUBLE AS y2, round(mean / 255, 6) AS score FROM m WHERE mean >= 130""")
 def detector_boxes(spark, d):
-    p = views.planes(spark, d).where("z = 0")
-    data = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    tiles = p.select("tile", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
-    found = detectors.detect(tiles, "bright_blocks", ["tile"], threshold=0.0, size=4, level=130.0)
-    return found.select("tile", "x1", "y1", "x2", "y2", F.round("score", 6).alias("score"))
+    p = views.planes(spark, d)
+    tiles = p.select("tile", "z", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), _bytes("px").alias("data"))
+    found = detectors.detect(tiles, "bright_blocks", ["tile", "z"], threshold=0.0, size=4, level=130.0)
+    return found.select("tile", "z", "x1", "y1", "x2", "y2", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {PLANES} SELECT printf('%05d', row_number() OVER (ORDER BY tile)) AS name, 3 AS height, 2 AS width, (px[10] + px[11] + px[18] + px[19] + px[26] + px[27])::BIGINT AS total FROM planes WHERE z = 0")
+@query(f"WITH {PLANES} SELECT printf('%05d', row_number() OVER (ORDER BY tile * 5 + z)) AS name, 3 AS height, 2 AS width, (px[10] + px[11] + px[18] + px[19] + px[26] + px[27])::BIGINT AS total FROM planes")
 def detection_crops(spark, d):
-    p = views.planes(spark, d).where("z = 0")
-    data = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    tiles = p.select(F.lit(0).alias("slide"), "tile", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
-    boxes = p.selectExpr("0 as slide", "tile", "tile as det_id", "1.5D as x1", "1.2D as y1", "2.5D as x2", "3.1D as y2")
+    """The planes are the tiles of a slide for each z."""
+    p = views.planes(spark, d)
+    tiles = p.select(F.col("z").alias("slide"), "tile", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), _bytes("px").alias("data"))
+    boxes = p.selectExpr("z as slide", "tile", "tile * 5 + z as det_id", "1.5D as x1", "1.2D as y1", "2.5D as x2", "3.1D as y2")
     cut = writers.crops(boxes, tiles)
     byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("long")
     return cut.select("name", "height", "width", sum((byte(i) for i in range(6)), F.lit(0)).alias("total"))

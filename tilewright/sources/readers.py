@@ -15,7 +15,7 @@ ANNOTATION_SCHEMA = (
 
 
 VIEW_SCHEMA = (
-    "_id bigint, title string, details string, coordformat string, lens double, x bigint, y bigint, z bigint, showtitle int, showhistogram int, showlineprofile int, "
+    "_id bigint, title string, details string, coordformat string, lens string, x bigint, y bigint, z bigint, showtitle int, showhistogram int, showlineprofile int, "
     f"annotation struct<_color: string, _displayname: string, _type: string, measuretype: int, x: bigint, y: bigint, radius: bigint, closed: int, specialtype: string, pointlist: struct<point: {_POINT}>>"
 )
 
@@ -26,7 +26,7 @@ def annotation_views(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotation_xml(spark: SparkSession, path: str) -> DataFrame:
-    """slide (the file's stem), kind (annotation or roi), ann_id, label, details and the box x, y, w, h in nm.
+    """slide (the file's stem, or the value in its folder's name ``slide=``), kind (annotation or roi), ann_id, label, details and the box x, y, w, h in nm.
 
     Circles are annotations; freehand shapes are regions with the bounds of their points; views without an annotation
     are left out; a missing id is 0."""
@@ -39,20 +39,32 @@ def annotation_xml(spark: SparkSession, path: str) -> DataFrame:
     kind = F.when(a["_type"] == "circle", "annotation").when(a["_type"] == "freehand", "roi")
     box = [F.when(kind == "annotation", c).otherwise(f).alias(n) for c, f, n in zip(circle, free, "xywh", strict=True)]
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(\.ndpi)?\.ndpa$|\.xml$", "")
+    folder = F.regexp_extract("file", r"/slide=([^/]*)/[^/]*$", 1)
+    stem = F.when(folder != "", folder).otherwise(stem)
     return rows.select(stem.alias("slide"), kind.alias("kind"), F.coalesce("_id", F.lit(0)).alias("ann_id"), F.col("title").alias("label"), "details", *box).where("kind is not null")
 
 
+_IMAGE = "struct<id: bigint, file_name: string, width: int, height: int>"
+_BOX = "struct<id: bigint, image_id: bigint, category_id: bigint, bbox: array<double>, area: double, iscrowd: int>"
+_CATEGORY = "struct<id: bigint, name: string, supercategory: string>"
+
+
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images, annotations and categories of a dataset document."""
-    box = "array<double>"
-    schema = (
-        "images array<struct<id: bigint, file_name: string, width: int, height: int>>, annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, "
-        f"bbox: {box}, area: double, iscrowd: int>>, categories array<struct<id: bigint, name: string, supercategory: string>>"
-    )
+    schema = f"images array<{_IMAGE}>, annotations array<{_BOX}>, categories array<{_CATEGORY}>"
     doc = spark.read.schema(schema).json(path, multiLine=True)
     return tuple(doc.select(F.inline(k)) for k in ("images", "annotations", "categories"))
 
 
+def coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations and categories of a document that has an element in each line, as ``coco_document`` writes it,
+    in one file or in parts: every line is read by itself."""
+    text = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value")).where("value like '{\"id\"%'")
+    has = lambda name: F.get_json_object("value", f"$.{name}").isNotNull()
+    kinds = ((has("file_name"), _IMAGE), (has("image_id"), _BOX), (has("name") & ~has("file_name"), _CATEGORY))
+    return tuple(text.where(which).select(F.from_json("value", kind).alias("x")).select("x.*") for which, kind in kinds)
+
+
 def coco_ground_truth(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """file_name and its boxes (corners and class); images without annotations stay, with an empty list."""
     b = F.col("bbox")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from tilewright.functions.geometry import box_to_circle, to_normalised
+from tilewright.functions.geometry import box_to_circle, rounded_corners, to_normalised
 from tilewright.operators.ordered import numbered
 
 
@@ -41,11 +41,43 @@ def coco_annotations(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """One JSON object in a file of ``path``. A dataset document is a single value; only its lists are gathered."""
+    """One JSON object, in part files of ``path`` that make the document when they are read one after another.
+
+    Each list is written as lines, dealt to ranges of ids, so neither a row nor a task holds a whole list; a line has one
+    element and the comma before it, and the brackets are lines of their own. ``readers.coco`` reads such folders, and
+    ``join_document`` makes one file of the parts."""
     packed = annotations.select("id", "image_id", "category_id", F.array("x", "y", "w", "h").cast("array<double>").alias("bbox"), "area", "iscrowd")
-    lists = [d.agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(n)) for d, n in ((images, "images"), (packed, "annotations"), (categories, "categories"))]
-    one = lists[0].crossJoin(lists[1]).crossJoin(lists[2])  # one row each
-    one.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    lines = None
+    for k, (name, rows) in enumerate((("images", images), ("annotations", packed), ("categories", categories))):
+        first = F.col("id") == rows.agg(F.min("id").alias("m")).first().m
+        element = F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct(*rows.columns)))
+        own = rows.select(F.lit(2 * k + 1).alias("part"), F.col("id").cast("long").alias("id"), element.alias("value"))
+        edge = rows.sparkSession.range(1).select(F.lit(2 * k).alias("part"), F.lit(0).cast("long").alias("id"), F.lit(("{" if k == 0 else "],") + f'"{name}":[').alias("value"))
+        lines = edge.unionByName(own) if lines is None else lines.unionByName(edge).unionByName(own)
+    end = images.sparkSession.range(1).select(F.lit(6).alias("part"), F.lit(0).cast("long").alias("id"), F.lit("]}").alias("value"))
+    lines.unionByName(end).repartitionByRange("part", "id").sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
+
+
+def join_document(spark: SparkSession, parts: str, path: str) -> None:
+    """One file from the part files of a folder, in order, under a temporary name that is changed at the end.
+
+    The driver copies streams; it holds no part."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    source, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    files, out_files = source.getFileSystem(conf), target.getFileSystem(conf)
+    held = jvm.org.apache.hadoop.fs.Path(f"{path}._tmp")
+    out = out_files.create(held, True)
+    try:
+        for name in sorted(s.getPath().toString() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")):
+            into = files.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, 1 << 16, False)
+            finally:
+                into.close()
+    finally:
+        out.close()
+    out_files.delete(target, False)
+    out_files.rename(held, target)
 
 
 def label_lines(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -66,26 +98,38 @@ def details_text(source, confidence) -> Column:
     return F.format_string("source=%s; confidence=%.6f", source, confidence)
 
 
-def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFrame | None = None, colour: str = "#000000") -> None:
+def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFrame | None = None, colour: str = "#000000", lens: float = 1.0, by: str | None = None) -> None:
     """Views for x, y, w, h (nm), label and details as rectangles or circles, numbered from 1 on or, with ``existing``
-    (a document as ``annotation_views`` reads it), from one past its highest id on; its views are written too."""
+    (a document as ``annotation_views`` reads it), from one past its highest id on; its views are written too.
+
+    With ``by`` there is a document for each of its values, in a folder named after it, with numbers of its own, and each
+    is written by one task; without, there is one document."""
     cx, cy, radius = box_to_circle("x", "y", "w", "h")
-    corner = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
-    x, y, w, h = (F.bround(F.col(c)) for c in "xywh")
-    points = F.struct(F.array(corner(x, y), corner(x, y + h), corner(x + w, y + h), corner(x + w, y)).alias("point"))
+    x1, y1, x2, y2 = rounded_corners("x", "y", "w", "h")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    points = F.struct(F.array(corner(x1, y1), corner(x1, y2), corner(x2, y2), corner(x2, y1)).alias("point"))
     none = lambda kind: F.lit(None).cast(kind)
-    common = [F.lit(colour).alias("_color"), F.lit("normal").alias("_displayname") if circles else F.lit("AnnotateRectangle").alias("_displayname"), F.lit("circle" if circles else "freehand").alias("_type"), F.lit(0).alias("measuretype")]
+    named = ("circle", "AnnotateCircle", 0) if circles else ("freehand", "AnnotateRectangle", 2)
+    common = [F.lit(colour).alias("_color"), F.lit(named[1]).alias("_displayname"), F.lit(named[0]).alias("_type"), F.lit(named[2]).alias("measuretype")]
     if circles:
         parts = [cx.alias("x"), cy.alias("y"), radius.alias("radius"), none("int").alias("closed"), none("string").alias("specialtype"), none("struct<point:array<struct<x:bigint,y:bigint>>>").alias("pointlist")]
     else:
         parts = [none("bigint").alias("x"), none("bigint").alias("y"), none("bigint").alias("radius"), F.lit(1).alias("closed"), F.lit("rectangle").alias("specialtype"), points.alias("pointlist")]
-    centre = [(F.col(c) + F.col(s) / 2).cast("long").alias(c) for c, s in (("x", "w"), ("y", "h"))]
-    first = 1 if existing is None else next_id(existing)
-    rows = numbered(boxes, [], [F.col(c) for c in ("x", "y", "w", "h", "label")], "_id", first)
-    view = [F.lit("nanometers").alias("coordformat"), F.lit(1.0).alias("lens"), *centre, F.lit(0).alias("z"), F.lit(0).alias("showtitle"), F.lit(0).alias("showhistogram"), F.lit(0).alias("showlineprofile")]
-    new = rows.select("_id", F.col("label").alias("title"), "details", *view, F.struct(*common, *parts).alias("annotation"))
+    keys = [by] if by else []
+    rows = numbered(boxes, keys, [F.col(c) for c in ("x", "y", "w", "h", "label")], "_nth", 1)
+    if existing is None:
+        rows = rows.withColumn("_id", F.col("_nth"))
+    elif by:
+        last = existing.groupBy(by).agg(F.coalesce(F.max("_id"), F.lit(0)).alias("_last"))
+        rows = rows.join(last, by, "left").withColumn("_id", F.col("_nth") + F.coalesce("_last", F.lit(0)))
+    else:
+        rows = rows.withColumn("_id", F.col("_nth") + F.lit(next_id(existing) - 1))
+    view = [F.lit("nanometers").alias("coordformat"), F.format_string("%.6f", F.lit(float(lens))).alias("lens"), cx.alias("x"), cy.alias("y"), F.lit(0).alias("z"), F.lit(0).alias("showtitle"), F.lit(0).alias("showhistogram"), F.lit(0).alias("showlineprofile")]
+    new = rows.select(*keys, "_id", F.col("label").alias("title"), "details", *view, F.struct(*common, *parts).alias("annotation"))
     every = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-    every.coalesce(1).write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate").save(path)
+    dealt = every.repartition(by).sortWithinPartitions(by, "_id") if by else every.coalesce(1)
+    writer = dealt.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate")
+    (writer.partitionBy(by) if by else writer).save(path)
 
 
 def next_id(views: DataFrame) -> int:
