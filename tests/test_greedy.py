@@ -1,0 +1,66 @@
+"""Greedy matching in rounds against the sequence itself."""
+
+import random
+
+import pytest
+
+from tilewright.operators import matching as M
+
+
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(0, w) * max(0, h)
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter) if inter else 0.0
+
+
+def in_sequence(preds, boxes, threshold):
+    """preds: (slide, id, score, box), boxes: (slide, id, box)."""
+    out, used = set(), set()
+    for slide, p, _, box in sorted(preds, key=lambda r: (-r[2], r[1])):
+        free = [(-overlap(box, b), g) for s, g, b in boxes if s == slide and (s, g) not in used and overlap(box, b) >= threshold and overlap(box, b) > 0]
+        if free:
+            g = min(free)[1]
+            used.add((slide, g))
+            out.add((slide, p, g))
+    return out
+
+
+def frames(spark, preds, boxes):
+    pred = spark.createDataFrame([(s, p, score, *map(float, b)) for s, p, score, b in preds], "slide long, pred_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    gt = spark.createDataFrame([(s, g, *map(float, b)) for s, g, b in boxes], "slide long, gt_id long, x1 double, y1 double, x2 double, y2 double")
+    return pred, gt
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5])
+def test_crowds(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    box = lambda: (lambda x, y: (x, y, x + rng.randrange(5, 30), y + rng.randrange(5, 30)))(rng.randrange(60), rng.randrange(60))
+    preds = [(i % 2, i, rng.randrange(12) / 12, box()) for i in range(90)]
+    boxes = [(i % 2, i, box()) for i in range(70)] + [(0, 900 + i, preds[0][3]) for i in range(4)]  # equal boxes tie
+    pred, gt = frames(spark, preds, boxes)
+    got = {(r.slide, r.pred_id, r.gt_id) for r in M.greedy_match(pred, gt, threshold).collect() if r.gt_id is not None}
+    assert got == in_sequence(preds, boxes, threshold)
+
+
+def test_a_long_chain(spark):
+    """Each box touches its neighbours on a line of 6,000, in an order of scores that is random."""
+    rng = random.Random(2)
+    scores = [rng.random() for _ in range(3000)]
+    preds = [(0, i, scores[i], (20 * i, 0, 20 * i + 15, 10)) for i in range(3000)]
+    boxes = [(0, i, (20 * i + 8 - 3 * (i % 2), 0, 20 * i + 26 + (i % 3), 10)) for i in range(3000)]
+    pred, gt = frames(spark, preds, boxes)
+    used, want = set(), set()
+    for i in sorted(range(3000), key=lambda i: (-scores[i], i)):
+        free = [(-overlap(preds[i][3], boxes[g][2]), g) for g in (i - 1, i) if 0 <= g and g not in used and overlap(preds[i][3], boxes[g][2]) > 0]
+        if free:
+            used.add(min(free)[1])
+            want.add((i, min(free)[1]))
+    ranked = M.numbered(pred, ["slide"], [M.F.desc("score"), M.F.col("pred_id")], "rank", first=1)
+    got = M.greedy_matches(ranked, gt, [0.01, 0.2])
+    assert {(r.pred_id, r.gt_id) for r in got.where("threshold < 0.1").collect()} == want
+
+
+def test_nothing_to_match(spark):
+    pred, gt = frames(spark, [(0, 1, 0.5, (0, 0, 5, 5))], [(0, 1, (50, 50, 60, 60))])
+    assert M.greedy_match(pred, gt, 0.5).first().gt_id is None
+    assert M.greedy_match(pred.limit(0), gt, 0.5).count() == 0

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import iou_eps, iou_plain
-from tilewright.operators.components import connected_components
 from tilewright.operators.ordered import numbered, running_sums
 from tilewright.operators.spatial import BOX, spatial_join
-from tilewright.plans.storage import materialize
+from tilewright.plans.storage import discard, materialize
 
 
 def candidates(pred: DataFrame, gt: DataFrame, by: list[str], iou, cell: float = 64.0) -> DataFrame:
@@ -49,25 +50,28 @@ def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float, slide: str =
 def greedy_matches(ranked: DataFrame, gt: DataFrame, thresholds: list[float], slide: str = "slide") -> DataFrame:
     """``slide``, threshold, pred_id and gt_id of the matches at each threshold, from predictions with ranks.
 
-    Greedy choice is sequential, but only among predictions and boxes that overlap by the least threshold: independent
-    clusters of a slide are separate folds. A cluster is one array; it holds boxes that touch one another."""
-    pairs = candidates(ranked, gt, [slide], iou_plain).where((F.col("iou") >= min(thresholds)) & (F.col("iou") > 0))
-    nodes = pairs.select((F.col("pred_id") * 2).alias("p"), (F.col("gt_id") * 2 + 1).alias("g"))
-    labels = connected_components(nodes).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("pred_id"), "component")
-    keyed = pairs.join(ranked.select(slide, "pred_id", "rank"), [slide, "pred_id"]).join(labels, "pred_id")
-    options = F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "gt_id")))
-    per_pred = keyed.groupBy(slide, "component", "pred_id", "rank").agg(options.alias("options"))
-    per_cluster = per_pred.groupBy(slide, "component").agg(F.sort_array(F.collect_list(F.struct("rank", "pred_id", "options"))).alias("preds"))
-    each = per_cluster.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<pred_id:bigint,gt_id:bigint>>").alias("got"))
-
-    def step(acc, p):
-        free = F.filter(p["options"], lambda o: (-o["less"] >= F.col("threshold")) & ~F.array_contains(acc["used"], o["gt_id"]))
-        pick = F.try_element_at(free, F.lit(1))["gt_id"]
-        pair = F.struct(p["pred_id"].cast("long").alias("pred_id"), pick.cast("long").alias("gt_id"))
-        return F.when(pick.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(pick)).alias("used"), F.concat(acc["got"], F.array(pair)).alias("got")))
-
-    return each.select(slide, "threshold", F.explode(F.aggregate("preds", zero, step)["got"]).alias("m")).select(slide, "threshold", "m.pred_id", "m.gt_id")
+    The sequential choice is found in rounds that all pairs take part in at once. A pair is settled if the box is the
+    prediction's best of those left and no waiting prediction of better rank could take that box: nobody before the
+    prediction in the sequence can change either. Settled predictions and boxes leave with all their pairs. In every
+    cluster of boxes that touch one another the best-ranked prediction is settled, so rounds end, usually after a few;
+    nothing is gathered by cluster, however long a chain of boxes is."""
+    near = candidates(ranked, gt, [slide], iou_plain).where((F.col("iou") >= min(thresholds)) & (F.col("iou") > 0))
+    near = near.join(ranked.select(slide, "pred_id", "rank"), [slide, "pred_id"])
+    each = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("iou"))
+    left = materialize(near.withColumn("threshold", F.explode(each)).select(slide, "threshold", "pred_id", "rank", "gt_id", "iou"))
+    settled, by_pred, by_gt = [], [slide, "threshold", "pred_id"], [slide, "threshold", "gt_id"]
+    while True:
+        best = F.row_number().over(Wd.partitionBy(*by_pred).orderBy(F.desc("iou"), "gt_id")) == 1
+        turn = F.min("rank").over(Wd.partitionBy(*by_gt)) == F.col("rank")
+        marked = left.withColumn("_best", best).withColumn("_now", turn & F.col("_best"))
+        gone = marked.withColumn("_gone", F.max("_now").over(Wd.partitionBy(*by_gt)))
+        gone = materialize(gone.withColumn("_out", F.col("_gone") | F.max("_now").over(Wd.partitionBy(*by_pred))).drop("_gone", "_best"))
+        settled.append(gone.where("_now").select(*by_pred, "gt_id"))
+        used, left = left, gone.where("not _out").drop("_now", "_out")
+        if len(settled) == 1:
+            discard(used)
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, settled)
 
 
 def curve(matched: DataFrame, gt: DataFrame, slide: str = "slide") -> DataFrame:
