@@ -341,9 +341,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
                 raw = ids.astype("<u4").tobytes()
                 out += [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(keep)} | {"ids": _binary(out)})
+        encoder.value.known.clear()
 
     plain = docs.select(*keep, F.col("text").alias("_text"))
-    return plain.mapInArrow(run, plain.drop("_text").schema.add("ids", "binary"))
+    return plain.mapInArrow(W.giving_back(run), plain.drop("_text").schema.add("ids", "binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -361,7 +362,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out += [raw[a:b] for a, b in zip(total[:-1], total[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, _binary(out)], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(W.giving_back(run), T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 class MergeCounter:

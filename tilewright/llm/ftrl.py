@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import words as W
+
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -122,4 +124,4 @@ def map_scored(score: Callable[[pa.Array], dict[str, pa.Array]]) -> Callable[[It
             columns = {batch.schema.names[i]: batch.column(i) for i in range(batch.num_columns - 1)}
             yield pa.RecordBatch.from_pydict(columns | score(batch.column(batch.num_columns - 1)))
 
-    return run
+    return W.giving_back(run)

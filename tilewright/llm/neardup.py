@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text"))
-    return plain.mapInArrow(run, "doc_id long, th long, n_shingles long, cls binary, sketch array<long>")
+    return plain.mapInArrow(W.giving_back(run), "doc_id long, th long, n_shingles long, cls binary, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").alias("_text")).alias("d")
     w = wanted.alias("w")
     found = texts.join(w, (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.c", "w.cls", "d._text")
-    return found.mapInArrow(run, "c long, full array<long>").dropDuplicates(["c"])
+    return found.mapInArrow(W.giving_back(run), "c long, full array<long>").dropDuplicates(["c"])
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
