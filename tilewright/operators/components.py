@@ -34,10 +34,11 @@ def _settled(edges: DataFrame) -> bool:
     return ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, near: list[str]) -> DataFrame:
     """Edges that connect the same nodes, with each batch's own components as stars.
 
-    Edges with near ids are sorted into the same batch, so components whose ids lie together are stars at once."""
+    Edges are sorted by ``near`` (by id, if nothing is given) into batches, so components that lie together there are
+    stars at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,22 +59,23 @@ def _contracted(edges: DataFrame) -> DataFrame:
             some = np.flatnonzero(label != np.arange(len(nodes)))
             yield pa.RecordBatch.from_pydict({"hi": nodes[some], "lo": nodes[label[some]]})
 
-    near = edges.repartitionByRange("lo").sortWithinPartitions("lo")
-    return near.mapInArrow(run, "hi long, lo long")
+    order = near or ["lo"]
+    return edges.repartitionByRange(*order).sortWithinPartitions(*order).select("hi", "lo").mapInArrow(run, "hi long, lo long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, near: list[str] | None = None) -> DataFrame:
     """(node, component) of each node that an edge touches; component is the smallest node reachable.
 
-    ``edges``: two columns of comparable ids, in any direction; loops and rows with a null are ignored, repeated edges
-    count once. Every round is written to shared storage, so lineage stays short. A node that has very many neighbours
+    ``edges``: two columns of comparable ids, in any direction, and the columns ``near``, if any, by which the edges of a
+    component lie together; loops and rows with a null are ignored, repeated edges count once. Every round is written to shared storage, so lineage stays short. A node that has very many neighbours
     is only ever joined to one row, its minimum, and that join's large side can be split. Components end as stars, so
     the number of rounds is logarithmic. Whole-number ids are first joined within batches. No edges: no rows."""
-    a, b = edges.columns
-    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"`{a}` is not null and `{b}` is not null").where("hi <> lo")
-    now = materialize(now)
-    whole = dict(now.dtypes) == {"hi": "bigint", "lo": "bigint"}
-    given, now = now, materialize((_contracted(now) if whole else now).distinct())
+    near = near or []
+    a, b = (c for c in edges.columns if c not in near)
+    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), *near).where(f"`{a}` is not null and `{b}` is not null").where("hi <> lo")
+    whole = {k: v for k, v in now.dtypes if k in ("hi", "lo")} == {"hi": "bigint", "lo": "bigint"}
+    given = materialize(now)  # range sorting reads it twice
+    now = materialize((_contracted(given, near) if whole else given.select("hi", "lo")).distinct())
     discard(given)
     for _ in range(max_rounds):
         if _settled(now):

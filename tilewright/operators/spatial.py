@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import intersects, iou_eps, iou_plain
 from tilewright.operators.components import connected_components
+from tilewright.operators.regions import z_order
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -38,24 +39,41 @@ def iou_matrix(left: DataFrame, right: DataFrame, by: list[str], key: str, cell:
     return pairs.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), iou_plain(a, b).alias("plain"), iou_eps(a, b).alias("eps"))
 
 
-def dedup_edges(detections: DataFrame, iou: float, slide: str = "slide", tile: str = "tile", key: str = "det_id", cell: float = 64.0) -> DataFrame:
-    """Pairs (a, b) of detections in different tiles of a slide that overlap by more than ``iou``."""
+def dedup_edges(detections: DataFrame, iou: float, slide: str = "slide", tile: str = "tile", key: str = "det_id", cell: float = 64.0, place: bool = False) -> DataFrame:
+    """Pairs (a, b) of detections in different tiles of a slide that overlap by more than ``iou``.
+
+    ``place`` adds columns by which pairs that lie near one another sort together (``PLACE``)."""
     extra = (F.col(f"a.{tile}") != F.col(f"b.{tile}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     slim = detections.select(slide, tile, key, *BOX)
     pairs = spatial_join(slim, slim, [slide], cell, extra)
     value = iou_eps([F.col(f"a.{c}") for c in BOX], [F.col(f"b.{c}") for c in BOX])
-    return pairs.where(value > iou).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    along = [F.floor(F.col(f"a.{c}") / (4 * cell)).cast("int") for c in ("x1", "y1")]
+    where = [F.col(f"a.{slide}").alias(PLACE[0]), z_order(*along).alias(PLACE[1])] if place else []
+    return pairs.where(value > iou).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), *where)
+
+
+#: Where a pair lies: its slide, and its cell along a Z-order curve.
+PLACE = ("_slide", "_cell")
+
+
+def component_labels(detections: DataFrame, iou: float, **names) -> DataFrame:
+    """node and component (the smallest key reachable) of the detections that overlap others; they lie together, so pairs
+    are joined by place first, whatever the keys are like."""
+    return connected_components(dedup_edges(detections, iou, place=True, **names), near=list(PLACE))
 
 
-def with_components(detections: DataFrame, edges: DataFrame, key: str = "det_id") -> DataFrame:
-    """Detections with ``component``: the smallest key reachable over edges."""
-    labels = connected_components(edges).withColumnRenamed("node", key)
-    return detections.join(labels, key, "left").withColumn("component", F.coalesce("component", key))
+def with_components(detections: DataFrame, labels: DataFrame, key: str = "det_id") -> DataFrame:
+    """Detections with ``component``, their own key if they overlap none."""
+    return detections.join(labels.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
 
 
 def deduplicate(detections: DataFrame, iou: float = 0.5, key: str = "det_id", score: str = "score", **names) -> DataFrame:
-    """The best detection of each component, the earlier key on equal scores."""
-    labelled = with_components(detections, dedup_edges(detections, iou, key=key, **names), key)
-    row = F.struct(*detections.columns)
-    best = labelled.groupBy("component").agg(F.max_by(row, F.struct(score, -F.col(key))).alias("best"))
-    return best.select("best.*")
+    """The best detection of each component, the earlier key on equal scores.
+
+    Only keys and scores of those in a component meet there; what gives way to a better one is then taken out of the
+    detections. Their keys are unique."""
+    labels = component_labels(detections, iou, key=key, **names)
+    scored = detections.select(F.col(key).alias("node"), F.col(score).alias("_score")).join(labels, "node")
+    best = scored.groupBy("component").agg(F.max_by("node", F.struct("_score", -F.col("node"))).alias("best"))
+    gone = scored.join(best, "component").where("node <> best").select(F.col("node").alias(key))
+    return detections.join(gone, key, "left_anti")

@@ -31,8 +31,8 @@ IOU = "(greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest
 _I = IOU.format(a="a", b="b")
 _UNION = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - " + _I + ")"
 MEET = "a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2"
-EDGES = f"""{DETECTIONS}, edges AS (SELECT a.det_id AS a, b.det_id AS b FROM det a, det b WHERE a.slide = b.slide AND a.tile <> b.tile AND a.det_id < b.det_id AND {MEET}
-  AND {_I} / ({_UNION} + 1e-7) > 0.5)"""
+EDGES = f"""{DETECTIONS}, cells AS MATERIALIZED (SELECT *, unnest(range((x1 // 64)::BIGINT, (x2 // 64)::BIGINT + 1)) AS cell FROM det),
+edges AS MATERIALIZED (SELECT DISTINCT a.det_id AS a, b.det_id AS b FROM cells a JOIN cells b ON a.slide = b.slide AND a.cell = b.cell AND a.tile <> b.tile AND a.det_id < b.det_id AND {MEET} AND {_I} / ({_UNION} + 1e-7) > 0.5)"""
 COMPONENTS = f"""{EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS n, a AS m FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m),
 labelled AS (SELECT det.*, coalesce(c.component, det_id) AS component FROM det LEFT JOIN (SELECT n, min(m) AS component FROM reach GROUP BY n) c ON c.n = det.det_id)"""
@@ -155,7 +155,7 @@ def dedup_edges(spark, d):
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT det_id, component FROM labelled")
 def dedup_components(spark, d):
     det = materialize(views.detections(spark, d))
-    return spatial.with_components(det, spatial.dedup_edges(det, 0.5)).select("det_id", "component")
+    return spatial.with_components(det, spatial.component_labels(det, 0.5)).select("det_id", "component")
 
 
 @query(f"WITH RECURSIVE {BEST} SELECT slide, tile, det_id, x1, y1, x2, y2, round(score, 6) AS score FROM kept")
