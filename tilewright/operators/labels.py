@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import col
 from tilewright.operators.ordered import numbered
+from tilewright.operators.turns import settle
+from tilewright.plans.storage import materialize
 
 
 def normalize_name(name) -> Column:
@@ -69,45 +71,74 @@ def _blocks(norm: Column, own: str, held: str) -> Column:
     return F.array_distinct(F.concat(tokens, pieces(GRAM, "g"), short, whole))
 
 
-def match_in_order(names: DataFrame, candidates: DataFrame, name: str, candidate: str, order: str, min_overlap: int = 2) -> DataFrame:
-    """As ``best_match``, but names take turns by ``order`` and a candidate that is taken is gone, until all are; from
-    then on every name sees all of them again.
-
-    Turns depend on one another, so this is one fold over an array of scored names, for tables of tens of names."""
-    a = names.select(F.col(order).alias("o"), F.col(name).alias("a"))
-    b = candidates.select(F.col(candidate).alias("b")).distinct()
-    pool = b.agg(F.array_sort(F.collect_set("b")).alias("pool"))
-    rows = a.agg(F.array_sort(F.collect_list(F.struct("o", "a"))).alias("rows")).crossJoin(pool)  # one row each
-    zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<o:bigint,a:string,b:string>>").alias("out"))
+def _good_pairs(names: DataFrame, candidates: DataFrame, min_overlap: int) -> DataFrame:
+    """a, b and s (the score) of the pairs that are good enough; a and b are distinct columns of their frames.
 
-    def best(x: Column, free: Column) -> Column:
-        scored = F.transform(free, lambda c: F.struct(score_match(x, c).alias("s"), c.alias("c")))
-        key = lambda v: F.struct((-v["s"]["tier"]).alias("t"), (-v["s"]["overlap"]).alias("o"), (-v["s"]["less"]).alias("l"), v["c"].alias("c"))
-        top = F.array_min(F.transform(scored, key))
-        return F.when((top["t"] <= -2) | (top["o"] <= -min_overlap), top["c"])
+    Names with common tokens meet by pairs of tokens (by single ones if one is enough). A name that lies in another has all
+    its pieces of ``GRAM`` characters there, so it is enough to look where its rarest piece occurs."""
+    if min_overlap < 1:
+        raise ValueError("min_overlap is 1 at least")
+    a, b = names.select("a", normalize_name(F.col("a")).alias("norm")), candidates.select("b", normalize_name(F.col("b")).alias("norm"))
+    tokens = F.array_sort(F.array_distinct(F.split("norm", "_")))
+    both = F.flatten(F.transform(tokens, lambda t: F.transform(F.filter(tokens, lambda u: u > t), lambda u: F.concat(t, F.lit("_"), u))))
+    shared = lambda df, n: df.select(n, F.explode(tokens if min_overlap == 1 else both).alias("block"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - n + 1)), lambda i: F.substr("norm", i, F.lit(n)))
+    held = lambda df, n: df.select(n, F.explode(F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, GRAM + 1)])))).alias("block"))
+    often = held(a, "a").select("block").unionAll(held(b, "b").select("block")).groupBy("block").agg(F.count("*").alias("n"))
+    # a name shorter than GRAM is its own piece, as pieces do not reach past the end
+    rarest = lambda df, n: df.select(n, F.explode(F.array_distinct(cut(GRAM))).alias("block")).join(often, "block").groupBy(n).agg(F.min_by("block", F.struct("n", "block")).alias("block"))
+    met = shared(a, "a").join(shared(b, "b"), "block").select("a", "b")
+    met = met.unionAll(rarest(a, "a").join(held(b, "b"), "block").select("a", "b")).unionAll(held(a, "a").join(rarest(b, "b"), "block").select("a", "b"))
+    return met.distinct().withColumn("s", score_match("a", "b")).where((F.col("s.tier") > 1) | (F.col("s.overlap") >= min_overlap))
 
-    def step(acc: Column, r: Column) -> Column:
-        left = F.array_except(F.col("pool"), acc["used"])
-        pick = best(r["a"], F.when(F.size(left) > 0, left).otherwise(F.col("pool")))
-        made = F.struct(r["o"].cast("long").alias("o"), r["a"].alias("a"), pick.alias("b"))
-        return F.struct(F.when(pick.isNull(), acc["used"]).otherwise(F.array_union(acc["used"], F.array(pick))).alias("used"), F.concat(acc["out"], F.array(made)).alias("out"))
 
-    return rows.select(F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(F.col("r.o").alias(order), F.col("r.a").alias(name), F.col("r.b").alias("match"))
+def _best_of(pairs: DataFrame) -> DataFrame:
+    """a and the b of the best of its pairs, the first in order on equal scores."""
+    worse = F.struct((-F.col("s.tier")).alias("t"), (-F.col("s.overlap")).alias("o"), (-F.col("s.less")).alias("l"), "b")
+    return pairs.groupBy("a").agg(F.min_by("b", worse).alias("b"))
 
 
-def attach_metadata(samples: DataFrame, name: str, sources: dict[str, tuple[DataFrame, str]], min_overlap: int = 2) -> DataFrame:
+def match_in_order(names: DataFrame, candidates: DataFrame, name: str, candidate: str, order: str, min_overlap: int = 2) -> DataFrame:
+    """order, name and match: as ``best_match``, but names take turns by ``order`` (unique) and a candidate that is taken is
+    gone, until all are; from then on every name sees all of them again. Null where none that is left is good enough.
+
+    Turns are settled in rounds (``turns.settle``) over the pairs that are good enough. Once the last candidate has been
+    taken, no later name can have been settled, so those get the best of all."""
+    turns = names.select(F.col(order).alias("o"), F.col(name).alias("a"))
+    pool = candidates.select(F.col(candidate).alias("b")).where("b is not null").distinct()
+    pairs = materialize(_good_pairs(turns.select("a").where("a is not null").distinct(), pool, min_overlap))
+    liked = [F.desc("s.tier"), F.desc("s.overlap"), F.desc("s.less"), F.col("b")]
+    taken = materialize(settle(turns.join(pairs, "a").select("o", F.col("o").alias("turn"), "b", "s"), [], "o", "turn", "b", liked))
+    last = taken.agg(F.count("*").alias("n"), F.max("turn").alias("last")).crossJoin(pool.agg(F.count("*").alias("all"))).first()  # one row
+    top = _best_of(pairs).withColumnRenamed("b", "top")
+    out = turns.join(taken.select("o", "b"), "o", "left")
+    if last.n == last.all and last.n:
+        late = out.where(F.col("o") > last.last).drop("b").join(top.withColumnRenamed("top", "b"), "a", "left").select("o", "a", "b")
+        out = out.where((F.col("o") <= last.last) | F.col("o").isNull()).select("o", "a", "b").unionByName(late)
+    return out.select(F.col("o").alias(order), F.col("a").alias(name), F.col("b").alias("match"))
+
+
+def attach_metadata(samples: DataFrame, name: str, sources: dict[str, tuple[DataFrame, str]], min_overlap: int = 2, order: str | None = None, once: tuple[str, ...] = ()) -> DataFrame:
     """``samples`` with a struct for each source: the row whose key suits the name best, null if none is good enough.
 
-    Samples that suit the same key take its rows in turn, in the order of their names; those past the last row get null."""
-    out = samples.withColumn("_name", F.col(name))
+    Of the sources in ``once`` a key is taken by one sample only, in turns by ``order`` (unique). Elsewhere samples that
+    suit the same key take its rows in turn, by ``order`` or else by their names; those past the last row get the first."""
+    out = samples.withColumns({"_name": F.col(name), "_order": F.col(order) if order else F.col(name)})
     for label, (rows, key) in sources.items():
-        found = best_match(samples, rows, name, key, min_overlap).select(F.col(name).alias("_name"), F.col("match").alias("_match"))
-        turns = F.row_number().over(Wd.partitionBy("_match").orderBy("_name"))
-        asked = out.join(found, "_name", "left").withColumn("_turn", turns)
+        if label in once:
+            found = match_in_order(out, rows, "_name", key, "_order", min_overlap).select("_order", F.col("match").alias("_match"))
+            asked = out.join(found, "_order", "left").withColumn("_turn", F.lit(1))
+        else:
+            some = lambda df, c, n: df.select(F.col(c).alias(n)).where(F.col(n).isNotNull()).distinct()
+            found = _best_of(_good_pairs(some(samples, name, "a"), some(rows, key, "b"), min_overlap)).select(F.col("a").alias("_name"), F.col("b").alias("_match"))
+            sizes = rows.groupBy(F.col(key).alias("_match")).agg(F.count("*").alias("_rows"))
+            turns = F.row_number().over(Wd.partitionBy("_match").orderBy("_order"))
+            asked = out.join(found, "_name", "left").withColumn("_turn", turns).join(sizes, "_match", "left")
+            asked = asked.withColumn("_turn", F.when(F.col("_turn") > F.col("_rows"), 1).otherwise(F.col("_turn"))).drop("_rows")
         whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
         held = rows.select(F.col(key).alias("_match"), F.row_number().over(Wd.partitionBy(key).orderBy(*rows.columns)).alias("_turn"), whole.alias(label))
         out = asked.join(held, ["_match", "_turn"], "left").drop("_match", "_turn")
-    return out.drop("_name")
+    return out.drop("_name", "_order")
 
 
 def parse_confidence(details) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from tilewright.functions.geometry import iou_eps, iou_plain
 from tilewright.operators.ordered import numbered, running_sums
 from tilewright.operators.spatial import BOX, spatial_join
-from tilewright.plans.storage import discard, materialize
+from tilewright.operators.turns import settle
+from tilewright.plans.storage import materialize
 
 
 def candidates(pred: DataFrame, gt: DataFrame, by: list[str], iou, cell: float = 64.0) -> DataFrame:
@@ -50,28 +49,12 @@ def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float, slide: str =
 def greedy_matches(ranked: DataFrame, gt: DataFrame, thresholds: list[float], slide: str = "slide") -> DataFrame:
     """``slide``, threshold, pred_id and gt_id of the matches at each threshold, from predictions with ranks.
 
-    The sequential choice is found in rounds that all pairs take part in at once. A pair is settled if the box is the
-    prediction's best of those left and no waiting prediction of better rank could take that box: nobody before the
-    prediction in the sequence can change either. Settled predictions and boxes leave with all their pairs. In every
-    cluster of boxes that touch one another the best-ranked prediction is settled, so rounds end, usually after a few;
-    nothing is gathered by cluster, however long a chain of boxes is."""
+    Predictions choose boxes in turn (``turns.settle``), at all thresholds at once."""
     near = candidates(ranked, gt, [slide], iou_plain).where((F.col("iou") >= min(thresholds)) & (F.col("iou") > 0))
     near = near.join(ranked.select(slide, "pred_id", "rank"), [slide, "pred_id"])
     each = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("iou"))
-    left = materialize(near.withColumn("threshold", F.explode(each)).select(slide, "threshold", "pred_id", "rank", "gt_id", "iou"))
-    settled, by_pred, by_gt = [], [slide, "threshold", "pred_id"], [slide, "threshold", "gt_id"]
-    while True:
-        best = F.row_number().over(Wd.partitionBy(*by_pred).orderBy(F.desc("iou"), "gt_id")) == 1
-        turn = F.min("rank").over(Wd.partitionBy(*by_gt)) == F.col("rank")
-        marked = left.withColumn("_best", best).withColumn("_now", turn & F.col("_best"))
-        gone = marked.withColumn("_gone", F.max("_now").over(Wd.partitionBy(*by_gt)))
-        gone = materialize(gone.withColumn("_out", F.col("_gone") | F.max("_now").over(Wd.partitionBy(*by_pred))).drop("_gone", "_best"))
-        settled.append(gone.where("_now").select(*by_pred, "gt_id"))
-        used, left = left, gone.where("not _out").drop("_now", "_out")
-        if len(settled) == 1:
-            discard(used)
-        if left.isEmpty():
-            return reduce(DataFrame.unionAll, settled)
+    options = near.withColumn("threshold", F.explode(each)).select(slide, "threshold", "pred_id", "rank", "gt_id", "iou")
+    return settle(options, [slide, "threshold"], "pred_id", "rank", "gt_id", [F.desc("iou"), F.col("gt_id")]).drop("rank")
 
 
 def curve(matched: DataFrame, gt: DataFrame, slide: str = "slide") -> DataFrame:

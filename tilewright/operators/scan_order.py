@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from tilewright.operators.ordered import numbered
+from tilewright.operators.ordered import numbered, running_sums
 from tilewright.operators.spatial import BOX, spatial_join
 
 
@@ -32,23 +31,24 @@ def overlapping_tiles(ordered: DataFrame, cell: float, slide: str = "slide", str
 
 
 def bands(ordered: DataFrame, most: int, slide: str = "slide") -> DataFrame:
-    """``slide``, band (from 0), x, y, w, h and the tiles' numbers: runs of consecutive tiles with equal y and height
-    whose joint width is at most ``most``; a tile that is wider is a band by itself.
-
-    A run is a row of tiles of one slide, so the fold that starts bands anew sees a row at a time."""
-    before = Wd.partitionBy(slide).orderBy("nth")
-    fresh = (F.lag("y").over(before) != F.col("y")) | (F.lag("h").over(before) != F.col("h")) | F.lag("y").over(before).isNull()
-    rows = ordered.withColumn("run", F.sum(fresh.cast("int")).over(before.rowsBetween(Wd.unboundedPreceding, Wd.currentRow)))
+    """``slide``, band (from 0), x, y, w, h and the tiles' numbers: runs of consecutive tiles with equal y and height that
+    end within ``most`` of the first one's x; the first tile itself may be wider. x is the first tile's.
+
+    Each tile is joined to the one before it to see where y or height change; running counts of the changes go through
+    ranges of the order. A run is a row of tiles of one slide, so the fold that starts bands anew sees a row at a time."""
+    before = ordered.select(slide, (F.col("nth") + 1).alias("nth"), F.col("y").alias("_y"), F.col("h").alias("_h"))
+    linked = ordered.join(before, [slide, "nth"], "left")
+    fresh = F.when((F.col("_y") == F.col("y")) & (F.col("_h") == F.col("h")), 0).otherwise(1)
+    rows = running_sums(linked.select(slide, "nth", "x", "y", "w", "h", fresh.alias("_fresh")), [slide], [F.col("nth")], {"run": F.col("_fresh")})
     runs = rows.groupBy(slide, "run", "y", "h").agg(F.sort_array(F.collect_list(F.struct("nth", "x", "w"))).alias("tiles"))
     kind = "array<struct<x:bigint,x2:bigint,tiles:array<bigint>>>"
 
     def step(acc: Column, t: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         x, end = t["x"].cast("long"), (t["x"] + t["w"]).cast("long")
-        low, high = F.least(last["x"], x), F.greatest(last["x2"], end)
-        joined = F.struct(low.alias("x"), high.alias("x2"), F.concat(last["tiles"], F.array(t["nth"].cast("long"))).alias("tiles"))
+        joined = F.struct(last["x"].alias("x"), F.greatest(last["x2"], end).alias("x2"), F.concat(last["tiles"], F.array(t["nth"].cast("long"))).alias("tiles"))
         alone = F.struct(x.alias("x"), end.alias("x2"), F.array(t["nth"].cast("long")).alias("tiles"))
-        return F.when(last.isNotNull() & (high - low <= most), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
+        return F.when(last.isNotNull() & (end - last["x"] <= most), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
 
     cut = runs.select(slide, "y", "h", F.explode(F.aggregate("tiles", F.array().cast(kind), step)).alias("b"))
     out = cut.select(slide, F.col("b.x").alias("x"), "y", (F.col("b.x2") - F.col("b.x")).alias("w"), "h", F.col("b.tiles").alias("tiles"))

@@ -213,12 +213,51 @@ def overlapping_tiles_strict(spark, d):
     return scan_order.overlapping_tiles(scan_order.reading_order(g.selectExpr("slide", "ix", "iy", "w", "h", "x", "y", "x as x1", "y as y1", "x + w as x2", "y + h as y2")), 512.0, strict_scan=True)
 
 
-@query(f"""WITH RECURSIVE {ORDERED}, walk AS (SELECT slide, nth, x, y, h, x AS bx, x + w AS bx2, nth AS first FROM placed WHERE nth = 0
-UNION ALL SELECT p.slide, p.nth, p.x, p.y, p.h, CASE WHEN same THEN least(bx, p.x) ELSE p.x END, CASE WHEN same THEN greatest(bx2, p.x + p.w) ELSE p.x + p.w END, CASE WHEN same THEN first ELSE p.nth END
-FROM (SELECT p.*, k.bx, k.bx2, k.first, k.y = p.y AND k.h = p.h AND greatest(k.bx2, p.x + p.w) - least(k.bx, p.x) <= 1100 AS same FROM walk k JOIN placed p ON p.slide = k.slide AND p.nth = k.nth + 1) p)
-SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY first) - 1 AS band, min(x) AS x, max(y) AS y, max(bx2) - min(x) AS w, max(h) AS h, count(*) AS n FROM walk GROUP BY slide, first""")
+#: Every fourth tile lies left of the one before it, so a row's x rise and fall.
+SHUFFLED = f"{ORDERED}, shuffled AS (SELECT * REPLACE (CASE WHEN ix = 3 THEN x - 700 - slide ELSE x END AS x) FROM placed)"
+
+
+@query(f"""WITH RECURSIVE {SHUFFLED}, walk AS (SELECT slide, nth, x, y, h, x AS bx, x + w AS bx2, nth AS first FROM shuffled WHERE nth = 0
+UNION ALL SELECT slide, nth, x, y, h, CASE WHEN same THEN bx ELSE x END, CASE WHEN same THEN greatest(bx2, x + w) ELSE x + w END, CASE WHEN same THEN first ELSE nth END
+FROM (SELECT p.*, k.bx, k.bx2, k.first, k.y = p.y AND k.h = p.h AND p.x + p.w - k.bx <= 1100 AS same FROM walk k JOIN shuffled p ON p.slide = k.slide AND p.nth = k.nth + 1) p)
+SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY first) - 1 AS band, min(bx) AS x, max(y) AS y, max(bx2) - min(bx) AS w, max(h) AS h, count(*) AS n FROM walk GROUP BY slide, first""")
 def bands(spark, d):
-    return scan_order.bands(scan_order.reading_order(_grid(spark, d)), 1100).select("slide", "band", "x", "y", "w", "h", F.size("tiles").cast("long").alias("n"))
+    ordered = scan_order.reading_order(_grid(spark, d)).withColumn("x", F.expr("CASE WHEN ix = 3 THEN x - 700 - slide ELSE x END"))
+    return scan_order.bands(ordered, 1100).select("slide", "band", "x", "y", "w", "h", F.size("tiles").cast("long").alias("n"))
+
+
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_')"
+TURNS = f"""n AS (SELECT p_partkey AS o, p_name || ' ' || p_type || ' ' || p_partkey % 40 AS name FROM part), c AS (SELECT DISTINCT p_name || '-' || p_partkey % 40 AS cand FROM part WHERE p_partkey % 3 = 0),
+s AS (SELECT name, cand, a, b, string_split(a, '_') AS ta, string_split(b, '_') AS tb FROM (SELECT DISTINCT name, {_NORM.format("name")} AS a FROM n), (SELECT cand, {_NORM.format("cand")} AS b FROM c)),
+t AS (SELECT *, CASE WHEN a = b THEN 4 WHEN starts_with(a, b) OR starts_with(b, a) THEN 3 WHEN contains(a, b) OR contains(b, a) THEN 2 ELSE 1 END AS tier FROM s),
+u AS (SELECT *, CASE tier WHEN 4 THEN 9999 WHEN 1 THEN len(list_intersect(list_distinct(ta), list_distinct(tb))) ELSE least(length(a), length(b)) END AS overlap,
+  CASE tier WHEN 4 THEN 0 WHEN 1 THEN -abs(len(list_distinct(ta)) - len(list_distinct(tb))) ELSE -abs(length(a) - length(b)) END AS less FROM t),
+good AS (SELECT name, list(cand ORDER BY tier DESC, overlap DESC, less DESC, cand) AS options FROM u WHERE tier >= 2 OR overlap >= 2 GROUP BY name),
+asked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o) AS k, o, name, coalesce(options, []) AS options FROM n LEFT JOIN good USING (name)),
+fold AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS pick UNION ALL
+  SELECT k, CASE WHEN pick IS NULL OR list_contains(used, pick) THEN used ELSE list_append(used, pick) END, pick FROM (SELECT a.k, f.used, CASE WHEN len(f.used) = (SELECT count(*) FROM c) THEN a.options[1] ELSE list_filter(a.options, lambda x: NOT list_contains(f.used, x))[1] END AS pick FROM fold f JOIN asked a ON a.k = f.k + 1))"""
+
+
+def _turns(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part")
+    names = p.selectExpr("p_partkey as o", "concat(p_name, ' ', p_type, ' ', p_partkey % 40) as name")
+    return names, p.where("p_partkey % 3 = 0").selectExpr("concat(p_name, '-', p_partkey % 40) as cand", "p_partkey", "p_brand")
+
+
+@query(f"WITH RECURSIVE {TURNS} SELECT o, name, pick AS match FROM fold JOIN asked USING (k)")
+def match_in_order(spark, d):
+    names, rows = _turns(spark, d)
+    return labels.match_in_order(names, rows, "name", "cand", "o")
+
+
+@query(f"""WITH RECURSIVE {TURNS}, rows AS (SELECT p_name || '-' || p_partkey % 40 AS cand, p_partkey, p_brand, row_number() OVER (PARTITION BY p_name || '-' || p_partkey % 40 ORDER BY p_partkey) AS t, count(*) OVER (PARTITION BY p_name || '-' || p_partkey % 40) AS many FROM part WHERE p_partkey % 3 = 0),
+best AS (SELECT o, options[1] AS cand, row_number() OVER (PARTITION BY options[1] ORDER BY o) AS t FROM asked)
+SELECT asked.o, once.p_partkey AS once_key, turn.p_partkey AS turn_key FROM fold JOIN asked USING (k) LEFT JOIN rows once ON once.cand = pick AND once.t = 1 JOIN best ON best.o = asked.o LEFT JOIN rows turn ON turn.cand = best.cand AND turn.t = CASE WHEN best.t > turn.many THEN 1 ELSE best.t END""")
+def sample_metadata(spark, d):
+    """One source whose keys are taken once, and one whose rows are taken in turn."""
+    names, rows = _turns(spark, d)
+    found = labels.attach_metadata(names, "name", {"one": (rows, "cand"), "turn": (rows, "cand")}, order="o", once=("one",))
+    return found.select("o", F.col("one.p_partkey").alias("once_key"), F.col("turn.p_partkey").alias("turn_key"))
 
 
 @query(f"WITH {OBJECTS} SELECT o_orderkey, x + w AS x2, y + h AS y2, w AS bw, round((x + w / 2) / 2100, 6) AS cx, round(h / 2100, 6) AS ch, x - w AS circle_x, w * 2 AS circle_w, x <= 0 OR y <= 0 OR x + w >= 1990 OR y + h >= 1990 AS edge, w - 40 <= 0 OR h <= 0 AS empty, least(greatest(x - 900, 0), 255)::INT AS byte FROM objects")
