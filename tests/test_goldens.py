@@ -10,7 +10,7 @@ from tilewright.functions import detectors
 from tilewright.functions import geometry as G
 from tilewright.operators import catalogue, focus, grid, labels, matching, ordered, products, spatial
 from tilewright.operators.components import connected_components
-from tilewright.sources import documents, readers, writers
+from tilewright.sources import documents, files, readers, writers
 from tilewright.streaming import checkpoint
 
 DET = "slide int, tile int, det_id long, x1 double, y1 double, x2 double, y2 double, score double"
@@ -232,9 +232,10 @@ def test_documents(spark, tmp_path):
 
 
 def test_image_files_are_written_once(spark, tmp_path):
-    images = spark.createDataFrame([("a.jpg", bytearray(b"1")), ("d/b.jpg", bytearray(b"22"))], "file_name string, data binary")
-    assert [r.written for r in documents.image_documents(images, str(tmp_path)).collect()] == [True, True]
-    assert [r.written for r in documents.image_documents(images, str(tmp_path)).collect()] == [False, False]
+    images = spark.createDataFrame([("a.jpg", bytearray(b"1")), ("d/b.jpg", bytearray(b"22"))], "name string, data binary")
+    files.write_files(images, str(tmp_path))
+    files.write_files(images, str(tmp_path))
+    assert files.manifest(spark, str(tmp_path)).count() == 2
     found = readers.image_files(spark, str(tmp_path)).collect()
     assert [r.length for r in found] == [1, 2] and readers.image_files(spark, str(tmp_path), limit=1).count() == 1
 

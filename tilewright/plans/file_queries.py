@@ -4,7 +4,9 @@ Each run writes under a new name in the shared folder."""
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from tilewright.operators import labels
 from tilewright.plans import views
 from tilewright.plans.queries import BEST, OBJECTS, PLANES, _r6, query
 from tilewright.plans.storage import materialize, shared_dir, table
-from tilewright.sources import documents, readers, writers
+from tilewright.sources import documents, files, readers, writers
 from tilewright.streaming import checkpoint
 
 
@@ -155,8 +157,8 @@ def trial_files(spark, d):
 @query("SELECT 'img' || n_nationkey || '.png' AS name, (n_nationkey + 1)::BIGINT AS length FROM nation WHERE n_nationkey < 10 ORDER BY name LIMIT 6")
 def image_listing(spark, d):
     folder = _folder(spark)
-    images = table(spark, d, "nation").selectExpr("concat('img', n_nationkey, CASE WHEN n_nationkey < 10 THEN '.png' ELSE '.txt' END) as file_name", "cast(repeat('x', cast(n_nationkey + 1 as int)) as binary) as data")
-    documents.image_documents(images, folder.removeprefix("file://")).write.format("noop").mode("overwrite").save()
+    images = table(spark, d, "nation").selectExpr("concat('img', n_nationkey, CASE WHEN n_nationkey < 10 THEN '.png' ELSE '.txt' END) as name", "cast(repeat('x', cast(n_nationkey + 1 as int)) as binary) as data")
+    files.write_files(images, folder)
     found = readers.image_files(spark, folder, ("png",), 6)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
@@ -183,13 +185,58 @@ def detector_boxes(spark, d):
 
 @query(f"WITH {PLANES} SELECT printf('%05d', row_number() OVER (ORDER BY tile * 5 + z)) AS name, 3 AS height, 2 AS width, (px[10] + px[11] + px[18] + px[19] + px[26] + px[27])::BIGINT AS total FROM planes")
 def detection_crops(spark, d):
+    cut = _crops(spark, d)
+    byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("long")
+    return cut.select("name", "height", "width", sum((byte(i) for i in range(6)), F.lit(0)).alias("total"))
+
+
+def _crops(spark, d) -> DataFrame:
     """The planes are the tiles of a slide for each z."""
     p = views.planes(spark, d)
     tiles = p.select(F.col("z").alias("slide"), "tile", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), _bytes("px").alias("data"))
     boxes = p.selectExpr("z as slide", "tile", "tile * 5 + z as det_id", "1.5D as x1", "1.2D as y1", "2.5D as x2", "3.1D as y2")
-    cut = writers.crops(boxes, tiles)
-    byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("long")
-    return cut.select("name", "height", "width", sum((byte(i) for i in range(6)), F.lit(0)).alias("total"))
+    return writers.crops(boxes, tiles)
+
+
+_LABELS = "anns AS (SELECT 's' || slide AS stem, o_orderkey, printf('%d %.6f %.6f %.6f %.6f', o_orderkey % 3, (x + w / 2) / 2100, (y + h / 2) / 2100, w / 2100, h / 2100) AS line FROM objects)"
+
+
+@query(f"WITH {OBJECTS}, {_LABELS} SELECT 'labels/' || stem || '.txt' AS name, string_agg(line, chr(10) ORDER BY o_orderkey) AS text, 1::BIGINT AS written FROM anns GROUP BY stem")
+def label_files(spark, d):
+    """A file for each image; half of them are written first, and what is there is not written again."""
+    path, o = _folder(spark), views.objects(spark, d)
+    boxes = o.selectExpr("concat('s', slide, '.jpg') as file_name", "o_orderkey as ann_idx", "cast(o_orderkey % 3 + 1 as int) as label", "x", "y", "w", "h")
+    images = writers.coco_images(boxes.selectExpr("file_name", "2100 as width", "2100 as height"))
+    rows = files.label_files(writers.label_lines(images, writers.coco_annotations(images, writers.select_boxes(boxes, False))))
+    files.write_files(rows.where("crc32(cast(name as binary)) % 2 = 0"), path)
+    files.write_files(rows, path)
+    read = spark.read.text(f"{path}/labels", wholetext=True).select(F.concat(F.lit("labels/"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("name"), F.col("value").alias("text"))
+    listed = files.manifest(spark, path).groupBy("name").agg(F.count("*").alias("written"))
+    return read.join(listed, "name").select("name", "text", "written")
+
+
+@query(f"WITH {PLANES} SELECT printf('crops/%05d.png', row_number() OVER (ORDER BY tile * 5 + z)) AS name, 3 AS height, 2 AS width, (px[10] + px[11] + px[18] + px[19] + px[26] + px[27])::BIGINT AS total FROM planes")
+def crop_files(spark, d):
+    """Crops as PNG files, read back."""
+    import numpy as np
+    import pyarrow as pa
+
+    path = _folder(spark)
+    cut = _crops(spark, d)
+    files.write_files(files.as_png(cut, F.concat(F.lit("crops/"), "name", F.lit(".png"))), path)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                width, height = struct.unpack(">II", raw[16:24])
+                size = struct.unpack(">I", raw[33:37])[0]
+                pixels = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(height, width + 1)
+                rows.append({"name": name, "height": height, "width": width, "total": int(pixels[:, 1:].sum())})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("total", pa.int64())]))
+
+    read = spark.read.format("binaryFile").load(f"{path}/crops").select(F.concat(F.lit("crops/"), F.element_at(F.split("path", "/"), -1)).alias("name"), "content")
+    return read.mapInArrow(run, "name string, height int, width int, total long")
 
 
 @query(f"WITH RECURSIVE {BEST} SELECT det_id, round(score, 6) AS score FROM kept")

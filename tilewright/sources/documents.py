@@ -66,29 +66,3 @@ def trial_documents(trials: DataFrame, folder: str) -> None:
 
     trials.select(F.to_json(F.struct("trial", "score", "params")).alias("value")).write.mode("append").text(f"{folder}/trials")
     _one(best_trial(trials).select(F.to_json("params").alias("value")), f"{folder}/best")
-
-
-def image_documents(images: DataFrame, folder: str) -> DataFrame:
-    """Write images (file_name, data: encoded bytes) as files of ``folder``, those that are there already left alone.
-
-    Gives file_name and written. Tasks write each file under another name and rename it, so one that is lost leaves no
-    half a file; a folder that every executor reaches is needed."""
-    def run(batches):
-        import os
-
-        import pyarrow as pa
-
-        for batch in batches:
-            done = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = os.path.join(folder, name)
-                done.append(not os.path.exists(target))
-                if done[-1]:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    part = f"{target}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
-                        f.write(data)
-                    os.replace(part, target)
-            yield pa.RecordBatch.from_pydict({"file_name": batch.column(0), "written": pa.array(done, pa.bool_())})
-
-    return images.select("file_name", "data").mapInArrow(run, "file_name string, written boolean")
