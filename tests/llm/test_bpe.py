@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tilewright.llm import bpe
@@ -85,3 +86,12 @@ def test_tables(spark, sf_dir, library):
     for row in bpe.count(docs, P.path("word_bpe_49k.json"), ("doc_id", "text")).collect():
         assert (row.n_tokens, row.n_bytes) == (len(tokens.encode(row.text or "", add_special_tokens=False).ids), len((row.text or "").encode()))
     assert bpe.encode(docs.limit(0), path).count() == 0
+
+
+def test_clashing_column_names(spark, library):
+    docs = spark.createDataFrame([(1, "a b", "x", 3, b"y"), (None, None, "x", 3, b"y")], "doc_id long, text string, ids string, n_tokens int, decoded binary")
+    path = P.path("byte_bpe_50k.tiktoken")
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert np.frombuffer(got[1].ids, "<u4").tolist() == library.encode_ordinary("a b") and bytes(got[1].decoded) == b"a b" and bytes(got[None].ids) == b""
+    counted = {r.doc_id: r.n_tokens for r in bpe.count(docs.withColumn("_text", F.lit("z")), P.path("word_bpe_49k.json")).collect()}
+    assert counted == {1: 2, None: 0}

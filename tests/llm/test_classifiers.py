@@ -147,3 +147,12 @@ def test_labels_other_than_0_and_1_teach_nothing(spark, tables, operator, label)
     scores = lambda y: [tuple(r)[:4] for r in operator(docs, y).orderBy("doc_id").collect()]
     assert scores(odd) == scores(without)
     assert len(scores(labels.withColumn(label, F.lit(5)))) == docs.count()
+
+
+@pytest.mark.parametrize(("operator", "label"), [(quality.classify, "quality"), (toxicity.detect, "toxic")])
+def test_clashing_column_names(tables, operator, label):
+    """Columns of documents that are named like those of labels, features or results are not looked at."""
+    docs, labels = tables
+    other = docs.select("doc_id", "text").withColumns({c: F.lit(1) for c in ("y", "shard", "score", "held_out", "predicted", "quality", "toxic", "block", "z", "n", "_text", "offending")})
+    rows = lambda df: sorted(tuple(r)[:4] for r in df.collect())
+    assert rows(operator(other, labels.withColumn("text", F.lit("x")))) == rows(operator(docs, labels))
