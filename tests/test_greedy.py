@@ -12,7 +12,7 @@ from tilewright.operators import scan_order, turns
 @pytest.fixture(autouse=True, params=["rounds", "finish"])
 def way(request, monkeypatch):
     """Each case in rounds down to the last option, and with one task for the rest."""
-    monkeypatch.setattr(turns, "FINISH", 0 if request.param == "rounds" else 50_000)
+    monkeypatch.setattr(turns, "FINISH", 0 if request.param == "rounds" else 1 << 20)
 
 
 def overlap(a, b):

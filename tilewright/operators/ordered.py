@@ -16,7 +16,8 @@ from tilewright.plans.storage import materialize
 def running_sums(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``rows`` with inclusive running sums along ``order`` within each ``by``; the order should have no ties.
 
-    A group that holds most of the rows lies in many ranges. Nulls in ``by`` are a group of their own."""
+    A group that holds most of the rows lies in many ranges. Nulls in ``by`` are a group of their own. Without ``by`` there
+    is one row for each range of what comes before it, as many as shuffle partitions, so that is broadcast."""
     keys = [F.col(c) for c in by]
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = rows.withColumns({f"_v_{n}": v for n, v in sums.items()})
@@ -26,7 +27,7 @@ def running_sums(rows: DataFrame, by: list[str], order: list[Column], sums: dict
     before = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
     within = Wd.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Wd.unboundedPreceding, Wd.currentRow)
     local = dealt.withColumns({f"_w_{n}": F.sum(f"_v_{n}").over(within) for n in sums})
-    a, b = local.alias("a"), before.alias("b")
+    a, b = local.alias("a"), (before if by else F.broadcast(before)).alias("b")
     on = F.col("a._range") == F.col("b._range")
     for c in by:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))

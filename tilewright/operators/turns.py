@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tilewright.plans.storage import discard, materialize
 
 #: Options that one task goes through at most.
-FINISH = 50_000
+FINISH = 1 << 20
 
 
 def settle(options: DataFrame, by: list[str], chooser: str, turn: str, item: str, prefer: list[Column]) -> DataFrame:
@@ -43,14 +45,16 @@ def settle(options: DataFrame, by: list[str], chooser: str, turn: str, item: str
 
 def _in_turn(table: pa.Table, columns: list[str]) -> pa.Table:
     """The options that are taken when choosers come one after another; ``columns``: by, chooser, turn and item."""
-    keys = [*columns[:-3], columns[-2], columns[-3], "_liking"]
-    ordered = table.sort_by([(k, "ascending") for k in keys])
-    rows = list(zip(*[ordered.column(c).to_pylist() for c in columns], strict=True))
+    ordered = table.sort_by([(k, "ascending") for k in [*columns[:-3], columns[-2], columns[-3], "_liking"]]).select(columns)
+    numbers = [pc.dictionary_encode(ordered.column(c).combine_chunks()).indices.to_numpy().astype(np.int64) for c in columns]
+    group = np.zeros(ordered.num_rows, np.int64)
+    for n in numbers[:-3]:
+        group = np.unique(group * (n.max(initial=0) + 1) + n, return_inverse=True)[1]
+    pair = lambda n: (group * (n.max(initial=0) + 1) + n).tolist()
     served, used, taken = set(), set(), []
-    for i, row in enumerate(rows):
-        group, chooser, item = row[:-3], row[-3], row[-1]
-        if (group, chooser) not in served and (group, item) not in used:
-            served.add((group, chooser))
-            used.add((group, item))
+    for i, (chooser, item) in enumerate(zip(pair(numbers[-3]), pair(numbers[-1]), strict=True)):
+        if chooser not in served and item not in used:
+            served.add(chooser)
+            used.add(item)
             taken.append(i)
-    return ordered.select(columns).take(pa.array(taken, pa.int64()))
+    return ordered.take(pa.array(taken, pa.int64()))
