@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import detectors
 from tilewright.operators import labels
+from tilewright.operators.ordered import numbered
 from tilewright.plans import views
 from tilewright.plans.queries import BEST, OBJECTS, PLANES, _r6, query
 from tilewright.plans.storage import materialize, shared_dir, table
@@ -248,3 +249,42 @@ def streamed_detections(spark, d):
     checkpoint.append_detections(stream, lambda batch: batch, appended, state).awaitTermination()
     checkpoint.finish(spark.read.parquet(appended), final)
     return spark.read.parquet(final).select("det_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 'c' || c_custkey AS stem, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'paired' ELSE 'skipped' END AS state FROM customer")
+def file_pairs(spark, d):
+    """Slides with an annotation file of the same stem, and those without."""
+    slides = table(spark, d, "customer").selectExpr("concat('c', c_custkey) as stem")
+    pairs, skipped = readers.pair_by_stem(slides, table(spark, d, "orders").selectExpr("concat('c', o_custkey) as stem").distinct())
+    return pairs.select("stem", F.lit("paired").alias("state")).unionByName(skipped.select("stem", F.lit("skipped").alias("state")))
+
+
+@query(f"WITH {OBJECTS} SELECT count(*) AS boxes, count(DISTINCT slide) AS slides, sum(w * h)::BIGINT AS area FROM objects")
+def metrics_file(spark, d):
+    path = _folder(spark)
+    documents.metrics_document(views.objects(spark, d).agg(F.count("*").alias("boxes"), F.countDistinct("slide").alias("slides"), F.sum(F.col("w") * F.col("h")).alias("area")), path)
+    return spark.read.schema("boxes bigint, slides bigint, area bigint").json(path)
+
+
+@query("SELECT c_custkey AS trial, c_acctbal::DOUBLE AS score, 'p' || c_custkey AS p, c_custkey = (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1) AS best FROM customer")
+def trial_log(spark, d):
+    """Trials as lines, and the parameters of the best one in a document of their own."""
+    path = _folder(spark)
+    trials = table(spark, d, "customer").select(F.col("c_custkey").alias("trial"), F.col("c_acctbal").cast("double").alias("score"), F.create_map(F.lit("p"), F.concat(F.lit("p"), "c_custkey")).alias("params"))
+    documents.trial_documents(trials, path)
+    best = spark.read.schema("p string").json(f"{path}/best").select(F.col("p").alias("best_p"))  # one row
+    read = spark.read.schema("trial bigint, score double, params map<string,string>").json(f"{path}/trials").select("trial", "score", F.col("params")["p"].alias("p"))
+    return read.crossJoin(F.broadcast(best)).select("trial", "score", "p", (F.col("p") == F.col("best_p")).alias("best"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_type) - 1 AS id, p_type AS name FROM (SELECT DISTINCT p_type FROM part)")
+def class_names_file(spark, d):
+    """Names of the categories from the first dataset document that is there, written as one file."""
+    path = _folder(spark)
+    types = numbered(table(spark, d, "part").selectExpr("p_type as name").distinct(), [], [F.col("name")], "id").select("id", "name", F.lit("").alias("supercategory"))
+    o = views.objects(spark, d).selectExpr("concat('s', slide) as file_name", "o_orderkey as ann_idx", "1 as label", "x", "y", "w", "h")
+    images = writers.coco_images(o.selectExpr("file_name", "2100 as width", "2100 as height"))
+    writers.coco_document(images, writers.coco_annotations(images, writers.select_boxes(o, True)), types, f"{path}/parts")
+    writers.join_document(spark, f"{path}/parts", f"{path}/valid.json")
+    names = documents.class_names(spark, [f"{path}/train.json", f"{path}/valid.json"])
+    return spark.createDataFrame(list(enumerate(names)), "id bigint, name string")

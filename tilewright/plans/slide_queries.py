@@ -160,3 +160,19 @@ def block_stacks(spark, d):
 
     parts = rows.mapInArrow(run, "slide string, y int, stacked long, mip long")
     return parts.groupBy("slide", "y").agg(F.sum("stacked").alias("stacked"), F.sum("mip").alias("mip"))
+
+
+@query(f"WITH {PIX} SELECT slide, (z - 2) * 1000 AS z_nm, sum(((r * 4899 + g * 9617 + b * 1868 + 8192) >> 14) * (1 + (px_y * 64 + px_x) % 97))::BIGINT AS mark FROM points WHERE magnification = 20 GROUP BY slide, z")
+def gray_planes(spark, d):
+    """Brightness of the RGB pages, weighed by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for r in batch.select(["height", "width", "channels", "data"]).to_pylist():
+                gray = focus.to_gray(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])).astype(np.int64)
+                marks.append(int((gray.ravel() * (1 + np.arange(gray.size) % 97)).sum()))
+            yield pa.RecordBatch.from_pydict({"slide": batch.column("slide"), "z_nm": batch.column("z_nm"), "mark": pa.array(marks, pa.int64())})
+
+    pages = _pages(spark, d).where("magnification = 20")
+    return pages.select("slide", "z_nm", "height", "width", "channels", "data").mapInArrow(run, "slide string, z_nm bigint, mark bigint")
