@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, the one with the smallest doc_id.
 
     Null, empty and wordless texts are near nothing and all stay, but rows that agree in doc_id and text are one
-    document and stay once; of a group with null ids only, one text stays; other columns are those of the row that
+    document and stay once; different texts with one id are told apart; of a group with null ids only, one text stays; other columns are those of the row that
     stays; very long texts are compared whole; no documents: none."""
     return neardup.keep_one(docs)
 
