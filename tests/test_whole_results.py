@@ -1,7 +1,11 @@
 """Results stay whole where groups are empty, and where they are larger than one task goes through."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tilewright.operators import labels, turns
 from tilewright.plans.queries import QUERIES
 
 
@@ -15,3 +19,33 @@ def orders(spark, folder, rows):
 def test_slides_without_misses_are_counted(spark, tmp_path, keys):
     got = QUERIES["match_fp_fn"](spark, orders(spark, tmp_path, keys)).collect()
     assert sorted((r.slide, r.fp, r.fn, r.tp) for r in got) == [(k // 500, 0, 0, 1) for k, _ in keys]
+
+
+@pytest.mark.parametrize("finish", [7, 40])
+def test_large_groups_are_settled_in_turn(spark, monkeypatch, finish):
+    """Groups above the bound, groups below it, and a chooser that alone has more options than it."""
+    monkeypatch.setattr(turns, "FINISH", finish)
+    rng = random.Random(finish)
+    options = [(g, c, 100 * g - c, i, rng.random()) for g, n in ((0, 30), (1, 3), (2, 12)) for c in range(n) for i in rng.sample(range(12), 12 if c == n - 1 else rng.randrange(1, 6))]
+    used, want = set(), set()
+    for g, c in sorted({(g, c) for g, c, *_ in options}, key=lambda k: (k[0], -k[1])):
+        free = [(-liking, i) for h, k, _, i, liking in options if (h, k) == (g, c) and (g, i) not in used]
+        if free:
+            used.add((g, min(free)[1]))
+            want.add((g, c, min(free)[1]))
+    frame = spark.createDataFrame(options, "g long, c long, t long, i long, liking double")
+    got = turns.settle(frame, ["g"], "c", "t", "i", [F.desc("liking")]).collect()
+    assert {(r.g, r.c, r.i) for r in got} == want and len(got) == len(want)
+
+
+def test_names_beyond_the_first_bound(spark, monkeypatch):
+    """Equal names ask more often than they have candidates, and most pairs are formed after the first turns."""
+    monkeypatch.setattr(turns, "FINISH", 5)
+    formed = []
+    real = turns.settle
+    monkeypatch.setattr(turns, "settle", lambda options, *a: formed.append(options.count()) or real(options, *a))
+    names = [(i, ("red oak", "red oak b", "elm x", "old red oak")[i % 4]) for i in range(40)]
+    pool = [("red oak 1",), ("red oak 2",), ("elm x",), ("old oak red",), ("fir y",)]
+    got = {r.o: r.match for r in labels.match_in_order(spark.createDataFrame(names, "o long, n string"), spark.createDataFrame(pool, "c string"), "n", "c", "o").collect()}
+    assert [got[i] for i in range(6)] == ["red oak 1", "old oak red", "elm x", "red oak 2", None, None] and not any(got[i] for i in range(6, 40))
+    assert sum(formed) <= 20  # of 100

@@ -7,8 +7,8 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import col
-from tilewright.operators.ordered import numbered
-from tilewright.operators.turns import settle
+from tilewright.operators import turns as in_turn
+from tilewright.operators.ordered import numbered, running_sums
 from tilewright.plans.storage import materialize
 
 
@@ -23,8 +23,16 @@ def normalize_name(name) -> Column:
 def score_match(a, b) -> Column:
     """(tier, overlap, less): 4 equal, 3 prefix, 2 contained, 1 common tokens; structs compare in this order."""
     a, b = normalize_name(a), normalize_name(b)
+    return _score(a, b, _words(a), _words(b))
+
+
+def _words(norm: Column) -> Column:
+    return F.array_distinct(F.split(norm, "_"))
+
+
+def _score(a: Column, b: Column, ta: Column, tb: Column) -> Column:
+    """``score_match`` of normal names and their distinct tokens."""
     shorter, less = F.least(F.length(a), F.length(b)), -F.abs(F.length(a) - F.length(b))
-    ta, tb = F.array_distinct(F.split(a, "_")), F.array_distinct(F.split(b, "_"))
     make = lambda t, o, d: F.struct(F.lit(t).alias("tier"), o.cast("int").alias("overlap"), d.cast("int").alias("less"))
     return (
         F.when(a == b, make(4, F.lit(9999), F.lit(0)))
@@ -34,6 +42,13 @@ def score_match(a, b) -> Column:
     )
 
 
+def _scored(met: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (a, b) with s, their score, from frames (a, norm) and (b, norm): a name is made normal once, not for each pair."""
+    side = lambda df, n: df.select(n, F.struct("norm", _words(F.col("norm")).alias("words")).alias(f"_{n}"))
+    both = met.join(side(a, "a"), "a").join(side(b, "b"), "b")
+    return both.select("a", "b", _score(F.col("_a.norm"), F.col("_b.norm"), F.col("_a.words"), F.col("_b.words")).alias("s"))
+
+
 def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_overlap: int = 2) -> DataFrame:
     """name and its best candidate, null if none is good enough; the first in order on equal scores.
 
@@ -45,7 +60,7 @@ def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: st
     a, b = key(names, name, "a"), key(candidates, candidate, "b")
     block = lambda df, n, *kinds: df.select(n, F.explode(_blocks(F.col(f"{n}_norm"), *kinds)).alias("block"))
     met = block(a, "a", "x", "y").join(block(b, "b", "y", "x"), "block").select("a", "b").distinct()
-    met = met.withColumn("s", score_match("a", "b")).where("s.tier > 1 or s.overlap > 0")
+    met = _scored(met, a.withColumnRenamed("a_norm", "norm"), b.withColumnRenamed("b_norm", "norm")).where("s.tier > 1 or s.overlap > 0")
     top = met.groupBy("a").agg(F.min_by(F.struct("b", "s"), F.struct((-F.col("s.tier")).alias("t"), (-F.col("s.overlap")).alias("o"), (-F.col("s.less")).alias("l"), "b")).alias("m"))
     found = top.select("a", "m.b", "m.s.tier", "m.s.overlap")
     tokens = lambda c: F.size(F.array_distinct(F.split(c, "_")))
@@ -89,7 +104,7 @@ def _good_pairs(names: DataFrame, candidates: DataFrame, min_overlap: int) -> Da
     rarest = lambda df, n: df.select(n, F.explode(F.array_distinct(cut(GRAM))).alias("block")).join(often, "block").groupBy(n).agg(F.min_by("block", F.struct("n", "block")).alias("block"))
     met = shared(a, "a").join(shared(b, "b"), "block").select("a", "b")
     met = met.unionAll(rarest(a, "a").join(held(b, "b"), "block").select("a", "b")).unionAll(held(a, "a").join(rarest(b, "b"), "block").select("a", "b"))
-    return met.distinct().withColumn("s", score_match("a", "b")).where((F.col("s.tier") > 1) | (F.col("s.overlap") >= min_overlap))
+    return _scored(met.distinct(), a, b).where((F.col("s.tier") > 1) | (F.col("s.overlap") >= min_overlap))
 
 
 def _best_of(pairs: DataFrame) -> DataFrame:
@@ -102,13 +117,20 @@ def match_in_order(names: DataFrame, candidates: DataFrame, name: str, candidate
     """order, name and match: as ``best_match``, but names take turns by ``order`` (unique) and a candidate that is taken is
     gone, until all are; from then on every name sees all of them again. Null where none that is left is good enough.
 
-    Turns are settled in rounds (``turns.settle``) over the pairs that are good enough. Once the last candidate has been
-    taken, no later name can have been settled, so those get the best of all."""
+    A name takes one of its good candidates each time, so it is asked as often as it has some, and its later turns find none
+    left. The first turns, with ``turns.FINISH`` pairs together at most, are settled before the others' pairs are formed
+    (``turns.settle``): what they take is gone from those. Once the last candidate has been taken, no later name can have
+    been settled, so those get the best of all."""
     turns = names.select(F.col(order).alias("o"), F.col(name).alias("a"))
     pool = candidates.select(F.col(candidate).alias("b")).where("b is not null").distinct()
     pairs = materialize(_good_pairs(turns.select("a").where("a is not null").distinct(), pool, min_overlap))
-    liked = [F.desc("s.tier"), F.desc("s.overlap"), F.desc("s.less"), F.col("b")]
-    taken = materialize(settle(turns.join(pairs, "a").select("o", F.col("o").alias("turn"), "b", "s"), [], "o", "turn", "b", liked))
+    liked, by_turn = [F.desc("s.tier"), F.desc("s.overlap"), F.desc("s.less"), F.col("b")], F.col("o").asc_nulls_last()
+    asked = numbered(turns.join(pairs.groupBy("a").agg(F.count("*").alias("most")), "a"), ["a"], [by_turn], "nth", 1).where("nth <= most")
+    asked = materialize(running_sums(asked, [], [by_turn], {"upto": F.col("most")}))
+    options = lambda some, left: in_turn.settle(some.join(left, "a").select("o", F.col("o").alias("turn"), "b", "s"), [], "o", "turn", "b", liked)
+    first = materialize(options(asked.where(F.col("upto") <= in_turn.FINISH), pairs))
+    left = pairs.join(first.select("b"), "b", "left_anti")
+    taken = materialize(first.unionAll(options(asked.where(F.col("upto") > in_turn.FINISH), left)))
     last = taken.agg(F.count("*").alias("n"), F.max("turn").alias("last")).crossJoin(pool.agg(F.count("*").alias("all"))).first()  # one row
     top = _best_of(pairs).withColumnRenamed("b", "top")
     out = turns.join(taken.select("o", "b"), "o", "left")
