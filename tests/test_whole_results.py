@@ -1,12 +1,14 @@
 """Results stay whole where groups are empty, and where they are larger than one task goes through."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import labels, turns
+from tilewright.operators import labels, matching, ordered, spatial, turns
 from tilewright.plans.queries import QUERIES
+from tilewright.sources import documents, writers
 
 
 def orders(spark, folder, rows):
@@ -49,3 +51,11 @@ def test_names_beyond_the_first_bound(spark, monkeypatch):
     got = {r.o: r.match for r in labels.match_in_order(spark.createDataFrame(names, "o long, n string"), spark.createDataFrame(pool, "c string"), "n", "c", "o").collect()}
     assert [got[i] for i in range(6)] == ["red oak 1", "old oak red", "elm x", "red oak 2", None, None] and not any(got[i] for i in range(6, 40))
     assert sum(formed) <= 20  # of 100
+
+
+def test_a_stored_slide_is_one_file(spark, tmp_path):
+    tiles = spark.range(4000).selectExpr("id % 50 as slide", "id as x", "id % 9 as y").repartition(4)
+    writers.tile_store(tiles.unionAll(tiles), str(tmp_path))
+    found = spark.read.parquet(str(tmp_path)).groupBy("slide").agg(F.count("*").alias("n"), F.countDistinct(F.col("_metadata.file_path")).alias("files")).collect()
+    assert len(found) == 50 and all(r.n == 80 for r in found)
+    assert sum(r.files for r in found) <= 50 + 4  # a slide more where a range ends

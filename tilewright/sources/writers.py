@@ -14,8 +14,11 @@ from tilewright.operators.ordered import numbered
 
 
 def tile_store(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tiles by slide; a rewrite replaces only the slides that it holds. Tiles at the same place are stored once."""
-    unique = tiles.dropDuplicates(["slide", "x", "y", *(["z"] if "z" in tiles.columns else [])])
+    """Tiles by slide; a rewrite replaces only the slides that it holds. Tiles at the same place are stored once.
+
+    Ranges of slides and places are dealt to tasks, so a slide is a file, or a few if it is large, however many tasks write."""
+    place = ["slide", "x", "y", *(["z"] if "z" in tiles.columns else [])]
+    unique = tiles.repartitionByRange(*place).dropDuplicates(place)  # no further shuffle
     unique.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("slide").parquet(path)
 
 
