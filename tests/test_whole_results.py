@@ -59,3 +59,15 @@ def test_a_stored_slide_is_one_file(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path)).groupBy("slide").agg(F.count("*").alias("n"), F.countDistinct(F.col("_metadata.file_path")).alias("files")).collect()
     assert len(found) == 50 and all(r.n == 80 for r in found)
     assert sum(r.files for r in found) <= 50 + 4  # a slide more where a range ends
+
+
+def test_class_names_are_read_in_splits(spark, tmp_path, monkeypatch):
+    categories = spark.createDataFrame([(1, "b", ""), (0, "a", "")], "id long, name string, supercategory string")
+    images = spark.createDataFrame([(0, "i.jpg", 5, 5)], "id long, file_name string, width int, height int")
+    boxes = spark.createDataFrame([(0, 0, 1, 1, 1, 2, 2, 4, 0)], "id long, image_id long, category_id int, x int, y int, w int, h int, area int, iscrowd int")
+    writers.coco_document(images, boxes, categories, f"{tmp_path}/parts")
+    writers.join_document(spark, f"{tmp_path}/parts", f"{tmp_path}/all.json")
+    (tmp_path / "other.json").write_text('{"images": [],\n "categories": [{"id": 4,\n "name": "z"}]}')
+    assert documents.class_names(spark, [f"{tmp_path}/other.json"]) == ["z"]
+    monkeypatch.setattr("pyspark.sql.DataFrameReader.json", None)  # which reads a document in one task
+    assert documents.class_names(spark, [f"{tmp_path}/all.json"]) == ["a", "b"]

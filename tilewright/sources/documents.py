@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources.readers import coco_lines
+
 
 def _one(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").text(path)
@@ -44,14 +46,30 @@ def dataset_file(categories: DataFrame, root: str, splits: dict[str, str], path:
     _one(lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), "\n").alias("value")), path)
 
 
+def _in_lines(jvm, files, path) -> bool:
+    """Whether a file starts with the first line of documents that have an element in each line."""
+    if not files.getFileStatus(path).isFile():
+        return False
+    start = files.open(path)
+    try:
+        return all(start.read() == c for c in b'{"images":[\n')
+    finally:
+        start.close()
+
+
 def class_names(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Names of the categories, by id, in the first of the dataset documents that is there."""
+    """Names of the categories, by id, in the first of the dataset documents that is there.
+
+    One with an element in each line, as ``writers.coco_document`` writes it, is read in splits, any other one whole."""
     jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(conf).exists(target):
-            doc = spark.read.schema("categories array<struct<id: bigint, name: string>>").json(path, multiLine=True)
-            return [r.name for r in doc.select(F.inline("categories")).orderBy("id").collect()]
+            if _in_lines(jvm, target.getFileSystem(conf), target):
+                found = coco_lines(spark, path)[2]
+            else:
+                found = spark.read.schema("categories array<struct<id: bigint, name: string>>").json(path, multiLine=True).select(F.inline("categories"))
+            return [r.name for r in found.select("id", "name").orderBy("id").collect()]
     raise FileNotFoundError(f"none of {', '.join(paths)} is there")
 
 
