@@ -71,3 +71,23 @@ def test_class_names_are_read_in_splits(spark, tmp_path, monkeypatch):
     assert documents.class_names(spark, [f"{tmp_path}/other.json"]) == ["z"]
     monkeypatch.setattr("pyspark.sql.DataFrameReader.json", None)  # which reads a document in one task
     assert documents.class_names(spark, [f"{tmp_path}/all.json"]) == ["a", "b"]
+
+
+def test_recalls_at_the_ticks(spark):
+    """Every k / 100 and the numbers beside it reach as many recalls as a comparison with each says."""
+    recalls = [r for k in range(101) for r in (math.nextafter(k / 100, -1), k / 100, math.nextafter(k / 100, 2))]
+    frame = spark.createDataFrame([(i, r, 1.0) for i, r in enumerate(recalls)], "slide long, recall double, precision double")
+    got = {r.slide: r.ap for r in matching.ap_101(frame).collect()}
+    assert [round(got[i] * 101) for i in range(len(recalls))] == [sum(k / 100.0 <= r for k in range(101)) for r in recalls]
+
+
+def test_sides_of_a_self_join_are_one_shuffle(spark, tmp_path):
+    boxes = spark.range(200).selectExpr("id % 3 as slide", "id % 4 as tile", "id as det_id", "double(id % 50) as x1", "double(id % 40) as y1", "double(id % 50 + 20) as x2", "double(id % 40 + 20) as y2")
+    boxes.write.parquet(f"{tmp_path}/b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spatial.dedup_edges(spark.read.parquet(f"{tmp_path}/b"), 0.5)
+        edges.collect()
+        assert "ReusedExchange" in edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
