@@ -91,3 +91,10 @@ def test_sides_of_a_self_join_are_one_shuffle(spark, tmp_path):
         assert "ReusedExchange" in edges._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_running_sums_join_nothing(spark):
+    rows = spark.range(300).selectExpr("if(id % 3 = 0, null, id % 3) as g", "id")
+    sums = ordered.running_sums(rows, ["g"], [F.col("id")], {"s": F.col("id")})
+    assert "Join" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.s for r in sums.collect()} == {i: sum(range(i % 3, i + 1, 3)) for i in range(300)}
