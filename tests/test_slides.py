@@ -176,6 +176,25 @@ def test_regions(spark, store):
     assert stacks[105].zs == [-1, 0, 4] and all(bytes(p) == planes["s", 20.0, z][16:32, 16:32].tobytes() for z, p in zip(stacks[105].zs, stacks[105].planes, strict=True))
 
 
+def test_regions_are_put_together_in_batches(spark, store, monkeypatch):
+    """Not a group at a time, whose planes go through a shuffle once; batches cut regions and stacks anywhere."""
+    path, planes = store
+    regions = spark.createDataFrame([(i, "s", 20.0, i % 70, i % 50, 1 + i % 19, 1 + i % 20) for i in range(200)], "id long, slide string, magnification double, x int, y int, w int, h int")
+    monkeypatch.setattr(R, "BATCH_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        each, stacks = R.read_regions(spark, path, regions), R.read_stacks(spark, path, regions)
+        got = {(r.id, r.z_nm): bytes(r.data) for r in each.collect()}
+        piled = {(r.id, z): bytes(p) for r in stacks.collect() for z, p in zip(r.zs, r.planes, strict=True)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(i, z): planes["s", 20.0, z][i % 50 : i % 50 + 1 + i % 20, i % 70 : i % 70 + 1 + i % 19].tobytes() for i in range(200) for z in (-1, 0, 4)}
+    assert got == want == piled
+    for frame in (each, stacks):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 def test_a_small_region_opens_few_files(spark, store):
     path, _ = store
     files = spark.read.parquet(f"{path}/files")
