@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,14 @@ def test_a_broken_write_is_repeated(spark, tmp_path):
     assert not [f for d, _, names in os.walk(path) for f in names if f.startswith("_")]
 
 
+def test_a_task_that_outlives_its_job_leaves_no_part(tmp_path):
+    writer = S.FileWriter({"path": f"file://{tmp_path}"})
+    writer.abort([])
+    part = writer.write(iter([pa.RecordBatch.from_pydict({"name": ["a/b.txt"], "data": [b"text"]})]))
+    assert part == S.Part(None, None) and (tmp_path / "a/b.txt").read_bytes() == b"text"
+    assert not [f for f in os.listdir(tmp_path / S.MANIFEST) if not f.startswith(".")]
+
+
 def read_png(raw):
     assert raw[:8] == b"\x89PNG\r\n\x1a\n"
     at, parts = 8, {}

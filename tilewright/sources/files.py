@@ -35,6 +35,13 @@ class Part(WriterCommitMessage):
     final: str | None
 
 
+def _remove(files: fs.FileSystem, path: str) -> None:
+    try:
+        files.delete_file(path)
+    except FileNotFoundError:  # a task and its job may both clear a part
+        pass
+
+
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.root, self.run = options["path"].rstrip("/"), uuid.uuid4().hex
@@ -61,8 +68,15 @@ class FileWriter(DataSourceArrowWriter):
         schema = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("crc32", pa.int64())])
         with files.open_output_stream(hidden) as out:
             pq.write_table(pa.Table.from_pylist(listed, schema), out)
+        if files.get_file_info(self._broken(root)).type != fs.FileType.NotFound:  # looked up after the part is there, as ``abort`` lists parts after its mark is
+            _remove(files, hidden)
+            return Part(None, None)
         return Part(hidden, final)
 
+    def _broken(self, root: str) -> str:
+        """The mark of a job that was given up: tasks that still run then leave no part behind."""
+        return f"{root}/{MANIFEST}/.{self.run}"
+
     def commit(self, messages: list[Part | None]) -> None:
         files, _ = fs.FileSystem.from_uri(self.root)
         for m in messages:
@@ -71,9 +85,11 @@ class FileWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         files, root = fs.FileSystem.from_uri(self.root)
-        for i in files.get_file_info(fs.FileSelector(f"{root}/{MANIFEST}", allow_not_found=True)):
+        files.create_dir(f"{root}/{MANIFEST}", recursive=True)
+        files.open_output_stream(self._broken(root)).close()
+        for i in files.get_file_info(fs.FileSelector(f"{root}/{MANIFEST}")):
             if i.base_name.startswith(f"_{self.run}"):
-                files.delete_file(i.path)
+                _remove(files, i.path)
 
 
 class FileSink(DataSource):
