@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import labels, matching, ordered, spatial, turns
+from tilewright.plans import file_queries
 from tilewright.plans.queries import QUERIES
-from tilewright.sources import documents, writers
+from tilewright.sources import documents, readers, writers
 
 
 def orders(spark, folder, rows):
@@ -98,3 +99,30 @@ def test_running_sums_join_nothing(spark):
     sums = ordered.running_sums(rows, ["g"], [F.col("id")], {"s": F.col("id")})
     assert "Join" not in sums._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: r.s for r in sums.collect()} == {i: sum(range(i % 3, i + 1, 3)) for i in range(300)}
+
+
+def test_appended_documents_take_little_disk(spark, tmp_path, monkeypatch):
+    """Of both sets of documents only the whole one stays, packed, and no step writes its rows beside them."""
+    folders = []
+    monkeypatch.setattr(file_queries, "_folder", lambda _: folders.append(tmp_path / f"f{len(folders)}") or str(folders[-1]))
+    monkeypatch.setattr(ordered, "materialize", None)
+    got = QUERIES["annotation_append"](spark, orders(spark, tmp_path, [(k, 7 * k) for k in range(1500)]))
+    assert got.count() == 1500 and len(folders) == 2 and not folders[0].exists()
+    files = list(folders[1].glob("slide=*/part-*"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < 60 * 1500
+
+
+@pytest.mark.parametrize("codec", ["none", "gzip"])
+def test_appended_documents_are_whole(spark, tmp_path, codec):
+    """Documents without new boxes, new documents, a view without an id, fields that the writer does not know."""
+    old = [(1, 9, "t", "kept"), (1, None, "u", None), (2, 4, "v", None)]
+    existing = spark.createDataFrame(old, "slide int, _id long, title string, remark string")
+    existing = existing.withColumn("annotation", F.lit(None).cast(spark.createDataFrame([], readers.VIEW_SCHEMA).schema["annotation"].dataType))
+    boxes = spark.createDataFrame([(s, float(x), 1.0, 4.0, 4.0, f"n{x}", "d") for s in (1, 3) for x in (20, 3, 100)], "slide long, x double, y double, w double, h double, label string, details string")
+    writers.annotation_xml(boxes, f"{tmp_path}/a", True, existing, by="slide", compression=codec)
+    views = spark.read.format("xml").option("rowTag", "ndpviewstate").schema(f"{readers.VIEW_SCHEMA}, remark string").load(f"{tmp_path}/a").withColumn("file", F.col("_metadata.file_path")).collect()
+    found = {s: [(v["_id"], v.title, v.remark) for v in views if v.slide == s] for s in (1, 2, 3)}
+    assert found == {1: [(None, "u", None), (9, "t", "kept"), (10, "n3", None), (11, "n20", None), (12, "n100", None)], 2: [(4, "v", None)], 3: [(1, "n3", None), (2, "n20", None), (3, "n100", None)]}
+    assert len({v.file for v in views}) == 3 and all(v.file.endswith(".gz") == (codec == "gzip") for v in views)
+    writers.annotation_xml(boxes, f"{tmp_path}/one", True, compression=codec)
+    assert {r.slide.endswith((".xml", ".gz")) for r in readers.annotation_xml(spark, f"{tmp_path}/one").collect()} == {False}

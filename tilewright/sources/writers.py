@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import box_to_circle, rounded_corners, to_normalised
 from tilewright.operators.ordered import numbered
+from tilewright.plans.storage import release
 
 
 def tile_store(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -101,14 +102,21 @@ def details_text(source, confidence) -> Column:
     return F.format_string("source=%s; confidence=%.6f", source, confidence)
 
 
-def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFrame | None = None, colour: str = "#000000", lens: float = 1.0, by: str | None = None) -> None:
+#: What a view is made from.
+_BOX = ("x", "y", "w", "h", "label", "details")
+
+
+def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFrame | None = None, colour: str = "#000000", lens: float = 1.0, by: str | None = None, compression: str = "none") -> None:
     """Views for x, y, w, h (nm), label and details as rectangles or circles, numbered from 1 on or, with ``existing``
     (a document as ``annotation_views`` reads it), from one past its highest id on; its views are written too.
 
     With ``by`` there is a document for each of its values, in a folder named after it, with numbers of its own, and each
-    is written by one task; without, there is one document."""
-    cx, cy, radius = box_to_circle("x", "y", "w", "h")
-    x1, y1, x2, y2 = rounded_corners("x", "y", "w", "h")
+    is written by one task, which also numbers it; without, there is one document. Documents are plain text, or packed
+    where ``compression`` names a codec (gzip makes them about 15 times smaller, and the readers take them as they are)."""
+    at = "_box." if by else ""
+    x, y, w, h, label, details = [f"{at}{c}" for c in _BOX]
+    cx, cy, radius = box_to_circle(x, y, w, h)
+    x1, y1, x2, y2 = rounded_corners(x, y, w, h)
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     points = F.struct(F.array(corner(x1, y1), corner(x1, y2), corner(x2, y2), corner(x2, y1)).alias("point"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -118,21 +126,38 @@ def annotation_xml(boxes: DataFrame, path: str, circles: bool, existing: DataFra
         parts = [cx.alias("x"), cy.alias("y"), radius.alias("radius"), none("int").alias("closed"), none("string").alias("specialtype"), none("struct<point:array<struct<x:bigint,y:bigint>>>").alias("pointlist")]
     else:
         parts = [none("bigint").alias("x"), none("bigint").alias("y"), none("bigint").alias("radius"), F.lit(1).alias("closed"), F.lit("rectangle").alias("specialtype"), points.alias("pointlist")]
-    keys = [by] if by else []
-    rows = numbered(boxes, keys, [F.col(c) for c in ("x", "y", "w", "h", "label")], "_nth", 1)
-    if existing is None:
-        rows = rows.withColumn("_id", F.col("_nth"))
-    elif by:
-        last = existing.groupBy(by).agg(F.coalesce(F.max("_id"), F.lit(0)).alias("_last"))
-        rows = rows.join(last, by, "left").withColumn("_id", F.col("_nth") + F.coalesce("_last", F.lit(0)))
+    view = {
+        "title": F.col(label), "details": F.col(details), "coordformat": F.lit("nanometers"), "lens": F.format_string("%.6f", F.lit(float(lens))), "x": cx, "y": cy, "z": F.lit(0),
+        "showtitle": F.lit(0), "showhistogram": F.lit(0), "showlineprofile": F.lit(0), "annotation": F.struct(*common, *parts),
+    }
+    if by:
+        dealt = _documents(boxes, existing, by, view)
     else:
-        rows = rows.withColumn("_id", F.col("_nth") + F.lit(next_id(existing) - 1))
-    view = [F.lit("nanometers").alias("coordformat"), F.format_string("%.6f", F.lit(float(lens))).alias("lens"), cx.alias("x"), cy.alias("y"), F.lit(0).alias("z"), F.lit(0).alias("showtitle"), F.lit(0).alias("showhistogram"), F.lit(0).alias("showlineprofile")]
-    new = rows.select(*keys, "_id", F.col("label").alias("title"), "details", *view, F.struct(*common, *parts).alias("annotation"))
-    every = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-    dealt = every.repartition(by).sortWithinPartitions(by, "_id") if by else every.coalesce(1)
-    writer = dealt.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate")
+        rows = numbered(boxes, [], [F.col(c) for c in _BOX[:5]], "_nth", 1)
+        new = rows.select((F.col("_nth") + F.lit(next_id(existing) - 1 if existing is not None else 0)).alias("_id"), *[v.alias(c) for c, v in view.items()])
+        dealt = (new if existing is None else existing.unionByName(new, allowMissingColumns=True)).coalesce(1)
+    writer = dealt.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "ndpviewstate").option("indent", "\t").option("compression", compression)
     (writer.partitionBy(by) if by else writer).save(path)
+    release(boxes.sparkSession)
+
+
+def _documents(boxes: DataFrame, existing: DataFrame | None, by: str, view: dict[str, Column]) -> DataFrame:
+    """The views of every document in the order of their ids, a document in one task; ``view`` makes one from ``_box``.
+
+    Only boxes and existing views are shuffled, once: new views are numbered and made where their document is written."""
+    rows = boxes.select(by, F.struct(*_BOX).alias("_box"))
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # adaptive plans would leave a few large tasks
+    order = [F.col(f"_box.{c}") for c in _BOX[:5]]
+    if existing is None:
+        made = rows.repartition(tasks, by).withColumn("_id", F.row_number().over(Wd.partitionBy(by).orderBy(*order)).cast("long"))
+        return made.select(by, "_id", *[v.alias(c) for c, v in view.items()])
+    old = [c for c in existing.columns if c != by]
+    both = existing.select(by, F.struct(*old).alias("_view")).unionByName(rows, allowMissingColumns=True)
+    so_far = Wd.partitionBy(by).orderBy(F.col("_box").isNotNull(), "_view._id", *order).rowsBetween(Wd.unboundedPreceding, Wd.currentRow)  # existing views come first
+    nth, last = F.row_number().over(so_far) - F.count("_view").over(so_far), F.greatest(F.lit(0), F.max("_view._id").over(so_far))
+    made = {"_id": F.col("_nth") + F.col("_last"), **view}
+    either = lambda c: F.when(F.col("_box").isNotNull(), made.get(c)).otherwise(F.col("_view")[c] if c in old else None)
+    return both.repartition(tasks, by).withColumns({"_nth": nth, "_last": last}).select(by, *[either(c).alias(c) for c in (*old, *(c for c in made if c not in old))])
 
 
 def next_id(views: DataFrame) -> int:
